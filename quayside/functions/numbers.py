@@ -35,7 +35,8 @@ def printed_number(text: Column) -> Column:
     both = t.contains(".") & t.contains(",")
     comma_last = F.length(F.substring_index(t, ",", -1)) < F.length(F.substring_index(t, ".", -1))
     plain = (
-        F.when(both & comma_last, F.regexp_replace(F.regexp_replace(t, "[.]", ""), ",", "."))
+        F.when(~text.rlike("[,' ]") & ~text.rlike("[.].*[.]"), text)
+        .when(both & comma_last, F.regexp_replace(F.regexp_replace(t, "[.]", ""), ",", "."))
         .when(both, F.regexp_replace(t, ",", ""))
         .when(t.rlike("^[0-9]+(,[0-9]{3})+$"), F.regexp_replace(t, ",", ""))
         .when(t.rlike("^[0-9]+,[0-9]+$"), F.regexp_replace(t, ",", "."))

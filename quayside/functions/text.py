@@ -73,7 +73,7 @@ def _accent_pairs() -> tuple[str, str]:
 def fold_lookalikes(text: Column) -> Column:
     """Every look-alike, full-width form and odd space as its ASCII counterpart; zero-width characters removed."""
     source, target = _fold_pairs()
-    return F.when(text.rlike("[^\\x00-\\x7f]"), F.translate(text, source, target)).otherwise(text)
+    return F.when(F.octet_length(text) > F.length(text), F.translate(text, source, target)).otherwise(text)
 
 
 def fold_accents(text: Column) -> Column:

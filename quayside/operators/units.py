@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quayside.functions.numbers import NUMBER, printed_number
-from quayside.functions.text import collapse, fold_lookalikes, squash, unleet
+from quayside.functions.text import fold_lookalikes, squash, unleet
 from quayside.functions.unit_names import unit_name_table
 from quayside.operators.edit_join import edit_distance_join
+from quayside.session import cut_lineage
 
 #: Number words that stand before dozen and gross.
 NUMBER_WORDS = {
@@ -28,7 +29,7 @@ NET_USUAL, NET_SHARE = (0.885, 0.993), (0.72, 1.005)
 def unit_key(text: Column) -> Column:
     """The form in which unit names are compared: ``Carton(s)`` is cartons, ``m²`` is m2."""
     t = F.regexp_replace(F.regexp_replace(F.lower(fold_lookalikes(text)), "\\(s\\)", "s"), "²", "2")
-    return squash(t)
+    return F.when(text.rlike("^[A-Za-z0-9]+$"), F.lower(text)).otherwise(squash(t))
 
 
 def vocabulary_of(units: DataFrame) -> DataFrame:
@@ -40,18 +41,37 @@ def vocabulary_of(units: DataFrame) -> DataFrame:
 
 
 def repair_units(unknown: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(key, code) for each distinct unknown ``key``: the unit whose name is closest, where only one is closest."""
-    words = unknown.select("key").where("length(key) > 3").distinct().withColumn("word", unleet(F.col("key")))
+    """(key, code) for each distinct unknown ``key``: the unit whose name is closest, where only one is closest.
+
+    The distinct misspellings are written to the checkpoint folder once, so that the lines are not read for each use.
+    """
+    words = cut_lineage(unknown.select("key").where("length(key) > 3").distinct().withColumn("word", unleet(F.col("key"))))
     near = edit_distance_join(words, "word", vocabulary.where("code <> '' AND length(alias) > 3"), "alias").join(F.broadcast(vocabulary), "alias")
     per_unit = near.groupBy("word", "code").agg(F.min("distance").alias("distance"))
     best = per_unit.groupBy("word").agg(F.min_by("code", "distance").alias("code"), F.array_sort(F.collect_list("distance")).alias("d"))
-    return words.join(best.where("size(d) = 1 OR d[1] > d[0]"), "word").select("key", F.col("code").alias("repaired"))
+    return cut_lineage(words.join(best.where("size(d) = 1 OR d[1] > d[0]"), "word").select("key", F.col("code").alias("repaired")))
+
+
+#: A table of up to so many short rows, counted before, is broadcast: some 10 MB at most.
+BROADCAST_ROWS = 100_000
+
+
+def join_counted(df: DataFrame, key: str, use: Column, small: DataFrame, spread: str) -> DataFrame:
+    """Left join on ``key`` where ``use`` holds: by broadcast if ``small``, which is counted, is short.
+
+    Else by shuffle, with the rows that are not used spread over all tasks by ``spread``, as one of their keys may be hot.
+    """
+    if small.count() <= BROADCAST_ROWS:
+        return df.join(F.broadcast(small.withColumnRenamed(key, "key_")), use & (F.col(key) == F.col("key_")), "left").drop("key_")
+    salted = df.withColumn("key_", F.when(use, F.col(key)).otherwise(F.concat(F.lit("\u0001"), F.col(spread).cast("string"))))
+    return salted.join(small.withColumnRenamed(key, "key_"), "key_", "left").drop("key_")
 
 
 def clean_measure(text: Column) -> Column:
     """The printed measure without disguise, without about, equals and only, null where blank."""
-    t = F.regexp_replace(collapse(fold_lookalikes(text)), "^(?:(?i:abt\\.?|about|approx\\.?|ca\\.?)|=|~)\\s*|\\s+(?i:only)$", "")
-    return F.nullif(t, F.lit(""))
+    t = F.trim(F.regexp_replace(fold_lookalikes(text), "\\s+", " "))
+    t = F.trim(F.regexp_replace(t, "^(?:(?i:abt\\.?|about|approx\\.?|ca\\.?)|=|~)\\s*|\\s+(?i:only)$", ""))
+    return F.when(text.rlike("^[0-9][0-9.,]*$"), text).otherwise(F.nullif(t, F.lit("")))
 
 
 TWO = f"^({NUMBER})\\s*(\\p{{L}}[\\p{{L}}0-9@$./ ]*?)(?:\\s+(?i:and)\\s+|\\s*[+,&]\\s*|\\s+)({NUMBER})\\s*(\\p{{L}}[\\p{{L}}0-9@$./]*)$"
@@ -97,15 +117,6 @@ def first_words(text: Column) -> Column:
     )
 
 
-def after_quantity(quote: Column, description: Column, printed: Column) -> Column:
-    """What a folded quote prints behind the quantity that follows the description."""
-    tail = F.when((F.length(description) > 0) & quote.contains(description), F.call_function("substring_index", quote, description, F.lit(-1))).otherwise(quote)
-    parts = F.concat(F.lit(" "), F.regexp_replace(tail, "[\\t|]", "  "), F.lit("  "))
-    number = F.concat(F.lit(" "), printed, F.lit(" "))
-    at = F.call_function("locate", number, parts)
-    return F.when(at > 0, F.call_function("substr", parts, at + F.length(number)))
-
-
 NET_IN_QUOTE = f"(?:NT\\.WT|N/W|\\bnet)\\s+{NUMBER}\\s*(.*)$"
 
 
@@ -131,11 +142,18 @@ def measures(lines: DataFrame) -> DataFrame:
     cells = staged(cells, *[F.col(c) for c in carried], clean_measure(F.col("value")).alias("value"))
     cells = staged(cells, *[F.col(c) for c in carried], split_measure(F.col("value")).alias("s")).where("s.n1 IS NOT NULL")
     text = lambda part, rank, c: F.struct(F.lit(part).alias("part"), F.lit(rank).alias("rank"), c.alias("text"))
-    behind = F.when(F.col("field") == "quantity", after_quantity(fold_lookalikes(F.col("quote")), fold_lookalikes(F.col("description")), F.col("s.n1"))).otherwise(
-        F.regexp_extract(fold_lookalikes(F.col("quote")), NET_IN_QUOTE, 1)
-    )
+    kept = [F.col(c) for c in ("line_id", "field", "s", "unit", "gross")]
     bare = F.col("s.u1").isNull() & ~F.coalesce(F.col("unit").rlike("\\p{L}"), F.lit(False))
-    cells = staged(cells, F.col("line_id"), F.col("field"), F.col("s"), F.col("unit"), F.col("gross"), F.when(bare, behind).alias("behind"))
+    quantity = F.col("field") == "quantity"
+    cells = staged(cells, *kept, F.when(bare, fold_lookalikes(F.col("quote"))).alias("quote"), F.when(bare & quantity, fold_lookalikes(F.col("description"))).alias("d"))
+    # what follows the description, set between two spaces, and the quantity set likewise
+    tail = F.when((F.length("d") > 0) & F.col("quote").contains(F.col("d")), F.call_function("substring_index", "quote", "d", F.lit(-1))).otherwise(F.col("quote"))
+    parts = F.when(quantity, F.concat(F.lit(" "), F.regexp_replace(tail, "[\\t|]", "  "), F.lit("  ")))
+    cells = staged(cells, *kept, F.col("quote"), parts.alias("parts"), F.concat(F.lit(" "), F.col("s.n1"), F.lit(" ")).alias("number"))
+    at = F.call_function("locate", "number", "parts")
+    net = F.when(F.col("quote").rlike("NT\\.WT|N/W|net"), F.regexp_extract("quote", NET_IN_QUOTE, 1))
+    behind = F.when(quantity, F.when(at > 0, F.call_function("substr", "parts", at + F.length("number")))).otherwise(net)
+    cells = staged(cells, *kept, behind.alias("behind"))
     return cells.select(
         "line_id", "field", F.col("s.n1").alias("n1"), F.col("s.n2").alias("n2"), F.when(F.col("field") != "quantity", clean_measure(F.col("gross"))).alias("gross"),
         F.when(F.col("s.n2").isNotNull(), F.array(text(1, 0, F.col("s.u1")), text(2, 0, F.col("s.u2"))))
@@ -162,10 +180,9 @@ def convert_measures(lines: DataFrame, units: DataFrame) -> DataFrame:
     texts = stated.select("line_id", "field", "a", "b", "gross", F.explode_outer("texts").alias("x"))
     texts = staged(texts, *[F.col(c) for c in ("line_id", "field", "a", "b", "gross", "x")], unit_key(F.col("x.text")).alias("key"))
     looked_up = texts.join(F.broadcast(vocabulary), F.col("key") == F.col("alias"), "left").drop("alias")
-    unknown = looked_up.where("code IS NULL AND key <> ''")
-    repaired = repair_units(unknown, vocabulary)
-    known = looked_up.where("code IS NOT NULL OR key IS NULL OR key = ''").withColumn("repaired", F.lit(None).cast("string"))
-    all_texts = known.unionByName(unknown.join(repaired, "key", "left"))
+    unknown = F.col("code").isNull() & (F.col("key") != "")
+    repaired = repair_units(looked_up.where(unknown), vocabulary)
+    all_texts = join_counted(looked_up, "key", unknown, repaired, "line_id")
     code = F.nullif(F.coalesce("code", "repaired"), F.lit(""))
     rank = F.col("x.rank") + F.when(F.col("code").isNull(), 10).otherwise(0)
     per_part = lambda k: F.min(F.when((F.col("x.part") == k) & code.isNotNull(), F.struct(rank, code)))
