@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,3 +38,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder, so a lost executor costs no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the workers this package, once per context, so that Python functions find it on any cluster."""
+    context = spark.sparkContext
+    if getattr(context, "_quayside_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    folder = Path(tempfile.mkdtemp(prefix="quayside-ship-"))  # on the driver only; the driver serves the file
+    with zipfile.ZipFile(folder / "quayside_package.zip", "w") as archive:
+        for path in sorted(root.rglob("*.py")):
+            archive.write(path, Path(root.name) / path.relative_to(root))
+    context.addPyFile(str(folder / "quayside_package.zip"))
+    context._quayside_shipped = True
