@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quayside.llm import glyphs, tokenizer
+from quayside.llm import glyphs, mixing, quality, tokenizer
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,5 +27,28 @@ def p6_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.round_trip(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_normalised": p5_normalised, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip}
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_targets"))[1]
+
+
+def _forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.document_forms(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "form_labels"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _forms(spark, sf_dir).where("form IN ('list', 'table', 'junk')").select("doc_id", "form")
+
+
+def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _forms(spark, sf_dir)
+
+
+QUERIES = {
+    "p5_found": p5_found, "p5_normalised": p5_normalised, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip,
+    "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_statistics": p8_statistics,
+}
 SQL = {"p6_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
