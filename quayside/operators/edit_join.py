@@ -17,8 +17,8 @@ def bigrams(word: Column) -> Column:
 
 
 def allowed_distance(length: Column) -> Column:
-    """0 up to three letters, 1 up to five, 2 up to eight, 3 beyond."""
-    return F.when(length <= 3, 0).when(length <= 5, 1).when(length <= 8, 2).otherwise(3)
+    """0 up to three letters, 1 up to five, 2 up to seven, 3 beyond."""
+    return F.when(length <= 3, 0).when(length <= 5, 1).when(length <= 7, 2).otherwise(3)
 
 
 def edit_distance(a: Column, b: Column) -> Column:
