@@ -3,14 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quayside.llm import glyphs, mixing, quality, tokenizer
+from quayside.llm import canonical, glyphs, mixing, quality, tokenizer
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical.found(_table(spark, sf_dir, "line_items"), _table(spark, sf_dir, "ref_values"))
+
+
+def p1_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values without an entry, with the number of rows that hold them."""
+    cells = canonical.canonical_values(_table(spark, sf_dir, "line_items"), _table(spark, sf_dir, "ref_values"))
+    return cells.where("ref_id = 0").groupBy("field", "value").agg(F.count("*").alias("n_rows"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return glyphs.disguised(_table(spark, sf_dir, "line_items"), "line_id", "quote")
 
@@ -48,6 +59,7 @@ def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found, "p1_unmatched": p1_unmatched,
     "p5_found": p5_found, "p5_normalised": p5_normalised, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip,
     "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_statistics": p8_statistics,
 }
