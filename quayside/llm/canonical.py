@@ -80,8 +80,8 @@ def match_values(values: DataFrame, refs: DataFrame) -> DataFrame:
     read = cut_lineage(read)
 
     wholes = F.broadcast(known.select("field", "whole", "ref_id").distinct())
-    exact = read.join(wholes, ["field", "whole"]).select("field", "value", "ref_id", F.lit(9.0).alias("score"))
-    rest = read.join(exact, ["field", "value"], "left_anti")
+    exact = cut_lineage(read.join(wholes, ["field", "whole"]).select("field", "value", "ref_id", F.lit(9.0).alias("score")))
+    rest = cut_lineage(read.join(exact, ["field", "value"], "left_anti"))
 
     # the whole value as one token
     words = rest.select("field", unleet(F.col("whole")).alias("word"), "value").where("length(word) > 3")
@@ -95,22 +95,24 @@ def match_values(values: DataFrame, refs: DataFrame) -> DataFrame:
     entry = known.where("size(tokens) > 0").select("field", "alias_id", "ref_id", F.explode("tokens").alias("name_token"))
     df = entry.groupBy("field", "name_token").agg(F.countDistinct(F.when(F.col("ref_id") > 0, F.col("ref_id")).otherwise(F.col("alias_id"))).alias("df"))
     n = known.groupBy("field").agg(F.countDistinct("ref_id").alias("entries"))
-    weight = F.broadcast(df.join(n, "field").select("field", "name_token", F.log(1 + F.col("entries") / F.col("df")).alias("w"), F.log(1 + F.col("entries")).alias("w_max")))
+    weight = F.broadcast(cut_lineage(df.join(n, "field").select("field", "name_token", F.log(1 + F.col("entries") / F.col("df")).alias("w"), F.log(1 + F.col("entries")).alias("w_max"))))
     weighted = entry.join(weight, ["field", "name_token"])
     norms = weighted.groupBy("field", "alias_id").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norm"), F.sum("w").alias("mass"))
-    weighted = weighted.join(norms, ["field", "alias_id"])
+    weighted = cut_lineage(weighted.join(norms, ["field", "alias_id"]))
     tokens = rest.select("field", "value", F.posexplode("tokens").alias("pos", "token"))
     pairs = edit_distance_join(tokens, "token", weighted.select("field", "name_token").distinct(), "name_token", ["field"])
-    pairs = pairs.select("field", "token", "name_token", (1 - F.col("distance") / F.greatest(F.length("token"), F.length("name_token"))).alias("sim"))
+    pairs = cut_lineage(pairs.select("field", "token", "name_token", (1 - F.col("distance") / F.greatest(F.length("token"), F.length("name_token"))).alias("sim")))
     best_weight = pairs.join(weight, ["field", "name_token"]).groupBy("field", "token").agg(F.max_by("w", "sim").alias("w_token"))
     fields = weight.groupBy("field").agg(F.max("w_max").alias("w_max"))
     tokens = tokens.join(best_weight, ["field", "token"], "left").join(F.broadcast(fields), "field").withColumn("w_token", F.coalesce("w_token", "w_max"))
+    tokens = cut_lineage(tokens)
     value_norm = tokens.groupBy("field", "value").agg(F.sqrt(F.sum(F.col("w_token") ** 2)).alias("value_norm"), F.sum("w_token").alias("value_mass"))
     hits = tokens.join(pairs, ["field", "token"]).join(weighted, ["field", "name_token"])
     # each token of the value counts once for a name, by its most similar token, and each token of the name once
     hits = hits.groupBy("field", "value", "pos", "alias_id", "ref_id", "norm", "mass", "w_token").agg(F.max(F.struct(F.col("sim") * F.col("w"), "sim", "w", "name_token")).alias("b"))
     hits = hits.groupBy("field", "value", "alias_id", "ref_id", "norm", "mass", "b.name_token").agg(F.max(F.struct("b", (-F.col("pos")).alias("at"), "w_token")).alias("m"))
     hits = hits.select("field", "value", "alias_id", "ref_id", "norm", "mass", (-F.col("m.at")).alias("pos"), F.col("m.w_token").alias("w_token"), F.col("m.b").alias("b"))
+    hits = cut_lineage(hits)
     scored = hits.groupBy("field", "value", "alias_id", "ref_id", "norm", "mass").agg(
         F.sum(F.col("w_token") * F.col("b.w") * F.col("b.sim")).alias("dot"),
         F.sum(F.col("b.w") * F.col("b.sim")).alias("found"),
@@ -126,6 +128,7 @@ def match_values(values: DataFrame, refs: DataFrame) -> DataFrame:
         F.least(F.col("found") / F.col("mass"), F.lit(1.0)).alias("cover"),
         (F.col("explained") / F.col("value_mass")).alias("explains"), (F.col("by_entry") / F.col("value_mass")).alias("entry_explains"),
     )
+    scored = cut_lineage(scored)
     accepted = F.when(F.col("field") == "incoterm", (F.col("cover") >= LEAST_COVER) & (F.col("first") == 0)).otherwise(
         (F.col("score") >= LEAST_SCORE) | ((F.col("explains") >= LEAST_EXPLAINED) & (F.col("score") >= 0.45))
     )
