@@ -1,0 +1,356 @@
+"""Descriptions of goods read into goods, brand, model and attributes.
+
+A description becomes a row of lower-case words and numbers. Measures are read by patterns and brought to one unit;
+fixed phrases (attribute values, goods, sales talk) and the mined brand names are found by one Aho-Corasick automaton,
+longest match first. What kind of goods it is decides which attributes count. Words that no dictionary knows remain as
+``rest``; misspelt names of goods are recognised by their closest keyword.
+"""
+
+from __future__ import annotations
+
+import re
+import unicodedata
+from dataclasses import dataclass, field
+from functools import lru_cache
+
+import ahocorasick
+
+from quayside.functions import text as folding
+
+#: Spellings of one attribute value, by dimension and value; words separated by spaces.
+PHRASES: dict[str, dict[str, str]] = {
+    "leaf": {"opa": "opa", "bop": "bop", "fbop": "fbop", "pf1": "pf 1", "pd": "pd", "d1": "d 1|dust 1"},
+    "grade": {g: f"grade {g}|gr {g}|{g} grade" for g in ("aa", "a", "b", "c", "d")},
+    "packing": {
+        "tin": "tin|metal tin", "net": "net bag|mesh bag", "paper": "paper sack|kraft sack|paper bag|kraft bag", "poly": "poly bag|pe bag", "vacuum": "vac bag|vacuum bag",
+        "carton": "carton box|ctn box", "jute": "jute bag|gunny bag", "flexitank": "flexitank|flexi tank", "pet": "pet bottle", "jerry": "jerry can|jerrycan",
+        "can": "metal can|tin can", "doypack": "doypack|pouch", "hdpe": "plastic bottle|hdpe bottle", "glass": "glass bottle",
+    },
+    "roast": {"raw": "raw", "roasted": "roasted|rstd", "salted": "salted|with salt"},
+    "bold": {"bold": "bold", "extra": "extra bold|ex bold", "small": "small|sml"},
+    "stone": {"pitted": "pitted|stoneless", "unpitted": "unpitted|with stone"},
+    "cut": {"diced": "diced|cubed", "whole": "whole", "halves": "halves"},
+    "sulphur": {"yes": "sulphured|so 2 treated", "no": "unsulphured|natural no so 2"},
+    "oleic": {"classic": "classic", "high": "high oleic|ho", "mid": "mid oleic|mo"},
+    "plug": {"g": "uk plug|type g plug", "c": "eu plug|type c plug", "a": "us plug|type a plug"},
+    "ports": {"1": "single port|1 port", "2": "dual port|2 port", "3": "triple port|3 port", "4": "quad port|4 port"},
+    "finish": {"gloss": "gloss|polished|glossy", "matt": "matt|matte", "satin": "satin"},
+    "thread": {"full": "full thread|fully threaded", "half": "half thread|partially threaded"},
+    "material": {"brass": "brass", "316": "stainless steel 316|inox 316|ss 316", "304": "stainless steel 304|inox 304|ss 304", "nylon": "nylon|polyamide", "black": "black oxide|blackened", "zinc": "zinc plated|galvanised|galvanized"},
+    "border": {"jacquard": "jacquard", "dobby": "dobby border", "plain": "plain border|plain hem"},
+    "socket": {"e27": "e 27", "e14": "e 14", "gu10": "gu 10", "b22": "b 22"},
+    "mechanism": {"twist": "twist", "click": "click|retractable", "cap": "with cap|capped"},
+    "use": {"food": "food safe", "irrigation": "irrigation", "drainage": "drainage"},
+    "end": {"plain": "plain end", "threaded": "threaded end", "socket": "socket end|bell end"},
+    "motor": {"brushless": "brushless", "brushed": "brushed|brushed motor"},
+    "hammer": {"no": "no hammer|drill driver|driver", "yes": "hammer|hammer action"},
+    "batteries": {"0": "tool only|bare tool", "1": "1 batt|with 1 battery|1 battery", "2": "2 batt|with 2 batteries|2 batteries", "3": "3 batt|with 3 batteries|3 batteries", "4": "4 batt|with 4 batteries|4 batteries"},
+    "drawing": {"fdy": "fdy|fully drawn", "poy": "poy|partially oriented", "dty": "dty|draw textured"},
+    "lustre": {"bright": "bright|brt", "semi": "semi dull|sd", "full": "full dull|fd"},
+    "insulation": {"rubber": "rubber insulated|rubber sheath", "pvc": "pvc insulated|pvc sheath", "xlpe": "xlpe insulated|xlpe sheath"},
+    "body": {"glass": "glass body", "metal": "metal body|steel body", "plastic": "plastic body|pp body"},
+    "fabric": {"wool": "for wool|wool care", "colours": "for colours|colour care", "whites": "for whites|white care"},
+    "scent": {"pine": "pine", "ocean": "ocean", "lavender": "lavender", "rose": "rose", "none": "unscented|fragrance free", "lemon": "lemon|citrus lemon"},
+    "coating": {"pu": "pu dipped|pu coated", "latex": "latex dipped|latex coated", "nitrile": "nitrile dipped|nitrile coated", "leather": "cow leather|cowhide"},
+    "fit": {"s": "size s|small", "m": "size m|medium", "l": "size l|large", "xl": "size xl|extra large"},
+    "colour": {
+        "white": "white|wht", "black": "black|blk|jet black", "navy": "navy|navy blue", "beige": "beige|sand beige", "ivory": "ivory|off white", "violet": "violet|purple", "grey": "grey|gray",
+        "green": "green|grn", "yellow": "yellow|ylw", "red": "red", "brown": "brown", "orange": "orange", "blue": "blue", "pink": "pink",
+    },
+}
+#: Praise and offers, which say nothing of the product.
+SALES_TALK = (
+    "customer favourite|hot sale|premium|100 genuine|no 1 in class|top seller|low moq|bulk offer|new arrival|oem welcome|best price|factory direct|ready to ship|as seen at the fair|export quality|"
+    "iso certified plant|wholesale|special deal|trusted supplier|choice|fast dispatch|free samples|great value|limited stock|said to contain|s t c|stc"
+)
+#: Names of goods, with the words by which a misspelt name is still known, and the attributes that count.
+GOODS: dict[str, tuple[str, str, str]] = {
+    "tea": ("black tea|tea black|black leaf tea|tea", "tea leaf", "leaf weight grade packing"),
+    "cardamom": ("green cardamom|cardamom green|cardamom green pods|cardamom", "cardamom pods", "length bold weight grade packing"),
+    "apricot": ("dried apricots|apricots dried|dry apricot|apricots|apricot", "apricots apricot dried", "stone cut sulphur weight grade packing"),
+    "cashew": ("cashew kernels|kernels of cashew|cashewnut kernel|cashew", "cashew cashewnut kernels kernel", "kernel_size roast weight grade packing"),
+    "oil": ("refined sunflower oil|sunflower oil|oil sunflower", "sunflower refined oil", "oleic volume grade packing"),
+    "detergent": ("liquid detergent|detergent liquid|laundry liquid", "detergent laundry liquid", "fabric scent volume packing"),
+    "towel": ("bath towel cotton|cotton bath towel|terry bath towel cotton|towel", "towel bath cotton terry", "gsm size border colour"),
+    "gloves": ("work gloves|gloves work|protective work gloves|gloves", "gloves work protective", "coating fit pack colour"),
+    "yarn": ("polyester yarn|yarn of polyester|polyester filament yarn|yarn", "yarn polyester filament", "denier filaments drawing lustre colour"),
+    "pipe": ("pvc pipe|pipe pvc|pvc pressure pipe|pipe", "pipe pvc pressure", "pressure length use end colour"),
+    "cable": ("copper cable|cable copper|copper conductor cable|cable", "cable copper conductor", "cores area insulation volt colour"),
+    "tile": ("ceramic floor tiles|floor tile ceramic|glazed ceramic tile for floors|tiles|tile", "tile tiles ceramic floor floors glazed", "size length finish grade colour"),
+    "bolt": ("bolt hex head|hex bolts|hexagon head bolt|bolt|bolts", "bolt bolts hex hexagon head", "diameter shank thread material pack"),
+    "pen": ("ball pen|pens ball point|ballpoint pens|pens", "pen pens ball point ballpoint", "tip mechanism pack colour"),
+    "kettle": ("electric kettle|kettle electric|cordless electric kettle|kettle", "kettle electric", "volume watt volt body colour"),
+    "charger": ("phone charger|charger for phone|wall charger mobile phone|charger", "charger phone wall mobile", "ports watt plug length colour"),
+    "drill": ("cordless drill|drill cordless|battery power drill|drill", "drill battery power", "volt length motor hammer batteries colour"),
+    "led": ("led bulb|bulb led|led lamp", "led bulb lamp", "watt kelvin socket pack"),
+}
+#: Units of measures in descriptions: dimension and factor to its base unit.
+MEASURES = {
+    "kg": ("weight", 1000), "kgs": ("weight", 1000), "kilo": ("weight", 1000), "kilos": ("weight", 1000), "g": ("weight", 1), "gm": ("weight", 1), "gms": ("weight", 1), "gram": ("weight", 1), "grams": ("weight", 1),
+    "ml": ("volume", 1), "cl": ("volume", 10), "l": ("volume", 1000), "ltr": ("volume", 1000), "litre": ("volume", 1000), "litres": ("volume", 1000), "liter": ("volume", 1000),
+    "mm": ("length", 1), "cm": ("length", 10), "m": ("length", 1000), "metre": ("length", 1000), "metres": ("length", 1000), "mtr": ("length", 1000), "meter": ("length", 1000),
+    "w": ("watt", 1), "watt": ("watt", 1), "watts": ("watt", 1), "kw": ("watt", 1000), "v": ("volt", 1), "volt": ("volt", 1), "volts": ("volt", 1),
+    "k": ("kelvin", 1), "kelvin": ("kelvin", 1), "d": ("denier", 1), "den": ("denier", 1), "denier": ("denier", 1), "f": ("filaments", 1), "fil": ("filaments", 1), "filaments": ("filaments", 1),
+    "c": ("cores", 1), "core": ("cores", 1), "cores": ("cores", 1), "gsm": ("gsm", 1),
+}
+N = r"(\d+(?:\.\d+)?)"
+_UNITS = "|".join(sorted(MEASURES, key=len, reverse=True))
+#: Patterns over the row of words, tried in this order at each place; each names its dimensions.
+_PATTERNS = [
+    ("material", r"(?:stainless steel|inox|ss) (\d{3})"),
+    ("socket", r"e 27|e 14|gu 10|b 22"),
+    ("leaf", r"pf 1|d 1|dust 1"),
+    ("fit", r"size (?:s|m|l|xl)"),
+    ("sulphur", r"natural no so 2|so 2 treated"),
+    ("pack", rf"pack of {N} doz(?:en)?|{N} doz(?:en)? (?:per )?pack|pack of {N}|{N} (?:pcs|pieces|pc) (?:per )?pack|{N} pack|{N} ct"),
+    ("bolt", rf"m {N} x {N}(?: mm)?|dia {N} mm l {N} mm|m {N} length {N} cm"),
+    ("size", rf"{N} x {N} (cm|mm)|{N} (cm|mm) by {N} (?:cm|mm)"),
+    ("gsm", rf"{N} g m 2"),
+    ("area", rf"{N} (?:mm 2(?! (?:port|batt|battery|batteries|pcs|pieces|doz|dozen|ct|pack|core|c|x) )|sq mm|sqmm)"),
+    ("tip", rf"{N} mm tip|{N} tip|fine {N}"),
+    ("pressure", rf"pn {N}|pressure class {N}"),
+    ("kernel_size", rf"size w {N}|w {N}|count {N} lb"),
+    ("season", rf"season {N}"),
+    ("plated", rf"m {N}"),
+    ("measure", rf"{N} ({_UNITS})"),
+    ("model", r"(?:ref |model |art )?([a-z]{2,3}) (\d{3,4})"),
+]
+#: What a listing says before a model: the trusted places from which the letters of models are mined.
+TRUSTED_MODEL = re.compile(r" (?:ref|model|art) ([a-z]{2,3}) \d{3,4} ")
+_EACH = {name: re.compile(pattern) for name, pattern in _PATTERNS}
+_WORDS = re.compile(r"\d+(?:[.,]\d+)?|[^\W\d_]+")
+FILLERS = set("by brand of for with in and the size ref model per x a no new art l or".split())
+
+
+@lru_cache(maxsize=1)
+def _fold_table() -> dict[int, str]:
+    source, target = folding._fold_pairs()
+    table = {ord(a): (target[i] if i < len(target) else "") for i, a in enumerate(source)}
+    source, target = folding._accent_pairs()
+    table.update({ord(a): b for a, b in zip(source, target)})
+    return table
+
+
+def words_of(description: str) -> list[str]:
+    """Lower-case words and numbers, look-alikes and accents folded."""
+    text = description
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", text).translate(_fold_table())
+        if not text.isascii():
+            text = "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
+    text = text.lower().replace("'", "")
+    if _MISREAD.search(text):
+        text = _CHUNK.sub(_repair, text)
+    return _WORDS.findall(text)
+
+
+_MISREAD = re.compile(r"[^\W\d_][0135@$]+[^\W\d_]")
+_CHUNK = re.compile(r"[^\W_]*[^\W\d_][0135@$]+[^\W\d_][\w@$]*")
+_UNLEET = str.maketrans("0135@$", "oiesas")
+
+
+def _repair(m: re.Match) -> str:
+    """A word with digits read in place of letters, if that makes a name of goods; sizes and models stay."""
+    word = m.group().translate(_UNLEET)
+    other = m.group().translate(str.maketrans("1", "l")).translate(_UNLEET)
+    for w in (word, other):
+        if w.isalpha() and (w in _keyword_goods() or (len(w) >= 4 and near_keyword(w))):
+            return w
+    return m.group()
+
+
+def _number(text: str) -> str:
+    """A number in its shortest form: 0.50 is 0.5, 25.0 is 25."""
+    value = float(text.replace(",", "."))
+    return f"{value:.4f}".rstrip("0").rstrip(".")
+
+
+@dataclass
+class Reading:
+    """What a description says: kind of goods, brand, model, attributes by dimension, unknown words."""
+
+    goods: str = ""
+    brand: str = ""
+    model: str = ""
+    attributes: dict[str, set] = field(default_factory=dict)
+    rest: list[str] = field(default_factory=list)
+
+
+class Reader:
+    """Reads descriptions with the fixed dictionary, and the brands and letters of models mined from the corpus."""
+
+    def __init__(self, brands: dict[str, str] | None = None, model_letters: frozenset[str] = frozenset()) -> None:
+        #: folded brand phrase -> brand
+        self.brands, self.model_letters = dict(brands or {}), frozenset(model_letters)
+        entries: dict[str, list[tuple[str, str]]] = {}
+        for dimension, values in PHRASES.items():
+            for value, phrases in values.items():
+                for phrase in phrases.split("|"):
+                    entries.setdefault(phrase, []).append((dimension, value))
+        for name, (phrases, _, _) in GOODS.items():
+            for phrase in phrases.split("|"):
+                entries.setdefault(phrase, []).append(("goods", name))
+        for phrase in SALES_TALK.split("|"):
+            entries.setdefault(phrase, []).append(("talk", phrase))
+        for phrase, brand in self.brands.items():
+            entries.setdefault(phrase, []).append(("brand", brand))
+        self.automaton = ahocorasick.Automaton()
+        for phrase, meanings in entries.items():
+            self.automaton.add_word(f" {phrase} ", (len(phrase) + 2, meanings))
+        self.automaton.make_automaton()
+        letters = "|".join(sorted(self.model_letters)) or "(?!)"
+        patterns = [(name, rf"(?:ref |model |art )?({letters}) (\d{{3,4}})" if name == "model" else pattern) for name, pattern in _PATTERNS]
+        self.scan = re.compile(r"(?<= )(?:" + "|".join(f"(?P<{name}>{pattern})" for name, pattern in patterns if name != "model" or self.model_letters) + r")(?= )")
+        self.keywords = {w: g for g, (_, words, _) in GOODS.items() for w in words.split()}
+        self.count_dims = {g: set(dims.split()) for g, (_, _, dims) in GOODS.items()}
+
+    def _matches(self, row: str) -> list[tuple[int, int, list]]:
+        """Longest matches from left to right that do not overlap but for the space between two."""
+        by_start: dict[int, tuple[int, list]] = {}
+        for end, (length, meanings) in self.automaton.iter(row):
+            start = end - length + 1
+            if start not in by_start or by_start[start][0] < end:
+                by_start[start] = (end, meanings)
+        out, free = [], 0
+        for start in sorted(by_start):
+            if start >= free:
+                end, meanings = by_start[start]
+                out.append((start, end, meanings))
+                free = end  # the closing space opens the next phrase
+        return out
+
+    def read(self, description: str | None) -> Reading:
+        words = words_of(description or "")
+        reading = Reading()
+        if not words:
+            return reading
+        row = " " + " ".join(w.replace(",", ".") for w in words) + " "
+        found: dict[str, set] = {}
+        put = lambda dimension, value: found.setdefault(dimension, set()).add(value)
+
+        def take(m: re.Match) -> str:
+            kind = m.lastgroup
+            groups = [g for g in _EACH[kind].fullmatch(m.group()).groups() if g is not None]
+            if kind == "pack":
+                many = float(groups[0]) * (12 if " doz" in m.group() else 1)
+                put("pack", _number(str(many)))
+            elif kind == "bolt":
+                put("diameter", _number(groups[0]))
+                put("shank", _number(str(float(groups[1]) * (10 if m.group().endswith("cm") else 1))))
+            elif kind == "size":
+                unit = next(g for g in groups if g in ("cm", "mm"))
+                sides = sorted(float(g) * (10 if unit == "cm" else 1) for g in groups if g not in ("cm", "mm"))
+                put("size", "x".join(_number(str(s)) for s in sides))
+            elif kind == "measure":
+                dimension, factor = MEASURES[groups[1]]
+                put(dimension, _number(str(float(groups[0]) * factor)))
+            elif kind == "model":
+                if groups[0] not in self.model_letters:
+                    return m.group()
+                put("model", groups[0] + groups[1])
+            elif kind == "material":
+                put(kind, groups[0])
+            elif kind == "fit":
+                put(kind, m.group().split()[1])
+            elif kind == "sulphur":
+                put(kind, "no" if "no" in m.group() else "yes")
+            elif kind in ("socket", "leaf"):
+                put(kind, m.group().replace("dust", "d").replace(" ", ""))
+            elif kind == "plated":
+                put("diameter", _number(groups[0]))
+            elif kind != "season":
+                put(kind, _number(groups[0]))
+            return "|"
+
+        row = self.scan.sub(take, row)
+        if "length" in row:  # M12, length 4 cm: the shank is read as a length of its own
+            row = row.replace(" length ", " ")
+        # phrases made of a number and a word (1 port, ss 304, d 1) are still there
+        rest, at = [], 0
+        for start, end, meanings in self._matches(row):
+            rest.append(row[at : start + 1])
+            at = end
+            for dimension, value in meanings:
+                put(dimension, value)
+        rest.append(row[at:])
+        left = [w for w in "".join(rest).replace("|", " ").split() if w not in FILLERS and not w[0].isdigit()]
+        reading.model = min(found.pop("model", {""}))
+        found.pop("talk", None)
+        brands, names = found.pop("brand", set()), found.pop("goods", set())
+        reading.brand = min(brands) if brands else ""
+        reading.goods, left = self._goods(names, found, left)
+        dims = self.count_dims.get(reading.goods)
+        if reading.goods == "bolt" and "length" in found and "shank" not in found:
+            found["shank"] = found["length"]
+        reading.attributes = {d: v for d, v in found.items() if dims is None or d in dims}
+        reading.rest = left
+        return reading
+
+    def _goods(self, names: set[str], found: dict[str, set], left: list[str]) -> tuple[str, list[str]]:
+        """The kind of goods: by its name, by keywords even if misspelt, and by the attributes that are there."""
+        score: dict[str, float] = {}
+        for name in names:
+            score[name] = score.get(name, 0) + 4
+        unknown = []
+        for word in left:
+            goods = self.keywords.get(word)
+            weight = 2.0
+            if goods is None:
+                goods, weight = near_keyword(word), 1.5
+            if goods is not None:
+                score[goods] = score.get(goods, 0) + weight
+            else:
+                unknown.append(word)
+        for goods, dims in self.count_dims.items():
+            hits = sum(d in dims for d in found)
+            if hits and (goods in score or hits >= 2):
+                score[goods] = score.get(goods, 0) + 0.6 * hits
+        if not score:
+            return "", unknown
+        return max(sorted(score), key=lambda g: score[g]), unknown
+
+
+@lru_cache(maxsize=1)
+def _deletes() -> dict[str, set[str]]:
+    """Keywords by each form that one deletion makes of them."""
+    out: dict[str, set[str]] = {}
+    for _, words, _ in GOODS.values():
+        for w in words.split():
+            for form in {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))}:
+                out.setdefault(form, set()).add(w)
+    return out
+
+
+@lru_cache(maxsize=1)
+def _keyword_goods() -> dict[str, str]:
+    return {w: g for g, (_, words, _) in GOODS.items() for w in words.split()}
+
+
+@lru_cache(maxsize=200_000)
+def near_keyword(word: str) -> str | None:
+    """The goods whose keyword is one edit away (two for long words), or inside a word run together."""
+    goods = _keyword_goods()
+    if len(word) < 3:
+        return None
+    forms = {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
+    near = {k for f in forms for k in _deletes().get(f, ()) if abs(len(k) - len(word)) <= 1}
+    if not near and len(word) >= 6:
+        near = {k for k in goods if len(k) >= 6 and abs(len(k) - len(word)) <= 2 and _distance(word, k) <= 2}
+    if not near:
+        near = {k for k in goods if len(k) >= 4 and (k in word or (len(word) >= 4 and k.startswith(word)))}
+    found = {goods[k] for k in near}
+    return min(found) if len(found) == 1 else None
+
+
+def _distance(a: str, b: str) -> int:
+    """Edit distance with swaps of neighbours."""
+    before, row = None, list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            best = min(row[j - 1] + 1, last[j] + 1, last[j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                best = min(best, before[j - 2] + 1)
+            row.append(best)
+        before = last
+    return row[-1]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quayside.llm import canonical, glyphs, mixing, quality, tokenizer
+from quayside.llm import canonical, glyphs, matching, mixing, products, quality, tokenizer
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,23 @@ def p1_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.where("ref_id = 0").groupBy("field", "value").agg(F.count("*").alias("n_rows"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return products.product_pairs(_table(spark, sf_dir, "line_items"))
+
+
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return products.product_groups(_table(spark, sf_dir, "line_items"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_matches(spark, sf_dir).select("line_id_a", "line_id_b")
+
+
+def p4_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matches with their marginal probabilities."""
+    return matching.match_lines(_table(spark, sf_dir, "line_items"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return glyphs.disguised(_table(spark, sf_dir, "line_items"), "line_id", "quote")
 
@@ -59,7 +76,7 @@ def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_unmatched": p1_unmatched,
+    "p1_found": p1_found, "p1_unmatched": p1_unmatched, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_matches": p4_matches,
     "p5_found": p5_found, "p5_normalised": p5_normalised, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip,
     "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_statistics": p8_statistics,
 }
