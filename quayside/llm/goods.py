@@ -113,6 +113,7 @@ _PATTERNS = [
     ("season", rf"season {N}"),
     ("plated", rf"m {N}"),
     ("measure", rf"{N} ({_UNITS})"),
+    ("any_model", rf"(?:ref |model |art )?([a-z]{{2,3}}) (\d{{3,4}})(?! (?:{_UNITS}|ct|pcs|pieces|pack|doz|x|sq|sqmm|port)(?! \d))"),
     ("model", r"(?:ref |model |art )?([a-z]{2,3}) (\d{3,4})"),
 ]
 #: What a listing says before a model: the trusted places from which the letters of models are mined.
@@ -179,7 +180,7 @@ class Reading:
 class Reader:
     """Reads descriptions with the fixed dictionary, and the brands and letters of models mined from the corpus."""
 
-    def __init__(self, brands: dict[str, str] | None = None, model_letters: frozenset[str] = frozenset()) -> None:
+    def __init__(self, brands: dict[str, str] | None = None, model_letters: frozenset[str] = frozenset(), any_model: bool = False) -> None:
         #: folded brand phrase -> brand
         self.brands, self.model_letters = dict(brands or {}), frozenset(model_letters)
         entries: dict[str, list[tuple[str, str]]] = {}
@@ -200,7 +201,7 @@ class Reader:
         self.automaton.make_automaton()
         letters = "|".join(sorted(self.model_letters)) or "(?!)"
         patterns = [(name, rf"(?:ref |model |art )?({letters}) (\d{{3,4}})" if name == "model" else pattern) for name, pattern in _PATTERNS]
-        self.scan = re.compile(r"(?<= )(?:" + "|".join(f"(?P<{name}>{pattern})" for name, pattern in patterns if name != "model" or self.model_letters) + r")(?= )")
+        self.scan = re.compile(r"(?<= )(?:" + "|".join(f"(?P<{name}>{pattern})" for name, pattern in patterns if (name != "model" or self.model_letters) and (name != "any_model" or any_model)) + r")(?= )")
         self.keywords = {w: g for g, (_, words, _) in GOODS.items() for w in words.split()}
         self.count_dims = {g: set(dims.split()) for g, (_, _, dims) in GOODS.items()}
 
@@ -244,6 +245,8 @@ class Reader:
             elif kind == "measure":
                 dimension, factor = MEASURES[groups[1]]
                 put(dimension, _number(str(float(groups[0]) * factor)))
+            elif kind == "any_model":
+                put("model", groups[0] + groups[1])
             elif kind == "model":
                 if groups[0] not in self.model_letters:
                     return m.group()
@@ -288,6 +291,9 @@ class Reader:
 
     def _goods(self, names: set[str], found: dict[str, set], left: list[str]) -> tuple[str, list[str]]:
         """The kind of goods: by its name, by keywords even if misspelt, and by the attributes that are there."""
+        if len(names) == 1:
+            goods = next(iter(names))
+            return goods, [w for w in left if w not in self.keywords and near_keyword(w) != goods] if left else left
         score: dict[str, float] = {}
         for name in names:
             score[name] = score.get(name, 0) + 4

@@ -12,17 +12,23 @@ by the data a consignment has at most some seventy goods. Ties are broken by pos
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from quayside.functions.numbers import printed_number
 from quayside.functions.text import fold_lookalikes
-from quayside.llm.products import described, mine_dictionary, originals, read_column
+from quayside.llm.goods import GOODS, Reader
+from quayside.llm.products import described, originals
 from quayside.session import cut_lineage
 
 #: Log-odds of a pair before anything is compared, and what each comparison adds: equal, different.
-PRIOR = -2.5
+PRIOR = 0.3
 EVIDENCE = {"brand": (3.0, -7.0), "model": (4.0, -7.0), "mark": (1.3, -5.0), "gross": (6.0, -6.0), "net": (3.0, -0.5), "quantity": (2.0, 0.0), "place": (0.6, 0.0)}
 #: Pairs below this are impossible: two contradictions and nothing for them.
 LEAST = -8.0
@@ -31,20 +37,60 @@ ROUNDS, BLOCKS, STILL = 4, 5, 1e-2
 LEAST_PROBABILITY = 0.5
 
 
+#: A word is taken for a brand if so many invoice lines of so many consignments have it as their only unknown one.
+BRAND_LINES, BRAND_CONSIGNMENTS, MAX_BRANDS = 3, 2, 200_000
+
+
 def _figure(text: Column) -> Column:
-    return F.when(text.rlike("[1-9]"), printed_number(F.trim(F.regexp_replace(fold_lookalikes(text), "[\\s]*(?i:kgs?\\.?)$", ""))))
+    plain = F.when(text.rlike("^[0-9., ']+$"), text).otherwise(F.trim(F.regexp_replace(fold_lookalikes(text), "[\\s]*(?i:kgs?\\.?)$", "")))
+    return F.when(text.rlike("[1-9]"), printed_number(plain))
+
+
+READ_SCHEMA = T.StructType([
+    T.StructField("goods", T.StringType()), T.StructField("model", T.StringType()), T.StructField("marks", T.ArrayType(T.LongType())),
+    T.StructField("word_1", T.StringType()), T.StructField("word_2", T.StringType()), T.StructField("trusted", T.BooleanType()),
+])
+DIMENSIONS = {d: k for k, d in enumerate(sorted({d for _, _, dims in GOODS.values() for d in dims.split()}), 1)}
+_READERS: list[Reader] = []
+
+
+@F.pandas_udf(READ_SCHEMA)
+def _read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """Goods, model, attributes as numbers (dimension above, digest of the value below), and words not understood."""
+    if not _READERS:
+        _READERS.append(Reader(any_model=True))
+    reader = _READERS[0]
+    for batch in batches:
+        rows = []
+        for text in batch:
+            r = reader.read(text)
+            words = [w for w in r.rest if len(w) > 3]
+            marks = [DIMENSIONS.get(d, 0) << 32 | zlib.crc32("|".join(sorted(v)).encode()) for d, v in r.attributes.items()]
+            trusted = bool(r.goods) and len(words) == 1 and len(marks) >= len(reader.count_dims[r.goods]) - 1
+            rows.append((r.goods, r.model, marks, words[0] if words else None, words[1] if len(words) > 1 else None, trusted))
+        yield pd.DataFrame(rows, columns=["goods", "model", "marks", "word_1", "word_2", "trusted"])
 
 
 def read_lines(lines: DataFrame) -> DataFrame:
-    """The lines that can be matched, with what their descriptions and figures say."""
+    """The lines that can be matched, with what their descriptions and figures say; each description is read once.
+
+    Brands are the words that invoice lines understood but for one word have in common; the table of them is broadcast,
+    cut to MAX_BRANDS, the best borne out first.
+    """
     wanted = described(lines.where("consignment_id IS NOT NULL AND source_doc IS NOT NULL"))
-    dictionary = mine_dictionary(wanted.where("source_doc = 'invoice'"))
     first = originals(wanted, "description", "quantity", "net_weight_kg", "gross_weight_kg")
-    read = first.select(
-        "line_id", "consignment_id", "source_doc", "line_no", read_column(lines.sparkSession, dictionary, F.col("description")).alias("r"),
-        _figure(F.col("gross_weight_kg")).alias("gross"), _figure(F.col("net_weight_kg")).alias("net"), F.col("quantity"),
+    read = cut_lineage(first.select(
+        "line_id", "consignment_id", "source_doc", "line_no", _read.asNondeterministic()("description").alias("r"),
+        _figure(F.col("gross_weight_kg")).alias("gross"), _figure(F.col("net_weight_kg")).alias("net"), F.when(F.col("quantity").rlike("[1-9]"), F.lower(F.trim("quantity"))).alias("quantity"),
+    ))
+    trusted = read.where("source_doc = 'invoice' AND r.trusted").groupBy(F.col("r.word_1").alias("brand")).agg(F.count("*").alias("n"), F.approx_count_distinct("consignment_id").alias("m"))
+    brands = cut_lineage(trusted.where((F.col("n") >= BRAND_LINES) & (F.col("m") >= BRAND_CONSIGNMENTS)).orderBy(F.desc("n"), "brand").limit(MAX_BRANDS).select("brand"))
+    b1, b2 = F.broadcast(brands.withColumnRenamed("brand", "brand_1")), F.broadcast(brands.withColumnRenamed("brand", "brand_2"))
+    known = read.where("r.goods <> ''").join(b1, F.col("r.word_1") == F.col("brand_1"), "left").join(b2, F.col("r.word_2") == F.col("brand_2"), "left")
+    dims = F.transform("r.marks", lambda x: F.shiftright(x, 32).cast("int"))
+    return known.select(
+        "line_id", "consignment_id", "source_doc", "line_no", "r.goods", F.coalesce("brand_1", "brand_2", F.lit("")).alias("brand"), "r.model", "r.marks", dims.alias("dims"), "gross", "net", "quantity",
     )
-    return read.where("r.goods <> ''").select("line_id", "consignment_id", "source_doc", "line_no", "r.goods", "r.brand", "r.model", "r.marks", "r.dims", "gross", "net", F.when(F.col("quantity").rlike("[1-9]"), F.lower(F.trim("quantity"))).alias("quantity"))
 
 
 def _evidence(name: str, a: Column, b: Column, stated: Column) -> Column:
@@ -80,54 +126,53 @@ def _others(message: Column, *side: str) -> Column:
 
 
 def propagate(pairs: DataFrame) -> DataFrame:
-    """The pairs with ``probability``: messages of the one-to-one factors until they are still.
+    """The pairs with ``probability`` and ``alone`` (neither line has another candidate in the other's document).
 
-    All messages of a consignment stay in the partition of its pairs: they are shuffled once, and each round only sorts
-    them. Consignments whose messages are still after a block of rounds are done.
+    Messages of the one-to-one factors are exchanged until they are still, damped by a half. All messages of a
+    consignment stay in the partition of its pairs: they are shuffled once, and each round only sorts them. Consignments
+    whose messages are still after a block of rounds are done; a pair without rivals needs no message.
     """
-    counted = pairs.repartition("consignment_id").withColumn("na", F.count("*").over(W.partitionBy("consignment_id", "docs", "a"))).withColumn("nb", F.count("*").over(W.partitionBy("consignment_id", "docs", "b")))
-    counted = cut_lineage(counted)
+    degree = lambda side: F.count("*").over(W.partitionBy("consignment_id", "docs", side))
+    counted = cut_lineage(pairs.repartition("consignment_id").withColumn("na", degree("a")).withColumn("nb", degree("b")))
     columns = ["consignment_id", "a", "b", "docs", "odds"]
-    done = counted.where("na = 1 AND nb = 1").select(*columns, F.col("odds").alias("belief"))
-    # to_a: the message of pair ab to the factor of a (all but a's own competitors); to_b likewise
-    state = counted.where("na > 1 OR nb > 1").select(*columns, F.col("odds").alias("to_a"), F.col("odds").alias("to_b"))
+    done = counted.where("na = 1 AND nb = 1").select(*columns, F.col("odds").alias("belief"), F.lit(True).alias("alone"))
+    state = counted.where("na > 1 OR nb > 1").select(*columns, F.col("odds").alias("to_a"), F.col("odds").alias("to_b")).repartition("consignment_id")
     for block in range(BLOCKS):
         for _ in range(ROUNDS):
             step = state.withColumn("from_a", _others(F.col("to_a"), "a")).withColumn("from_b", _others(F.col("to_b"), "b"))
-            state = step.select(*columns, (F.col("odds") - F.col("from_b")).alias("to_a"), (F.col("odds") - F.col("from_a")).alias("to_b"), F.greatest(F.abs(F.col("odds") - F.col("from_b") - F.col("to_a")), F.abs(F.col("odds") - F.col("from_a") - F.col("to_b"))).alias("change"))
+            new_a, new_b = (F.col("to_a") + F.col("odds") - F.col("from_b")) / 2, (F.col("to_b") + F.col("odds") - F.col("from_a")) / 2
+            state = step.select(*columns, new_a.alias("to_a"), new_b.alias("to_b"), F.greatest(F.abs(new_a - F.col("to_a")), F.abs(new_b - F.col("to_b"))).alias("change"))
         last = state.withColumn("from_a", _others(F.col("to_a"), "a")).withColumn("from_b", _others(F.col("to_b"), "b")).withColumn("belief", F.col("odds") - F.col("from_a") - F.col("from_b"))
         last = cut_lineage(last.withColumn("moved", F.max("change").over(W.partitionBy("consignment_id"))))
-        if block == BLOCKS - 1:
-            done = done.unionByName(last.select(*columns, "belief"))
-            break
-        done = done.unionByName(last.where(F.col("moved") <= STILL).select(*columns, "belief"))
+        over = block == BLOCKS - 1
+        done = done.unionByName(last.where(F.lit(over) | (F.col("moved") <= STILL)).select(*columns, "belief", F.lit(False).alias("alone")))
         moving = last.where(F.col("moved") > STILL)
-        if moving.isEmpty():
+        if over or moving.isEmpty():
             break
-        state = moving.select(*columns, "to_a", "to_b")
+        state = moving.select(*columns, "to_a", "to_b").repartition("consignment_id")
     return done.withColumn("probability", 1 / (1 + F.exp(-F.greatest(F.least("belief", F.lit(40.0)), F.lit(-40.0)))))
 
 
 def best_matches(beliefs: DataFrame) -> DataFrame:
-    """Pairs over LEAST_PROBABILITY that are the best of both their lines."""
+    """Pairs over LEAST_PROBABILITY that are the best of both their lines; a pair without rivals is that by itself."""
+    columns = ["consignment_id", "docs", "a", "b", F.round("probability", 6).alias("probability")]
+    likely = beliefs.where(F.col("probability") >= LEAST_PROBABILITY)
     best = lambda side, other: F.row_number().over(W.partitionBy("consignment_id", "docs", side).orderBy(F.desc("probability"), F.desc("odds"), other))
-    ranked = beliefs.where(F.col("probability") >= LEAST_PROBABILITY).withColumn("ka", best("a", "b")).withColumn("kb", best("b", "a"))
-    return ranked.where("ka = 1 AND kb = 1").select("consignment_id", "docs", "a", "b", F.round("probability", 6).alias("probability"))
+    ranked = likely.where("NOT alone").repartition("consignment_id").withColumn("ka", best("a", "b")).withColumn("kb", best("b", "a"))
+    return likely.where("alone").select(*columns).unionByName(ranked.where("ka = 1 AND kb = 1").select(*columns))
 
 
 def close_triangles(matches: DataFrame) -> DataFrame:
-    """Also the pairs that follow from two matches over a third document, where neither line has another partner."""
-    ends = matches.select("consignment_id", F.col("a").alias("x"), F.col("b").alias("y"), F.element_at(F.split("docs", "-"), 1).alias("dx"), F.element_at(F.split("docs", "-"), 2).alias("dy"), "probability")
-    both = cut_lineage(ends.unionByName(ends.select("consignment_id", F.col("y").alias("x"), F.col("x").alias("y"), F.col("dy").alias("dx"), F.col("dx").alias("dy"), "probability")))
-    left = both.select("consignment_id", F.col("x").alias("hub"), F.col("y").alias("a"), F.col("dy").alias("da"), F.col("probability").alias("pa"))
-    right = both.select("consignment_id", F.col("x").alias("hub"), F.col("y").alias("b"), F.col("dy").alias("db"), F.col("probability").alias("pb"))
-    implied = left.join(right, ["consignment_id", "hub"]).where("da < db").groupBy("consignment_id", "a", "b", "da", "db").agg(F.max(F.col("pa") * F.col("pb")).alias("probability"))
-    taken = both.select("consignment_id", F.col("x"), F.col("dy"))
-    free = implied.join(taken.select("consignment_id", F.col("x").alias("a"), F.col("dy").alias("db")), ["consignment_id", "a", "db"], "left_anti")
-    free = free.join(taken.select("consignment_id", F.col("x").alias("b"), F.col("dy").alias("da")), ["consignment_id", "b", "da"], "left_anti")
-    one = lambda side, doc: F.row_number().over(W.partitionBy("consignment_id", side, doc).orderBy(F.desc("probability"), "a", "b"))
-    free = free.withColumn("ka", one("a", "db")).withColumn("kb", one("b", "da")).where("ka = 1 AND kb = 1")
-    added = free.select("consignment_id", F.concat_ws("-", "da", "db").alias("docs"), "a", "b", F.round("probability", 6).alias("probability"))
+    """Also the pairs that follow from two matches over a third document, where neither line has another partner.
+
+    A line whose only partner is the hub is free in the other document; two such lines of one hub belong together.
+    """
+    docs = F.split("docs", "-")
+    end = lambda x, y, dx: matches.select("consignment_id", F.col(x).alias("line"), F.col(y).alias("hub"), dx.alias("doc"), "probability")
+    ends = end("a", "b", docs[0]).unionByName(end("b", "a", docs[1]))
+    single = ends.groupBy("consignment_id", "line").agg(F.count("*").alias("n"), F.first("hub").alias("hub"), F.first("doc").alias("doc"), F.first("probability").alias("probability")).where("n = 1")
+    two = single.groupBy("consignment_id", "hub").agg(F.count("*").alias("n"), F.min(F.struct("doc", "line", "probability")).alias("x"), F.max(F.struct("doc", "line", "probability")).alias("y")).where("n = 2 AND x.doc < y.doc")
+    added = two.select("consignment_id", F.concat_ws("-", "x.doc", "y.doc").alias("docs"), F.col("x.line").alias("a"), F.col("y.line").alias("b"), F.round(F.col("x.probability") * F.col("y.probability"), 6).alias("probability"))
     return matches.unionByName(added)
 
 

@@ -82,12 +82,15 @@ def _reader(shared: Broadcast) -> Reader:
 
 READ_SCHEMA = T.StructType([
     T.StructField("goods", T.StringType()), T.StructField("brand", T.StringType()), T.StructField("model", T.StringType()),
-    T.StructField("marks", T.ArrayType(T.StringType())), T.StructField("dims", T.ArrayType(T.StringType())), T.StructField("rest", T.StringType()),
+    T.StructField("marks", T.ArrayType(T.StringType())), T.StructField("rest", T.StringType()),
 ])
 
 
 def read_column(spark: SparkSession, dictionary: tuple[list[str], list[str]], description: Column) -> Column:
-    """A description as struct(goods, brand, model, marks, dims, rest); marks are ``dimension=value``, in order."""
+    """A description as struct(goods, brand, model, marks, rest); marks are ``dimension=value``, in order.
+
+    A single unknown word stands in for a brand that the dictionary lacks.
+    """
     shared = spark.sparkContext.broadcast((tuple(dictionary[0]), tuple(dictionary[1])))
 
     @F.pandas_udf(READ_SCHEMA)
@@ -102,11 +105,11 @@ def read_column(spark: SparkSession, dictionary: tuple[list[str], list[str]], de
                     unknown = [w for w in r.rest if len(w) > 3]
                     brand = unknown[0] if len(unknown) == 1 else ""
                 rest = "" if r.goods in GOODS else " ".join(sorted(set(r.rest)))
-                dims = sorted(r.attributes)
-                rows.append((r.goods, brand, r.model, [f"{d}={'|'.join(sorted(r.attributes[d]))}" for d in dims], dims, rest))
-            yield pd.DataFrame(rows, columns=["goods", "brand", "model", "marks", "dims", "rest"])
+                rows.append((r.goods, brand, r.model, [f"{d}={'|'.join(sorted(r.attributes[d]))}" for d in sorted(r.attributes)], rest))
+            yield pd.DataFrame(rows, columns=["goods", "brand", "model", "marks", "rest"])
 
-    return read(description)
+    # not deterministic for the optimizer: it would run the function once more for each filter on its result
+    return read.asNondeterministic()(description)
 
 
 def product_lines(lines: DataFrame) -> DataFrame:
