@@ -118,10 +118,23 @@ def extract_lines(pages: DataFrame, extractor: Callable[[str, int, str], list[di
 
 
 def parse_reply(reply: Column) -> Column:
-    """A model's JSON reply as an array of raw lines; every number stays text, so none becomes a float."""
-    line = T.StructType([T.StructField(n, T.StringType()) for n in ("line_no", "description", "quantity", "unit", "unit_price", "currency", "value", "net_weight_kg", "gross_weight_kg", "origin", "incoterm", "page", "quote")])
-    whole = F.from_json(reply, T.StructType([T.StructField("lines", T.ArrayType(line))]))
-    return whole["lines"]
+    """A model's JSON reply as an array of raw lines, all fields text; null if it is no such JSON.
+
+    Numbers are read as decimals and printed in plain digits, so none passes through a float.
+    """
+    names = ("line_no", "description", "quantity", "unit", "unit_price", "currency", "value", "net_weight_kg", "gross_weight_kg", "origin", "incoterm", "page", "quote")
+    numbers = ("line_no", *NUMBERS, "page")
+
+    def lines(kind: T.DataType, wanted: tuple[str, ...]) -> Column:
+        line = T.StructType([T.StructField(n, kind) for n in wanted])
+        return F.from_json(reply, T.StructType([T.StructField("lines", T.ArrayType(line))]))["lines"]
+
+    def merged(text: Column, exact: Column) -> Column:
+        digits = lambda n: F.regexp_replace(F.regexp_replace(exact[n].cast("string"), "([.][0-9]*?)0+$", "$1"), "[.]$", "")
+        field = lambda n: F.when(text[n].rlike("^-?[0-9.]+([eE][-+]?[0-9]+)?$"), F.coalesce(digits(n), text[n])).otherwise(text[n]) if n in numbers else text[n]
+        return F.struct(*[field(n).alias(n) for n in names])
+
+    return F.zip_with(lines(T.StringType(), names), lines(T.DecimalType(38, 10), numbers), merged)
 
 
 def consignments_json(headers: DataFrame, lines: DataFrame) -> DataFrame:

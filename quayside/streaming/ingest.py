@@ -10,7 +10,8 @@ from pyspark.sql.streaming import StreamingQuery
 def line_stream(spark: SparkSession, folder: str, files_per_trigger: int = 16) -> DataFrame:
     """The line items of a folder of Parquet files, file by file."""
     schema = spark.read.parquet(folder).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+    return stream.withColumn("loaded_at", F.col("loaded_at").cast("timestamp"))  # a watermark needs a zoned time
 
 
 def first_extractions(lines: DataFrame, delay: str = "10 days") -> DataFrame:
