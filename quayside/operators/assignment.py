@@ -29,13 +29,30 @@ def token_set(text: str | None) -> frozenset[str]:
     return frozenset(_TOKEN.findall((text or "").lower())) - frozenset(STOP_WORDS)
 
 
-def similarity(a: frozenset[str], b: frozenset[str], weights: dict[str, float]) -> float:
+class Described:
+    """A line's tokens with what their comparison needs, prepared once: the sorted text and a matcher on it."""
+
+    def __init__(self, line_id: int, text: str | None, place: float) -> None:
+        self.line_id, self.tokens, self.place = line_id, token_set(text), place
+        self.sorted = " ".join(sorted(self.tokens))
+        self._matcher: SequenceMatcher | None = None
+
+    def ratio(self, other: Described) -> float:
+        """Sequence ratio of the other's sorted text to this one's; the index of this one's characters is kept."""
+        if self._matcher is None:
+            self._matcher = SequenceMatcher(None, "", self.sorted)
+        self._matcher.set_seq1(other.sorted)
+        return self._matcher.ratio()
+
+
+def similarity(a: Described, b: Described, weights: dict[str, float]) -> float:
     """Four fifths weighted Jaccard and one fifth sequence ratio of the sorted tokens."""
-    if not a or not b:
+    if not a.tokens or not b.tokens:
         return 0.0
-    mass = lambda tokens: math.fsum(weights.get(t, 1.0) for t in sorted(tokens))
-    ratio = SequenceMatcher(None, " ".join(sorted(a)), " ".join(sorted(b))).ratio()
-    return 0.8 * mass(a & b) / mass(a | b) + 0.2 * ratio
+    if a.tokens == b.tokens:
+        return 1.0
+    mass = lambda tokens: math.fsum(weights.get(t, 1.0) for t in tokens)
+    return 0.8 * mass(a.tokens & b.tokens) / mass(a.tokens | b.tokens) + 0.2 * b.ratio(a)
 
 
 def largest_assignment(score: np.ndarray) -> list[tuple[int, int]]:
@@ -92,19 +109,19 @@ def match_consignment(lines: pd.DataFrame) -> pd.DataFrame:
         items = lines[lines["source_doc"] == doc].sort_values(["line_no", "line_id"], na_position="last")
         if items.empty:
             continue
-        new = [(int(r.line_id), token_set(r.description), _place(i, len(items))) for i, r in enumerate(items.itertuples())]
-        pool = [t for g in groups for t in g["tokens"]] + [t for _, t, _ in new]
+        new = [Described(int(r.line_id), r.description, _place(i, len(items))) for i, r in enumerate(items.itertuples())]
+        pool = [m.tokens for g in groups for m in g["members"]] + [m.tokens for m in new]
         count = Counter(w for tokens in pool for w in tokens)
         weights = {w: math.log(1 + len(pool) / k) for w, k in count.items()}
-        alike = np.array([[max((similarity(t, tokens, weights) for t in g["tokens"]), default=0.0) for _, tokens, _ in new] for g in groups]).reshape(len(groups), len(new))
-        near = np.array([[1 - abs(g["place"] - place) for _, _, place in new] for g in groups]).reshape(len(groups), len(new))
+        alike = np.array([[max(similarity(m, item, weights) for m in g["members"]) for item in new] for g in groups]).reshape(len(groups), len(new))
+        near = np.array([[1 - abs(g["place"] - item.place) for item in new] for g in groups]).reshape(len(groups), len(new))
         taken = set()
         for g, i in largest_assignment(DESCRIPTION_WEIGHT * alike + (1 - DESCRIPTION_WEIGHT) * near):
             if alike[g, i] >= LEAST_SIMILARITY:
-                groups[g]["lines"][doc] = (new[i][0], round(float(alike[g, i]), 3))
-                groups[g]["tokens"].append(new[i][1])
+                groups[g]["lines"][doc] = (new[i].line_id, round(float(alike[g, i]), 3))
+                groups[g]["members"].append(new[i])
                 taken.add(i)
-        groups += [{"lines": {doc: (line, 1.0)}, "tokens": [tokens], "place": place} for i, (line, tokens, place) in enumerate(new) if i not in taken]
+        groups += [{"lines": {doc: (m.line_id, 1.0)}, "members": [m], "place": m.place} for i, m in enumerate(new) if i not in taken]
     consignment = lines["consignment_id"].iloc[0]
     rows = [(consignment, k, doc, line, score) for k, g in enumerate(groups, 1) for doc, (line, score) in g["lines"].items()]
     return pd.DataFrame(rows, columns=["consignment_id", "group_no", "source_doc", "line_id", "score"])
@@ -112,5 +129,8 @@ def match_consignment(lines: pd.DataFrame) -> pd.DataFrame:
 
 def assign_lines(lines: DataFrame) -> DataFrame:
     """(consignment_id, group_no, source_doc, line_id, score): each line in exactly one group of its consignment."""
-    narrow = lines.select("consignment_id", "source_doc", "line_no", "line_id", "description").where("consignment_id IS NOT NULL")
+    spark = lines.sparkSession
+    # the rows are few bytes but much work: a stated number of partitions is not coalesced by size
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    narrow = lines.select("consignment_id", "source_doc", "line_no", "line_id", "description").where("consignment_id IS NOT NULL").repartition(parts, "consignment_id")
     return narrow.groupBy("consignment_id").applyInPandas(match_consignment, SCHEMA)
