@@ -76,3 +76,13 @@ def test_offsets_are_applied(spark):
 def test_printed_numbers(spark, text, want):
     found = spark.createDataFrame([(text,)], "t string").select(printed_number(F.col("t")).alias("n")).first()["n"]
     assert found is None if want is None else abs(float(found) - want) < 1e-9
+
+
+@pytest.mark.parametrize(("a", "b", "want"), [("portugal", "potuagl", 2), ("bangladesh", "banlgaedsh", 2), ("slovenia", "slovakia", 2), ("pound", "puond", 1), ("a", "a", 0), ("metre", "mere", 1), ("kitten", "sitting", 3)])
+def test_edit_distance(spark, a, b, want):
+    from quayside.operators.edit_join import edit_distance, edit_distance_join
+
+    pair = spark.createDataFrame([(a, b)], "a string, b string")
+    assert pair.select(edit_distance(F.col("a"), F.col("b")).alias("d")).first()["d"] == want
+    found = edit_distance_join(pair.select(F.col("a").alias("word")), "word", pair.select(F.col("b").alias("name")), "name").collect()
+    assert [r["distance"] for r in found] == ([want] if want <= 2 else [])
