@@ -70,7 +70,7 @@ def join_counted(df: DataFrame, key: str, use: Column, small: DataFrame, spread:
 def clean_measure(text: Column) -> Column:
     """The printed measure without disguise, without about, equals and only, null where blank."""
     t = F.trim(F.regexp_replace(fold_lookalikes(text), "\\s+", " "))
-    t = F.trim(F.regexp_replace(t, "^(?:(?i:abt\\.?|about|approx\\.?|ca\\.?)|=|~)\\s*|\\s+(?i:only)$", ""))
+    t = F.trim(F.regexp_replace(t, "^(?:(?i:abt\\.?|about|approx\\.?|ca\\.?)(?=[\\s0-9])|=|~)\\s*|\\s+(?i:only)$", ""))
     return F.when(text.rlike("^[0-9][0-9.,]*$"), text).otherwise(F.nullif(t, F.lit("")))
 
 
@@ -120,6 +120,10 @@ def first_words(text: Column) -> Column:
 NET_IN_QUOTE = f"(?:NT\\.WT|N/W|\\bnet)\\s+{NUMBER}\\s*(.*)$"
 
 
+#: A cell longer than this holds no measure.
+LONGEST_MEASURE = 200
+
+
 def staged(df: DataFrame, *columns: Column) -> DataFrame:
     """``df.select(*columns)`` evaluated once: later steps use the values and do not repeat their expressions."""
     return df.select(F.inline(F.array(F.struct(*columns))))
@@ -137,7 +141,7 @@ def measures(lines: DataFrame) -> DataFrame:
         "line_id", "description", "quote",
         F.inline(F.array(cell("quantity", F.col("quantity"), F.col("unit"), none), cell("net_weight_kg", F.col("net_weight_kg"), none, F.col("gross_weight_kg")))),
     )
-    cells = cells.where("trim(value) <> ''")
+    cells = cells.where(f"trim(value) <> '' AND length(value) <= {LONGEST_MEASURE}")
     carried = ["line_id", "field", "description", "quote", "unit", "gross"]
     cells = staged(cells, *[F.col(c) for c in carried], clean_measure(F.col("value")).alias("value"))
     cells = staged(cells, *[F.col(c) for c in carried], split_measure(F.col("value")).alias("s")).where("s.n1 IS NOT NULL")

@@ -86,3 +86,9 @@ def test_edit_distance(spark, a, b, want):
     assert pair.select(edit_distance(F.col("a"), F.col("b")).alias("d")).first()["d"] == want
     found = edit_distance_join(pair.select(F.col("a").alias("word")), "word", pair.select(F.col("b").alias("name")), "name").collect()
     assert [r["distance"] for r in found] == ([want] if want <= 2 else [])
+
+
+def test_very_long_numbers_do_no_harm(spark, data):
+    long = "1,1" * 40_000
+    rows = [{"line_id": 1, "quantity": long, "net_weight_kg": long, "gross_weight_kg": long}, {"line_id": 2, "quantity": "5", "description": "x", "quote": f"1 x 5 MT net {long} kg"}, {"line_id": 3, "net_weight_kg": "5", "gross_weight_kg": long}]
+    assert set(converted(spark, data, *rows)) == {(2, "quantity"), (3, "net_weight_kg")}
