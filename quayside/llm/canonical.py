@@ -37,8 +37,8 @@ def plain(text: Column) -> Column:
 
 
 #: What announces or follows an entry and is not part of it.
-BEFORE = "^(?:(?:made|product|products|produce|grown|mfd|manufactured|produced|origin|country of origin|coo|terms?|incoterms?|inco|100|20[0-9]{2})\\s+(?:in\\s+|of\\s+)?)+"
-AFTER = "(?:\\s+(?:origin|certified|fta|incoterms?|20[0-9]{2}|only))+$"
+BEFORE = "^(?:(?:made|product|products|produce|grown|mfd|manufactured|produced|origin|country of origin|coo|terms?|incoterms?|inco|100|20[0-9]{2})\\s+(?:in\\s+|of\\s+)?)++"
+AFTER = "(?:\\s+(?:origin|certified|fta|incoterms?|20[0-9]{2}|only))++$"
 
 
 def whole_word(text: Column) -> Column:

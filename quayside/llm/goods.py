@@ -108,7 +108,7 @@ _PATTERNS = [
     ("gsm", rf"{N} g m 2"),
     ("area", rf"{N} (?:mm 2(?! (?:port|batt|battery|batteries|pcs|pieces|doz|dozen|ct|pack|core|c|x) )|sq mm|sqmm)"),
     ("tip", rf"{N} mm tip|{N} tip|fine {N}"),
-    ("pressure", rf"pn {N}|pressure class {N}"),
+    ("pressure", rf"pn {N}(?! (?:mm )?tip)|pressure class {N}"),
     ("kernel_size", rf"size w {N}|w {N}|count {N} lb"),
     ("season", rf"season {N}"),
     ("plated", rf"m {N}"),

@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ COMMON_WORDS = (
     "el los las una unos unas y o pero no es era fue yo lo le se me mi su con sin por para que como más muy del al este esta ya todo "
     "o os as um uma e ou mas não é foi eu nós ele ela com sem por para que como mais muito do da dos das no na meu minha ao em se já "
     "il gli uno ed è sono ho ha non che per di con del della "
-    "и в во не на я что он она мы это как с со а но за по из у к для от так же все его её был была было мне "
+    "уже ещё еще пока себе очень мало поэтому больше только если когда там вот быть бы или до под через может можно всего и в во не на я что он она мы это как с со а но за по из у к для от так же все его её был была было мне "
     "في من على لا ما هذا هذه التي الذي إلى عن مع كان كانت لم أن لقد هو هي كل جدا و أكثر قبل بعد "
     "है हैं और का की के को में से यह वह नहीं पर था थी थे मैं हम बहुत भी एक ने लिए "
     "ve bir bu çok için de da ile ama değil "
@@ -38,7 +39,7 @@ COMMON_SIGNS = "的了我是不在有很也就和这用没都个一到给为还"
 BULLET = "^\\s*(?:[-*+•·→✔✓✗▪●◦►■›»–—]+|[(]?[0-9]{1,3}[.)]|no\\. ?[0-9]+|#[0-9]+|[(]?[a-z][)]|\\[[ xX]?\\]|[0-9]{1,3} ?x)\\s+\\S"
 SENTENCE_END = "[.!?。！？।۔؟…][\"'”»)]*$"
 CJK = "[\\u3040-\\u30ff\\u3400-\\u9fff\\uac00-\\ud7af]"
-MAX_LABELS = 50_000
+MAX_LABELS = 20_000
 
 
 def _count(text: Column, pattern: str) -> Column:
@@ -63,7 +64,10 @@ SENTENCE_WORDS = (
     "i we you he she they it it's is was were are be been has had have did does do can could would will took my our their "
     "ich wir er sie es ist war sind hat habe haben hatte wurde kann man dass nicht "
     "je nous il elle on est sont était a ai avons j'ai c'est n'est ne pas "
-    "yo me lo se es fue son está ha hemos he no nos mi que qué "
+    "but because porque pero mas mais aber weil dass als wenn car donc yet "
+    "ninguém podia pode poderia ser vi tive nada pouco já fecha chegou "
+    "había tuve sigue cierra esperaba huele puedo llegó rompió podría nadie poco ya "
+    "me yo lo se es fue son está ha hemos he no nos mi que qué "
     "eu nós foi é está são ele ela me não meu minha "
     "я мы он она они не был была было есть мне нам "
     "لم لا كنت كان هو هي وقد أن "
@@ -93,17 +97,18 @@ def line_kind(line: Column, words: Column) -> Column:
     n_distinct = F.size(F.array_distinct(words))
     strange = _count(line, "[^\\p{L}\\p{M}\\p{N}\\s.,;:!?'\"()\\-\u2019\u3002\uff0c\uff01\uff1f\u3001\u060c\u061f\u0964&/%\u20ac$]")
     spoken = F.arrays_overlap(words, _among(SENTENCE_WORDS)) | ((cjk > 0) & line.rlike(SENTENCE_SIGNS))
-    cells = F.greatest(*[F.size(F.split(line, mark)) - less for mark, less in (("\t", 1), ("\\|", 2), (";(?! )", 1), (",(?! )", 1))])
+    flat = F.regexp_replace(line, "&#?[A-Za-z0-9]+;", "'")
+    cells = F.greatest(*[F.size(F.split(flat, mark)) - less for mark, less in (("\t", 1), ("\\|", 2), (";(?! )", 1), (",(?! )", 1))])
     gaps = F.when(line.contains("   "), F.size(F.split(line, "\\S {2,}(?=\\S)")) - 1).otherwise(0)
     cells = F.greatest(cells, gaps)
     row = (((cells >= 2) & (n / (cells + 1) <= 22)) | ((F.size(F.split(line, "\t")) >= 2) & (n <= 44))) & (strange * 2 <= n) | line.rlike("^[|+][-=+|: ]+[|+]$")
-    run = F.length(F.regexp_extract(line, "((\\S{1,3}?)\\2{7,})", 1)) * 2 > n
+    run = F.greatest(F.length(F.regexp_extract(line, "((\\S{1,3}?)\\2{7,})", 1)), n - F.length(F.regexp_replace(line, SAME_WORD, ""))) * 2 > n
     longest = F.array_max(F.transform(F.split(line, "\\s+"), lambda w: F.length(w)))
     vowelless = F.size(F.filter(words, lambda w: w.rlike("^[b-df-hj-np-tv-xz]{4,}$|[b-df-hj-np-tv-xz]{5,}")))
     tags = n - F.length(F.regexp_replace(line, "<[^<>]*>|\\{\\{[^{}]*\\}\\}|&[a-z]+;", ""))
     noise = (
         run
-        | line.rlike(LEFTOVER)
+        | ((n <= 400) & line.rlike(LEFTOVER))
         | (tags * 2 > n)
         | (strange * 2.5 > n)
         | ((longest >= 40) & (longest * 2 > n) & (cjk * 2 < n))
@@ -111,21 +116,24 @@ def line_kind(line: Column, words: Column) -> Column:
         | (F.size(F.regexp_extract_all(line, F.lit("(0x[0-9A-Fa-f]{2})"), F.lit(1))) * 10 > n)
         | (_count(line, "[\u00c2\u00c3\u00e2\u00d0\u00d1\u20ac\u2122\ufffd\u00b6\u00ef\u00bf\u00bd]") * 4 > n)
     )
-    salad = (
-        ((n_words >= 8) & (n_distinct * 2.2 < n_words) & (n_common * 3 < n_distinct))
-        | ((n_words >= 8) & (n_distinct * 4 < n_words))
-        | ((n_words >= 9) & (n_common * 12 < n_distinct) & (cjk * 4 < n))
-    )
-    entries = F.split(line, " [·•/|→-] |; |、|, ")
-    marks = F.size(F.split(line, " [·•/|→] |; "))
-    inline = (F.size(entries) >= 4) & (n / F.size(entries) <= 45) & ~line.rlike(SENTENCE_END) & ((n_common * 5 < n_words) | (marks >= 4))
+    repeated = ((n_words >= 8) & (n_distinct <= 20) & (n_distinct * 2.2 < n_words) & (n_common * 3 < n_distinct)) | ((n_words >= 8) & (n_distinct <= 6) & (n_distinct * 3 < n_words))
+    salad = (n_words >= 9) & (n_common * 12 < n_distinct) & (cjk * 4 < n)
+    entries, marks = F.size(F.split(line, " [·•/|→-] |; |, ")), F.size(F.split(line, " [·•/|→] |; "))
+    sentence = spoken | line.rlike("\\p{L}[.!?。！？।؟](?:\\s|$)")
+    inline = ((marks >= 4) | ((entries >= 4) & (n / entries <= 25) & (n_common * 5 < n_words))) & (n / F.greatest(entries, marks) <= 45) & ~sentence
     brief = F.when(cjk * 2 > n, F.lit(14)).when(_count(line, "[\\p{IsCyrillic}\\p{IsArabic}\\p{IsDevanagari}]") * 2 > n, F.lit(28)).otherwise(F.lit(46))
-    short = (n <= brief) & ~spoken
+    short = (n <= brief) & ~spoken & ~((cjk > 0) & (n >= 8) & line.endswith("。"))
     return (
-        F.when(row, "table").when(noise, "junk").when(line.rlike(BULLET) & (n <= 90), "list").when(inline, "list").when(salad, "junk").when(short, "short").otherwise("prose")
+        F.when(tags * 2 > n, "junk").when(row, "table").when(noise | repeated, "junk").when(line.rlike(BULLET) & (n <= 90), "list").when(inline, "list").when(salad, "junk").when(short, "short").otherwise("prose")
     )
 
 
+#: One word or short phrase five times or more in a row; the repeat is bounded as the engine recurses, longer runs match anew.
+SAME_WORD = "(?i)(\\b(\\p{L}+(?:\\s\\p{L}+){0,3})(?:[^\\p{L}]+\\2\\b){4,40})"
+#: Where a line is cut into sentences: behind a word's full stop before another word, and behind any ideographic one.
+SENTENCE_CUT = "(?<=\\p{L}[.!?])\\s+(?=\\p{L})|(?<=\\p{L}\\s[0-9]{1,3}[.!?])\\s+(?=\\p{L})|(?<=[。！？])"
+
+
 def statistics(documents: DataFrame) -> DataFrame:
     """doc_id and the statistics of every text; null for null, empty and blank texts.
 
@@ -136,10 +144,19 @@ def statistics(documents: DataFrame) -> DataFrame:
     d = documents.select("doc_id", F.when(F.trim(F.regexp_replace("text", "\\s+", " ")) != "", F.col("text")).alias("text"))
     common = _among(COMMON_WORDS)
     d = d.select(F.inline(F.array(F.struct("doc_id", "text", words_of(F.col("text")).alias("words"), plain_lines(F.col("text")).alias("lines")))))
-    read = F.transform("lines", lambda x: F.struct(F.trim(x).alias("line"), words_of(x).alias("words"), x.rlike("[.!?:;。！？।]\\s*$").alias("ends")))
+    # a line of several sentences is judged by the sentence; its parts are no entries of a list and no rows
+    def cut(line: Column) -> Column:
+        sentences = F.filter(F.split(F.trim(line), F.when(line.rlike(SAME_WORD), F.lit("\u0001")).otherwise(F.lit(SENTENCE_CUT))), lambda p: F.trim(p) != "")
+        return F.transform(sentences, lambda p: F.struct(F.trim(p).alias("line"), (F.length(F.trim(p)) == F.length(F.trim(line))).alias("whole")))
+
+    parts = F.flatten(F.transform("lines", cut))
+    d = d.select(F.inline(F.array(F.struct("doc_id", "text", "words", "lines", parts.alias("parts")))))
+    read = F.transform("parts", lambda x: F.struct(x["line"].alias("line"), x["whole"].alias("whole"), words_of(x["line"]).alias("words")))
     d = d.select(F.inline(F.array(F.struct("doc_id", "text", "words", "lines", read.alias("read")))))
-    kinds = F.transform("read", lambda x: F.struct(line_kind(x["line"], x["words"]).alias("kind"), F.length(x["line"]).alias("n"), x["ends"].alias("ends")))
-    d = d.select(F.inline(F.array(F.struct("doc_id", "text", "words", "lines", kinds.alias("kinds")))))
+    judged = F.transform("read", lambda x: F.struct(line_kind(x["line"], x["words"]).alias("kind"), F.length(x["line"]).alias("n"), x["whole"].alias("whole")))
+    d = d.select(F.inline(F.array(F.struct("doc_id", "text", "words", "lines", judged.alias("judged")))))
+    kinds = F.transform("judged", lambda x: F.struct(F.when(x["whole"] | (x["kind"] == "junk"), x["kind"]).otherwise("prose").alias("kind"), x["n"].alias("n")))
+    d = d.select("doc_id", "text", "words", "lines", kinds.alias("kinds"))
     n, n_words, n_lines = F.length("text"), F.size("words"), F.size("lines")
     line_chars = F.aggregate("kinds", F.lit(0), lambda a, x: a + x["n"])
     of = lambda kind: _share(F.aggregate(F.filter("kinds", lambda x: x["kind"] == kind), F.lit(0), lambda a, x: a + x["n"]), line_chars)
@@ -154,7 +171,7 @@ def statistics(documents: DataFrame) -> DataFrame:
         _share(F.size(F.array_distinct("words")), n_words).alias("distinct_word_share"),
         n_lines.alias("line_count"),
         _share(line_chars, n_lines).alias("mean_line_length"),
-        _share(F.size(F.filter("kinds", lambda x: x["ends"])), n_lines).alias("punctuated_line_share"),
+        _share(F.size(F.filter("lines", lambda x: x.rlike("[.!?:;。！？।]\\s*$"))), n_lines).alias("punctuated_line_share"),
         _share(n_lines - F.size(F.array_distinct("lines")), n_lines).alias("repeated_line_share"),
         *[of(kind).alias(f"{kind}_share") for kind in ("table", "list", "short", "junk", "prose")],
     ]
@@ -162,9 +179,10 @@ def statistics(documents: DataFrame) -> DataFrame:
     return d.select("doc_id", *[F.when(present, c).alias(c._jc.toString().split(" AS ")[-1].strip("`")) for c in stated])
 
 
+#: What the rules may use, the shares of kinds of lines first: of equal gain, the first is taken.
 FEATURES = (
-    "n_chars", "n_words", "mean_word_length", "digit_ratio", "symbol_ratio", "letter_ratio", "common_word_share", "distinct_word_share", "line_count", "mean_line_length",
-    "punctuated_line_share", "repeated_line_share", "table_share", "list_share", "short_share", "junk_share", "prose_share", "entry_share",
+    "table_share", "entry_share", "junk_share", "list_share", "prose_share", "short_share", "common_word_share", "distinct_word_share", "symbol_ratio", "digit_ratio", "letter_ratio", "mean_word_length",
+    "mean_line_length", "punctuated_line_share", "repeated_line_share",
 )
 DERIVED = {"entry_share": "CASE WHEN line_count >= 3 THEN list_share + short_share ELSE list_share END"}
 
@@ -183,32 +201,35 @@ class Rule:
         return " AND ".join(f"{f} {op} {t!r}D" for f, op, t in self.conditions)
 
 
-def _gain(p: int, n: int, p0: int, n0: int) -> float:
-    """Information gain of a condition that keeps p of p0 positives and n of n0 negatives."""
-    if not p:
-        return -1.0
-    return p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0)))
+def _gain(p: np.ndarray, n: np.ndarray, p0: int, n0: int) -> np.ndarray:
+    """Information gain of conditions that keep p of p0 positives and n of n0 negatives each."""
+    kept = np.maximum(p, 1e-9)
+    return np.where(p > 0, p * (np.log2(kept / (kept + n)) - math.log2(p0 / (p0 + n0))), -1.0)
+
+
+#: A rule is grown until at most this share of what it covers is labelled otherwise: raters err about as often.
+NOISE = 0.1
 
 
 def _grow(pos: list[dict], neg: list[dict], most: int = 3) -> list[tuple[str, str, float]]:
     conditions: list[tuple[str, str, float]] = []
-    while neg and len(conditions) < most:
-        best = (1e-9, None)
+    while len(neg) > NOISE * (len(pos) + len(neg)) and len(conditions) < most:
+        best: tuple[float, tuple | None] = (1e-9, None)
         for f in FEATURES:
-            values = sorted({r[f] for r in pos})
-            below = sorted({r[f] for r in neg})
-            for op in (">=", "<="):
-                for v in values:
-                    # the threshold lies half way to the next negative value
-                    if op == ">=":
-                        p, n = sum(r[f] >= v for r in pos), sum(r[f] >= v for r in neg)
-                        near = max((b for b in below if b < v), default=v)
-                    else:
-                        p, n = sum(r[f] <= v for r in pos), sum(r[f] <= v for r in neg)
-                        near = min((b for b in below if b > v), default=v)
-                    g = _gain(p, n, len(pos), len(neg))
-                    if g > best[0]:
-                        best = (g, (f, op, round((v + near) / 2, 4)))
+            p, n = (np.sort(np.array([r[f] for r in rows])) for rows in (pos, neg))
+            values = np.unique(np.concatenate([p, n]))
+            cuts = np.round((values[1:] + values[:-1]) / 2, 4)
+            if not len(cuts):
+                continue
+            below_p, below_n = np.searchsorted(p, cuts, "left"), np.searchsorted(n, cuts, "left")
+            upto_p, upto_n = np.searchsorted(p, cuts, "right"), np.searchsorted(n, cuts, "right")
+            gains = np.concatenate([_gain(len(p) - below_p, len(n) - below_n, len(p), len(n)), _gain(upto_p, upto_n, len(p), len(n))])
+            top = float(gains.max())
+            # of thresholds about as good, the one nearest to half of the characters
+            good = np.flatnonzero(gains >= 0.98 * top) if top > 0 else np.array([], dtype=int)
+            if len(good) and top > best[0] * 1.02:
+                k = int(min(good, key=lambda g: (abs(cuts[g % len(cuts)] - 0.5), g)))
+                best = (top, (f, ">=" if k < len(cuts) else "<=", float(cuts[k % len(cuts)])))
         if best[1] is None:
             break
         conditions.append(best[1])

@@ -19,7 +19,7 @@ def matched(spark, data):
     refs = ref_values(spark, data)
     names = {r["ref_id"]: r["ref_value"] for r in refs.collect()}
     rows = [{"line_id": k, f: v} for f, values in (("origin", ORIGIN), ("unit", UNIT), ("incoterm", TERM)) for k, v in enumerate(values)]
-    rows += [{"line_id": 900, "origin": "China"}, {"line_id": 901, "origin": " ", "unit": ""}, {"line_id": 902, "origin": "x" * 20_000}, {"line_id": 0, "origin": "PRC"}]
+    rows += [{"line_id": 900, "origin": "China"}, {"line_id": 901, "origin": " ", "unit": ""}, {"line_id": 902, "origin": "made in " * 9_000}, {"line_id": 0, "origin": "PRC"}]
     table = line_items(spark, *rows, alias="a", ref_id=5, value=7, token="t", field="f") if False else line_items(spark, *rows, alias="a", ref_id=5, token="t", field="f")
     return table, refs, {(r["field"], r["value"]): names.get(r["ref_id"]) for r in canonical_values(table, refs).collect()}
 
