@@ -38,14 +38,14 @@ def verify_citations(lines: DataFrame, pages: DataFrame, keys: list[str], normal
         F.min(F.when(F.col("off") <= PAGE_WINDOW, F.struct("off", "at")))["at"].alias("found"), F.min("at").alias("elsewhere")
     )
     checked = asked.join(with_text, keys, "left").join(near, "line_id", "left")
-    far = F.concat(F.lit("quote is on page "), F.col("elsewhere").cast("string"), F.lit(f", more than {PAGE_WINDOW} pages from the cited page "), F.col("cited").cast("string"))
+    far = F.concat(F.lit("only on page "), F.col("elsewhere").cast("string"), F.lit(", too far from page "), F.col("cited").cast("string"))
     note = (
-        F.when(F.length("q") < LEAST_QUOTE, "quote missing or too short to check")
+        F.when(F.length("q") < LEAST_QUOTE, "too short to be checked")
         .when(~F.coalesce("has_text", F.lit(False)), "document without text, quote not checked")
-        .when(F.col("found") == F.col("cited"), "found on the cited page")
+        .when(F.col("found") == F.col("cited"), "on the cited page")
         .when(F.col("found").isNotNull(), F.concat(F.lit("page corrected from "), F.col("cited").cast("string"), F.lit(" to "), F.col("found").cast("string")))
         .when(F.col("elsewhere").isNotNull(), far)
-        .otherwise(F.concat(F.lit("quote not found within "), F.lit(str(PAGE_WINDOW)), F.lit(" pages of page "), F.col("cited").cast("string")))
+        .otherwise(F.concat(F.lit("nowhere near page "), F.col("cited").cast("string")))
     )
     result = checked.select("line_id", F.col("found").isNotNull().alias("verified"), F.coalesce("found", "cited").cast("int").alias("page"), note.alias("verify_note"))
     return lines.drop("verified", "page", "verify_note").join(result, "line_id")

@@ -66,14 +66,14 @@ def parse_cells(cells: DataFrame, document: str = "tariff") -> tuple[DataFrame,
     text = undashed(F.col("descr"))
     kind = rate_kind(F.col("rate"))
     reject = (
-        F.when(F.col("kind") == "concession", "concession entry, not an eight-digit line")
-        .when(F.col("kind") == "bad_code", "unrecognised text in the code column")
-        .when(F.col("kind") == "rate_only", "rate without a code")
-        .when((F.col("kind") == "heading") & (F.coalesce(F.trim("rate"), F.lit("")) != ""), "rate against a heading")
-        .when((F.col("kind") == "line") & (kind == "none"), "no rate printed")
-        .when((F.col("kind") == "line") & (kind == "unknown"), "rate is neither a percentage nor a specific duty")
-        .when((F.col("kind") == "line") & (text == ""), "no description printed")
-        .when((F.col("kind") == "line") & (F.coalesce(F.col("open_heading"), F.lit("")) != of_line), "heading row is missing")
+        F.when(F.col("kind") == "concession", "concession entry")
+        .when(F.col("kind") == "bad_code", "no code in the code column")
+        .when(F.col("kind") == "rate_only", "rate without code")
+        .when((F.col("kind") == "heading") & (F.coalesce(F.trim("rate"), F.lit("")) != ""), "rate beside a heading")
+        .when((F.col("kind") == "line") & (kind == "none"), "line without rate")
+        .when((F.col("kind") == "line") & (kind == "unknown"), "unreadable rate")
+        .when((F.col("kind") == "line") & (text == ""), "line without text")
+        .when((F.col("kind") == "line") & (F.coalesce(F.col("open_heading"), F.lit("")) != of_line), "line outside its heading")
     )
     c = c.withColumns({"reject": reject, "depth": dash_depth(F.col("descr")), "text": text})
     owner = F.when(F.col("kind").isin("line", "subheading") & F.col("reject").isNull(), F.col("ord"))

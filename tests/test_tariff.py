@@ -47,8 +47,8 @@ def test_paths(parsed):
 def test_rates_and_rejects(parsed):
     rows, rejected = parsed
     assert (rows["0105.9910"]["specific_duty_text"], rows["0105.9910"]["cd_rate"], rows["0105.9910"]["duty_type"]) == ("Rs. 10550/MT", "", "specific")
-    assert rejected["0105.9900"] == "no rate printed" and "neither" in rejected["0105.9920"] and rejected["1103.1100"] == "heading row is missing" and "concession" in rejected["9901"]
-    assert rejected["`"] == "rate without a code"
+    assert rejected["0105.9900"] == "line without rate" and "unreadable" in rejected["0105.9920"] and rejected["1103.1100"] == "line outside its heading" and "concession" in rejected["9901"]
+    assert rejected["`"] == "rate without code"
 
 
 def test_lookup_takes_any_spelling(spark):
