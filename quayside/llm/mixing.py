@@ -23,6 +23,8 @@ from quayside.session import cut_lineage
 
 #: Buckets of hashed words, steps of the fit, and buckets of the histogram of document hashes.
 WORD_BUCKETS, STEPS, HASH_BUCKETS = 4096, 40, 4096
+#: The class of labelled documents whose source no mix names.
+OTHER = "\u0001other"
 #: Least relative error of a domain's tokens at which the fit ends.
 CLOSE = 1e-4
 
@@ -62,20 +64,20 @@ def domain_posteriors(documents: DataFrame) -> DataFrame:
     return soft.select("doc_id", F.map_from_entries(F.transform("all", lambda x: F.struct(x["source"], x["p"] / whole))).alias("posterior"))
 
 
-def _rate(member: Column, errors: list[list[float]], cap: float) -> Column:
+def _rate(member: Column, cap: Column, errors: list[list[float]]) -> Column:
     """The rate after all steps so far: each one moves against the errors of the document's domains and is projected."""
     if not errors:
         return F.lit(0.0)
     history = F.array(*[F.array(*[F.lit(float(x)) for x in e]) for e in errors])
     move = lambda e: F.aggregate(F.zip_with(member, e, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    return F.aggregate(history, F.lit(0.0), lambda r, e: F.least(F.greatest(r - move(e), F.lit(0.0)), F.lit(float(cap))))
+    return F.aggregate(history, F.lit(0.0), lambda r, e: F.least(F.greatest(r - move(e), F.lit(0.0)), cap))
 
 
-def fit_rates(members: DataFrame, targets: dict[str, float], cap: float, steps: int = STEPS) -> tuple[list[list[float]], dict[str, float], dict[str, float]]:
+def fit_rates(members: DataFrame, targets: dict[str, float], caps: dict[str, float], steps: int = STEPS) -> tuple[list[list[float]], dict[str, float], dict[str, float]]:
     """Least-squares rates for one mix: (errors of each step, capacity and reached tokens by domain).
 
-    ``members`` holds n_tokens and the membership array in the order of ``targets``, pre-aggregated for labelled
-    documents. The step is scaled by each domain's tokens, so one-hot documents converge at once.
+    ``members`` holds n_tokens, the membership array in the order of ``targets`` and the cap of the rate, pre-aggregated
+    for labelled documents. The step is scaled by each domain's tokens, so one-hot documents converge at once.
     """
     domains = list(targets)
     each = lambda w: [F.sum(F.col("n_tokens") * F.col("member")[k] * w).alias(f"d{k}") for k in range(len(domains))]
@@ -85,10 +87,10 @@ def fit_rates(members: DataFrame, targets: dict[str, float], cap: float, steps:
     reached = dict.fromkeys(domains, 0.0)
     for _ in range(steps):
         if errors:
-            row = members.agg(*each(_rate(F.col("member"), errors, cap))).first()
+            row = members.agg(*each(_rate(F.col("member"), F.col("cap"), errors))).first()
             reached = {d: float(row[k] or 0.0) for k, d in enumerate(domains)}
         gaps = {d: reached[d] - targets[d] for d in domains}
-        open_ = [d for d in domains if capacity[d] > 0 and abs(gaps[d]) > CLOSE * targets[d] and not (gaps[d] < 0 and reached[d] >= capacity[d] * cap * (1 - CLOSE))]
+        open_ = [d for d in domains if capacity[d] > 0 and abs(gaps[d]) > CLOSE * targets[d] and not (gaps[d] < 0 and reached[d] >= capacity[d] * caps[d] * (1 - CLOSE))]
         if errors and not open_:
             break
         errors.append([gaps[d] / capacity[d] if capacity[d] > 0 else 0.0 for d in domains])
@@ -107,33 +109,38 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = "byte_bpe_50k
     """
     spark = documents.sparkSession
     sized = sized_documents(documents, tokenizer, folder)
-    posteriors = cut_lineage(domain_posteriors(documents))
+    named = sorted({r["source"] for r in targets.select("source").distinct().collect() if r["source"] is not None})
+    # sources that no mix names are one class together
+    classes = F.when(F.col("source").isin(named), F.col("source")).when(F.col("source").isNotNull(), OTHER)
+    posteriors = cut_lineage(domain_posteriors(documents.select("doc_id", "text", classes.alias("source"))))
     corpus = sized.agg(F.sum("n_tokens")).first()[0] or 0
     soft = cut_lineage(sized.where("source IS NULL").join(posteriors, "doc_id").select("doc_id", "n_tokens", "posterior"))
-    by_source = {r["source"]: r for r in sized.where("source IS NOT NULL").groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")).collect()}
+    by_source = {r["source"]: r for r in sized.where(F.col("source").isin(named)).groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")).collect()}
     wanted: dict[str, list] = {}
     for r in targets.dropna(subset=["mix_name", "source"]).orderBy("mix_name", "source").collect():
         wanted.setdefault(r["mix_name"], []).append(r)
     plans, reports, soft_parts = [], [], []
     for name, rows in wanted.items():
         weight = sum(max(r["target_share"] or 0.0, 0.0) for r in rows) or 1.0
-        size, cap = (rows[0]["size_ratio"] or 0.0) * corpus, max(rows[0]["max_repeats"] or 0, 0)
+        size = (rows[0]["size_ratio"] or 0.0) * corpus
+        caps = {r["source"]: float(max(r["max_repeats"] or 0, 0)) for r in rows}
+        soft_cap = min(caps.values())  # an unlabelled document may be of any source
         goal = {r["source"]: size * max(r["target_share"] or 0.0, 0.0) / weight for r in rows}
         domains = list(goal)
-        one_hot = [(float(by_source[d]["tokens"]), [1.0 if d == e else 0.0 for e in domains]) for d in domains if d in by_source]
-        labelled = spark.createDataFrame(one_hot, "n_tokens double, member array<double>")
+        one_hot = [(float(by_source[d]["tokens"]), [1.0 if d == e else 0.0 for e in domains], caps[d]) for d in domains if d in by_source]
+        labelled = spark.createDataFrame(one_hot, "n_tokens double, member array<double>, cap double")
         member = F.array(*[F.coalesce(F.element_at("posterior", F.lit(d)), F.lit(0.0)) for d in domains])
-        unlabelled = soft.select(F.col("n_tokens").cast("double").alias("n_tokens"), member.alias("member"))
-        errors, _, reached = fit_rates(labelled.unionByName(unlabelled), goal, cap)
+        unlabelled = soft.select(F.col("n_tokens").cast("double").alias("n_tokens"), member.alias("member"), F.lit(soft_cap).alias("cap"))
+        errors, _, _ = fit_rates(labelled.unionByName(unlabelled), goal, caps)
         # unlabelled documents: their own rate, rounded by their hash
-        rate = _rate(member, errors, cap)
+        rate = _rate(member, F.lit(soft_cap), errors)
         drawn = soft.select("doc_id", "n_tokens", member.alias("member"), rate.alias("rate"))
         repeats = F.floor("rate") + (_unit_hash(F.lit(name), F.col("doc_id")) < (F.col("rate") - F.floor("rate")) * (1 << 40)).cast("int")
         drawn = drawn.select(F.lit(name).alias("mix_name"), "doc_id", F.lit(None).cast("string").alias("source"), "n_tokens", "member", repeats.cast("int").alias("repeats")).where("repeats > 0")
         expected = drawn.agg(*[F.sum(F.col("n_tokens") * F.col("repeats") * F.col("member")[k]).alias(f"d{k}") for k in range(len(domains))]).first()
         soft_parts.append(drawn.drop("member"))
         for k, d in enumerate(domains):
-            have = by_source.get(d)
+            have, cap = by_source.get(d), int(caps[d])
             rest = max(goal[d] - float(expected[k] or 0.0), 0.0)
             tokens, docs = (int(have["tokens"]), int(have["docs"])) if have else (0, 0)
             base = min(int(rest // tokens), cap) if tokens else 0
