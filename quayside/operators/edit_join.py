@@ -21,31 +21,39 @@ def allowed_distance(length: Column) -> Column:
     return F.when(length <= 3, 0).when(length <= 5, 1).when(length <= 7, 2).otherwise(3)
 
 
-def edit_distance(a: Column, b: Column) -> Column:
+def letters(word: Column) -> Column:
+    """The letters of a word in order."""
+    return F.array_join(F.array_sort(F.split(word, "")), "")
+
+
+def edit_distance(a: Column, b: Column, letters_a: Column | None = None, letters_b: Column | None = None) -> Column:
     """Edit distance in which letters that only changed places count half of what Levenshtein counts.
 
-    The distance of the sorted letters is what no change of place explains; of the rest, a swap counts 1.
+    The distance of the sorted letters is what no change of place explains; of the rest, a swap counts 1. Where the
+    sorted letters are at hand, they are passed.
     """
-    letters = lambda w: F.array_join(F.array_sort(F.split(w, "")), "")
     d = F.levenshtein(a, b)
-    own = F.least(F.levenshtein(letters(a), letters(b)), d)
+    own = F.least(F.levenshtein(letters_a if letters_a is not None else letters(a), letters_b if letters_b is not None else letters(b)), d)
     return F.when(d <= 1, d).otherwise((own + F.ceil((d - own) / 2)).cast("int"))
 
 
 def edit_distance_join(left: DataFrame, word: str, right: DataFrame, vocabulary: str, on: list[str] | None = None) -> DataFrame:
     """All pairs (word, vocabulary word) within the allowed distance, with ``distance``.
 
-    ``left`` and ``right`` may share the columns ``on``, which must then be equal. Null words match nothing.
+    ``left`` and ``right`` may share the columns ``on``, which must then be equal. Null words match nothing. Pairs are
+    counted by their common bigrams first: an edit touches at most four, so pairs with fewer in common are no matches
+    and cost no distance. The words are few bytes but much work, so a stated number of partitions is not coalesced.
     """
     on = on or []
-    l = left.select(*on, word).distinct().withColumn("gram", F.explode(bigrams(F.col(word))))
-    r = right.select(*on, vocabulary).distinct().withColumn("gram", F.explode(bigrams(F.col(vocabulary))))
+    parts = left.sparkSession.sparkContext.defaultParallelism
+    sides = []
+    for df, name, tag in ((left, word, "l"), (right, vocabulary, "r")):
+        sides.append(df.select(*on, name).distinct().withColumns({f"letters_{tag}": letters(F.col(name)), f"gram_{tag}": bigrams(F.col(name))}))
+    grams = [df.withColumn("gram", F.explode(f"gram_{tag}")).drop(f"gram_{tag}") for df, tag in zip(sides, "lr")]
+    pair = [*on, word, vocabulary, "letters_l", "letters_r"]
+    common = grams[0].repartition(parts, *on, word).join(grams[1], [*on, "gram"]).groupBy(*pair).agg(F.count("*").alias("common"))
     limit = allowed_distance(F.least(F.length(word), F.length(vocabulary)))
-    return (
-        l.join(r, [*on, "gram"])
-        .where(F.abs(F.length(word) - F.length(vocabulary)) <= limit)
-        .select(*on, word, vocabulary)
-        .distinct()
-        .withColumn("distance", edit_distance(F.col(word), F.col(vocabulary)))
-        .where(F.col("distance") <= F.greatest(limit, F.lit(0)))
-    )
+    longest = F.greatest(F.length(word), F.length(vocabulary))
+    likely = common.where((F.abs(F.length(word) - F.length(vocabulary)) <= limit) & (F.col("common") >= F.greatest(F.lit(1), longest - limit * 4)))
+    near = likely.where(F.levenshtein(F.col(word), F.col(vocabulary), 6) >= 0)
+    return near.withColumn("distance", edit_distance(F.col(word), F.col(vocabulary), F.col("letters_l"), F.col("letters_r"))).where(F.col("distance") <= limit).select(*on, word, vocabulary, "distance")
