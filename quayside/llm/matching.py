@@ -30,8 +30,8 @@ from quayside.session import cut_lineage
 #: Log-odds of a pair before anything is compared, and what each comparison adds: equal, different.
 PRIOR = 0.3
 EVIDENCE = {"brand": (3.0, -7.0), "model": (4.0, -7.0), "mark": (1.3, -5.0), "gross": (6.0, -6.0), "net": (3.0, -0.5), "quantity": (2.0, 0.0), "place": (0.6, 0.0)}
-#: Pairs below this are impossible: two contradictions and nothing for them.
-LEAST = -8.0
+#: Pairs below this cannot be matched, as messages only lower the odds, and weigh under 2 % as rivals of others.
+LEAST = -4.0
 #: Messages per block of rounds, most blocks, largest change of a message at which it has converged.
 ROUNDS, BLOCKS, STILL = 4, 5, 1e-2
 LEAST_PROBABILITY = 0.5
