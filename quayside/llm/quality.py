@@ -298,6 +298,6 @@ def apply_rules(stats: DataFrame, rules: list[Rule]) -> DataFrame:
 
 def document_forms(documents: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> DataFrame:
     """doc_id, the statistics and the form of every document."""
-    labelled = documents.join(F.broadcast(labels.select("doc_id").distinct().limit(max_labels)), "doc_id", "left_semi")
+    labelled = documents.join(F.broadcast(labels.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)), "doc_id", "left_semi")
     rules = learn_form_rules(statistics(labelled), labels, max_labels)
     return apply_rules(statistics(documents), rules)
