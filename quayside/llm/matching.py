@@ -99,7 +99,7 @@ def _evidence(name: str, a: Column, b: Column, stated: Column) -> Column:
 
 
 def candidate_pairs(read: DataFrame) -> DataFrame:
-    """consignment_id, a, b, docs, odds of the pairs that are possible; a is of the earlier document in order of name."""
+    """consignment_id, a, b, da, db, odds of the pairs that are possible; da and db are digests of their documents' names."""
     side = lambda s: read.select("consignment_id", "goods", *[F.col(c).alias(f"{c}_{s}") for c in ("line_id", "source_doc", "line_no", "brand", "model", "marks", "dims", "gross", "net", "quantity")])
     pairs = side("a").join(side("b"), ["consignment_id", "goods"]).where("source_doc_a < source_doc_b")
     both = F.size(F.array_intersect("dims_a", "dims_b"))
@@ -116,12 +116,16 @@ def candidate_pairs(read: DataFrame) -> DataFrame:
         + _evidence("quantity", F.col("quantity_a"), F.col("quantity_b"), stated("quantity"))
         + EVIDENCE["place"][0] / (1 + F.abs(F.coalesce(F.col("line_no_a") - F.col("line_no_b"), F.lit(99))))
     )
-    return pairs.select("consignment_id", F.col("line_id_a").alias("a"), F.col("line_id_b").alias("b"), F.concat_ws("-", "source_doc_a", "source_doc_b").alias("docs"), odds.alias("odds")).where(F.col("odds") > LEAST)
+    return pairs.select("consignment_id", F.col("line_id_a").alias("a"), F.col("line_id_b").alias("b"), F.hash("source_doc_a").alias("da"), F.hash("source_doc_b").alias("db"), odds.alias("odds")).where(F.col("odds") > LEAST)
 
 
-def _others(message: Column, *side: str) -> Column:
+#: The pairs of a line with one other document are rivals.
+RIVALS = {"a": ("consignment_id", "a", "db"), "b": ("consignment_id", "b", "da")}
+
+
+def _others(message: Column, side: str) -> Column:
     """log(1 + sum of exp(message) over the other pairs of a line): what speaks against one of its pairs."""
-    w = W.partitionBy("consignment_id", "docs", *side)
+    w = W.partitionBy(*RIVALS[side])
     return F.log1p(F.greatest(F.sum(F.exp(F.least(message, F.lit(30.0)))).over(w) - F.exp(F.least(message, F.lit(30.0))), F.lit(0.0)))
 
 
@@ -132,9 +136,9 @@ def propagate(pairs: DataFrame) -> DataFrame:
     consignment stay in the partition of its pairs: they are shuffled once, and each round only sorts them. Consignments
     whose messages are still after a block of rounds are done; a pair without rivals needs no message.
     """
-    degree = lambda side: F.count("*").over(W.partitionBy("consignment_id", "docs", side))
+    degree = lambda side: F.count("*").over(W.partitionBy(*RIVALS[side]))
     counted = cut_lineage(pairs.repartition("consignment_id").withColumn("na", degree("a")).withColumn("nb", degree("b")))
-    columns = ["consignment_id", "a", "b", "docs", "odds"]
+    columns = ["consignment_id", "a", "b", "da", "db", "odds"]
     done = counted.where("na = 1 AND nb = 1").select(*columns, F.col("odds").alias("belief"), F.lit(True).alias("alone"))
     state = counted.where("na > 1 OR nb > 1").select(*columns, F.col("odds").alias("to_a"), F.col("odds").alias("to_b")).repartition("consignment_id")
     for block in range(BLOCKS):
@@ -155,9 +159,9 @@ def propagate(pairs: DataFrame) -> DataFrame:
 
 def best_matches(beliefs: DataFrame) -> DataFrame:
     """Pairs over LEAST_PROBABILITY that are the best of both their lines; a pair without rivals is that by itself."""
-    columns = ["consignment_id", "docs", "a", "b", F.round("probability", 6).alias("probability")]
+    columns = ["a", "b", "da", "db", F.round("probability", 6).alias("probability")]
     likely = beliefs.where(F.col("probability") >= LEAST_PROBABILITY)
-    best = lambda side, other: F.row_number().over(W.partitionBy("consignment_id", "docs", side).orderBy(F.desc("probability"), F.desc("odds"), other))
+    best = lambda side, other: F.row_number().over(W.partitionBy(*RIVALS[side]).orderBy(F.desc("probability"), F.desc("odds"), other))
     ranked = likely.where("NOT alone").repartition("consignment_id").withColumn("ka", best("a", "b")).withColumn("kb", best("b", "a"))
     return likely.where("alone").select(*columns).unionByName(ranked.where("ka = 1 AND kb = 1").select(*columns))
 
@@ -167,13 +171,13 @@ def close_triangles(matches: DataFrame) -> DataFrame:
 
     A line whose only partner is the hub is free in the other document; two such lines of one hub belong together.
     """
-    docs = F.split("docs", "-")
-    end = lambda x, y, dx: matches.select("consignment_id", F.col(x).alias("line"), F.col(y).alias("hub"), dx.alias("doc"), "probability")
-    ends = end("a", "b", docs[0]).unionByName(end("b", "a", docs[1]))
-    single = ends.groupBy("consignment_id", "line").agg(F.count("*").alias("n"), F.first("hub").alias("hub"), F.first("doc").alias("doc"), F.first("probability").alias("probability")).where("n = 1")
-    two = single.groupBy("consignment_id", "hub").agg(F.count("*").alias("n"), F.min(F.struct("doc", "line", "probability")).alias("x"), F.max(F.struct("doc", "line", "probability")).alias("y")).where("n = 2 AND x.doc < y.doc")
-    added = two.select("consignment_id", F.concat_ws("-", "x.doc", "y.doc").alias("docs"), F.col("x.line").alias("a"), F.col("y.line").alias("b"), F.round(F.col("x.probability") * F.col("y.probability"), 6).alias("probability"))
-    return matches.unionByName(added)
+    end = lambda x, y, dx: matches.select(F.col(x).alias("line"), F.col(y).alias("hub"), F.col(dx).alias("doc"), "probability")
+    ends = end("a", "b", "da").unionByName(end("b", "a", "db"))
+    # only numbers are aggregated, so by hash; a line with one match has one value of each
+    single = ends.groupBy("line").agg(F.count("*").alias("n"), F.max("hub").alias("hub"), F.max("doc").alias("doc"), F.max("probability").alias("probability")).where("n = 1")
+    two = single.groupBy("hub").agg(F.count("*").alias("n"), F.min(F.struct("doc", "line", "probability")).alias("x"), F.max(F.struct("doc", "line", "probability")).alias("y")).where("n = 2 AND x.doc < y.doc")
+    added = two.select(F.col("x.line").alias("a"), F.col("y.line").alias("b"), F.round(F.col("x.probability") * F.col("y.probability"), 6).alias("probability"))
+    return matches.select("a", "b", "probability").unionByName(added)
 
 
 def match_lines(lines: DataFrame) -> DataFrame:

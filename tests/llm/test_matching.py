@@ -24,8 +24,8 @@ def exact_marginals(odds):
 def test_marginals(spark):
     trees = {("C1", "i-p"): {(1, 11): 2.0, (1, 12): 1.0, (2, 12): 0.5}, ("C2", "i-p"): {(1, 11): -1.0}, ("C3", "i-p"): {(1, 11): 3.0, (2, 11): 2.5, (3, 11): 0.0}}
     loops = {("C4", "i-p"): {(1, 11): 4.0, (1, 12): 0.0, (2, 11): 0.0, (2, 12): 4.0}}
-    rows = [(c, a, b, d, o) for (c, d), odds in (trees | loops).items() for (a, b), o in odds.items()]
-    found = propagate(spark.createDataFrame(rows, "consignment_id string, a long, b long, docs string, odds double"))
+    rows = [(c, a, b, 1, 2, o) for (c, _), odds in (trees | loops).items() for (a, b), o in odds.items()]
+    found = propagate(spark.createDataFrame(rows, "consignment_id string, a long, b long, da int, db int, odds double"))
     got = {(r["consignment_id"], r["a"], r["b"]): r["probability"] for r in found.collect()}
     for (c, _), odds in (trees | loops).items():
         for (a, b), p in exact_marginals(odds).items():
