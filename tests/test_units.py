@@ -92,3 +92,12 @@ def test_very_long_numbers_do_no_harm(spark, data):
     long = "1,1" * 40_000
     rows = [{"line_id": 1, "quantity": long, "net_weight_kg": long, "gross_weight_kg": long}, {"line_id": 2, "quantity": "5", "description": "x", "quote": f"1 x 5 MT net {long} kg"}, {"line_id": 3, "net_weight_kg": "5", "gross_weight_kg": long}]
     assert set(converted(spark, data, *rows)) == {(2, "quantity"), (3, "net_weight_kg")}
+
+
+def test_shuffled_repair_equals_broadcast_repair(spark, data, monkeypatch):
+    listed = ref_values(spark, data).where("field = 'unit'")
+    lines = spark.read.parquet(f"{data}/line_items.parquet")
+    rows = lambda: sorted(map(tuple, units.found(units.convert_measures(lines, listed)).collect()))
+    want = rows()
+    monkeypatch.setattr(units, "BROADCAST_ROWS", 0)
+    assert rows() == want and want
