@@ -39,3 +39,12 @@ def test_empty_tables(spark, data):
     refs = ref_values(spark, data)
     assert found(line_items(spark), refs).count() == 0
     assert {r["ref_id"] for r in canonical_values(line_items(spark, {"line_id": 1, "origin": "China"}), refs.limit(0)).collect()} == {0}
+
+
+def test_salted_join_equals_broadcast_join(matched, monkeypatch):
+    from quayside.llm import canonical
+
+    rows = lambda: sorted((r["line_id"], r["field"], r["ref_id"]) for r in found(matched[0], matched[1]).collect())
+    want = rows()
+    monkeypatch.setattr(canonical, "BROADCAST_VALUES", 0)
+    assert rows() == want and want
