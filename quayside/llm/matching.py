@@ -3,7 +3,8 @@
 Candidates are pairs of lines of one consignment from two documents whose descriptions name the same goods; each pair
 has log-odds from what both lines state: brand, model, attributes, gross and net weight, quantity, position. The
 one-to-one factors (a line has at most one partner in each other document) exchange messages through window joins
-over the pairs until they no longer change, which gives the marginal probability of each match.
+over the pairs until they no longer change, which gives the marginal probability of each match. Matches are then
+assigned one to one, the likeliest first. Equal lines, which share the probability, are matched last, when what a third document says is known.
 
 Of copies only the smallest line_id counts; totals and lines without a description match nothing, nor do lines
 without a consignment or document. Candidates stay inside a consignment and kind of goods, so no cross join is made;
@@ -12,8 +13,10 @@ by the data a consignment has at most some seventy goods. Ties are broken by pos
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -34,7 +37,12 @@ EVIDENCE = {"brand": (3.0, -7.0), "model": (4.0, -7.0), "mark": (1.3, -5.0), "gr
 LEAST = -4.0
 #: Messages per block of rounds, most blocks, largest change of a message at which it has converged.
 ROUNDS, BLOCKS, STILL = 4, 5, 1e-2
-LEAST_PROBABILITY = 0.5
+#: Pairs from this belief on (a probability of a half) are matched first, and what follows from them over a third document.
+SURE = 0.0
+#: So many pairs at most are broadcast.
+FEW = 100_000
+#: A pair is matched from these log-odds on, if its lines are free: it is no less likely than that neither has a partner.
+LEAST_ODDS = 0.0
 
 
 #: A word is taken for a brand if so many invoice lines of so many consignments have it as their only unknown one.
@@ -157,13 +165,47 @@ def propagate(pairs: DataFrame) -> DataFrame:
     return done.withColumn("probability", 1 / (1 + F.exp(-F.greatest(F.least("belief", F.lit(40.0)), F.lit(-40.0)))))
 
 
-def best_matches(beliefs: DataFrame) -> DataFrame:
-    """Pairs over LEAST_PROBABILITY that are the best of both their lines; a pair without rivals is that by itself."""
-    columns = ["a", "b", "da", "db", F.round("probability", 6).alias("probability")]
-    likely = beliefs.where(F.col("probability") >= LEAST_PROBABILITY)
-    best = lambda side, other: F.row_number().over(W.partitionBy(*RIVALS[side]).orderBy(F.desc("probability"), F.desc("odds"), other))
-    ranked = likely.where("NOT alone").repartition("consignment_id").withColumn("ka", best("a", "b")).withColumn("kb", best("b", "a"))
-    return likely.where("alone").select(*columns).unionByName(ranked.where("ka = 1 AND kb = 1").select(*columns))
+MATCH = ["a", "b", "da", "db", "probability"]
+FREE_SCHEMA = "consignment_id string, a long, b long, da int, db int, odds double, belief double, probability double"
+
+
+def _free(batches: Iterator[pd.DataFrame], sure: float) -> Iterator[pd.DataFrame]:
+    """Of the pairs in order, by consignment and documents, those whose lines no earlier pair has taken; sure pairs take."""
+    group, taken_a, taken_b = None, set(), set()
+    for batch in batches:
+        kept = []
+        for k, (a, b, belief, *documents) in enumerate(zip(*(batch[c] for c in ("a", "b", "belief", "consignment_id", "da", "db")))):
+            if documents != group:
+                group, taken_a, taken_b = documents, set(), set()
+            if a not in taken_a and b not in taken_b:
+                kept.append(k)
+                if belief >= sure:
+                    taken_a.add(a)
+                    taken_b.add(b)
+        yield batch.iloc[kept]
+
+
+def best_pairs(beliefs: DataFrame, sure: float = -math.inf) -> DataFrame:
+    """The one-to-one assignment read from the beliefs: the best pair of the lines still free, until none is left.
+
+    The pairs are sorted once and read in order, as the best of all free pairs is the best of both its lines. Pairs
+    below ``sure`` take no line; all of them are kept whose lines are free.
+    """
+    columns = ["consignment_id", "a", "b", "da", "db", "odds", F.round("belief", 6).alias("belief"), F.round("probability", 6).alias("probability")]
+    order = ["consignment_id", "da", "db", F.desc("belief"), F.desc(F.round("odds", 6)), "a", "b"]
+    ranked = beliefs.select(*columns).repartition("consignment_id").sortWithinPartitions(*order)
+    return ranked.mapInPandas(partial(_free, sure=sure), FREE_SCHEMA)
+
+
+def still_free(pairs: DataFrame, matches: DataFrame) -> DataFrame:
+    """The pairs whose lines have no match with each other's document yet; few pairs are broadcast."""
+    hint = F.broadcast if pairs.count() <= FEW else lambda df: df
+    taken = matches.select(F.col("a").alias("line"), F.col("db").alias("doc")).unionByName(matches.select(F.col("b").alias("line"), F.col("da").alias("doc")))
+    lines = pairs.select(F.col("a").alias("line"), F.col("db").alias("doc")).unionByName(pairs.select(F.col("b").alias("line"), F.col("da").alias("doc")))
+    taken = cut_lineage(taken.join(hint(lines.distinct()), ["line", "doc"], "left_semi"))
+    for line, doc in (("a", "db"), ("b", "da")):
+        pairs = pairs.join(hint(taken.select(F.col("line").alias(line), F.col("doc").alias(doc))), [line, doc], "left_anti")
+    return pairs
 
 
 def close_triangles(matches: DataFrame) -> DataFrame:
@@ -176,12 +218,27 @@ def close_triangles(matches: DataFrame) -> DataFrame:
     # only numbers are aggregated, so by hash; a line with one match has one value of each
     single = ends.groupBy("line").agg(F.count("*").alias("n"), F.max("hub").alias("hub"), F.max("doc").alias("doc"), F.max("probability").alias("probability")).where("n = 1")
     two = single.groupBy("hub").agg(F.count("*").alias("n"), F.min(F.struct("doc", "line", "probability")).alias("x"), F.max(F.struct("doc", "line", "probability")).alias("y")).where("n = 2 AND x.doc < y.doc")
-    added = two.select(F.col("x.line").alias("a"), F.col("y.line").alias("b"), F.round(F.col("x.probability") * F.col("y.probability"), 6).alias("probability"))
-    return matches.select("a", "b", "probability").unionByName(added)
+    added = two.select(F.col("x.line").alias("a"), F.col("y.line").alias("b"), F.col("x.doc").alias("da"), F.col("y.doc").alias("db"), F.round(F.col("x.probability") * F.col("y.probability"), 6).alias("probability"))
+    return matches.unionByName(added)
+
+
+def assign(beliefs: DataFrame) -> DataFrame:
+    """The matches: the sure ones, what follows from them, then those of lines that share their probability.
+
+    A pair is taken if its odds are not against it: with the rivals of both lines assigned, the choice is between this
+    match and no partner for either. So equal lines are matched all the same, by position, then by line_id.
+    """
+    possible = beliefs.where(F.col("odds") >= LEAST_ODDS)
+    free = cut_lineage(best_pairs(possible.where("NOT alone"), SURE))
+    alone = possible.where("alone").withColumn("probability", F.round("probability", 6))
+    matches = cut_lineage(close_triangles(alone.select(*MATCH).unionByName(free.where(F.col("belief") >= SURE).select(*MATCH))))
+    shared = free.where(F.col("belief") < SURE)
+    if shared.isEmpty():
+        return matches
+    return close_triangles(matches.unionByName(cut_lineage(best_pairs(still_free(shared, matches)).select(*MATCH))))
 
 
 def match_lines(lines: DataFrame) -> DataFrame:
     """(line_id_a, line_id_b, probability) of the matched lines, smaller line_id first."""
-    pairs = candidate_pairs(cut_lineage(read_lines(lines)))
-    matches = close_triangles(cut_lineage(best_matches(propagate(pairs))))
+    matches = assign(propagate(candidate_pairs(cut_lineage(read_lines(lines)))))
     return matches.select(F.least("a", "b").alias("line_id_a"), F.greatest("a", "b").alias("line_id_b"), "probability")

@@ -5,7 +5,7 @@ import math
 
 from helpers import line_items
 
-from quayside.llm.matching import match_lines, propagate
+from quayside.llm.matching import assign, match_lines, propagate
 
 
 def exact_marginals(odds):
@@ -62,3 +62,22 @@ def test_ties_and_empty_table(spark):
     got = {(r[0], r[1]) for r in match_lines(line_items(spark, *consignment("C", 0, docs))).collect()}
     assert len({a for a, _ in got}) == len({b for _, b in got}) == len(got) and got <= {(0, 3), (1, 4), (2, 5)}
     assert match_lines(line_items(spark)).count() == 0
+
+
+def test_equal_lines_are_all_matched(spark):
+    rows = []
+    for n, k, m, gross in ((0, 3, 3, None), (1, 4, 4, "10.5"), (2, 6, 6, "7"), (3, 4, 1, "3"), (4, 2, 5, None)):
+        rows += consignment(f"C{n}", 100 * n, {"invoice": [("Black tea, 250g", gross)] * k, "packing_list": [("Tea, black 250 g", gross)] * m})
+    got = {(r[0], r[1]) for r in match_lines(line_items(spark, *rows)).collect()}
+    assert got == {(100 * n + i, 100 * n + k + i) for n, k, m in ((0, 3, 3), (1, 4, 4), (2, 6, 6), (3, 4, 1), (4, 2, 5)) for i in range(min(k, m))}
+
+
+def test_contradicted_lines_stay_free(spark):
+    docs = {"invoice": [("Black tea, 250g", "1")] * 4, "packing_list": [("Tea, black 500 g", "2")] * 4}
+    assert match_lines(line_items(spark, *consignment("C", 0, docs))).count() == 0
+
+
+def test_third_document_goes_before_position(spark):
+    pairs = [("C", 0, 4, 1, 3, 9.0), ("C", 3, 4, 2, 3, 9.0), ("C", 0, 2, 1, 2, 3.0), ("C", 0, 3, 1, 2, 3.0), ("C", 1, 2, 1, 2, 3.0), ("C", 1, 3, 1, 2, 3.0)]
+    beliefs = propagate(spark.createDataFrame(pairs, "consignment_id string, a long, b long, da int, db int, odds double"))
+    assert {(r["a"], r["b"]) for r in assign(beliefs).collect()} == {(0, 4), (3, 4), (0, 3), (1, 2)}
