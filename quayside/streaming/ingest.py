@@ -14,9 +14,14 @@ def line_stream(spark: SparkSession, folder: str, files_per_trigger: int = 16) -
     return stream.withColumn("loaded_at", F.col("loaded_at").cast("timestamp"))  # a watermark needs a zoned time
 
 
-def first_extractions(lines: DataFrame, delay: str = "10 days") -> DataFrame:
-    """Each (consignment, document, line number) once, by load time; state older than the watermark is dropped."""
-    return lines.withWatermark("loaded_at", delay).dropDuplicatesWithinWatermark(["consignment_id", "source_doc", "line_no"])
+def first_extractions(lines: DataFrame, delay: str | None = None) -> DataFrame:
+    """Each (consignment, document, line number) once, the first that arrives, however late a copy or a line comes.
+
+    Every key stays in the state for that. With a ``delay`` the state older than the watermark is dropped: a copy loaded
+    later than that passes as first, and lines older than the watermark are left out.
+    """
+    keys = ["consignment_id", "source_doc", "line_no"]
+    return lines.dropDuplicates(keys) if delay is None else lines.withWatermark("loaded_at", delay).dropDuplicatesWithinWatermark(keys)
 
 
 def arrivals(lines: DataFrame, window: str = "1 day", delay: str = "10 days") -> DataFrame:

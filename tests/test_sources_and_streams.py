@@ -70,6 +70,17 @@ def test_stream_keeps_each_line_once(spark, data, tmp_path):
     assert spark.sql("SELECT sum(n_lines) AS n FROM arrivals").first()["n"] == lines.count()
 
 
+def test_stream_knows_late_copies_by_default(spark, tmp_path):
+    batches = [[("A", "2024-01-01")], [("B", "2024-02-10")], [("C", "2024-02-11")], [("A", "2024-02-12"), ("D", "2024-01-02")], [("D", "2024-03-30"), ("B", "2024-02-10")]]
+    for rows in batches:
+        made = spark.createDataFrame([(c, "invoice", 1, t) for c, t in rows], "consignment_id string, source_doc string, line_no int, loaded_at string")
+        made.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = ingest.first_extractions(ingest.line_stream(spark, str(tmp_path / "in")))
+        ingest.run_once(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
+    got = sorted((r["consignment_id"], str(r["loaded_at"])[:10]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [("A", "2024-01-01"), ("B", "2024-02-10"), ("C", "2024-02-11"), ("D", "2024-01-02")]
+
+
 def test_pipeline_on_the_known_consignment(spark):
     rows = []
     table = [
