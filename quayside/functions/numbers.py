@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 #: One printed number: grouped by spaces or apostrophes, or by points and commas.
 #: Repeats are possessive: the engine would otherwise recurse once for each of them.
 NUMBER = "(?:[0-9]{1,3}(?:[ '][0-9]{3})++(?:[.,][0-9]+)?(?![0-9])|[0-9]+(?:[.,][0-9]+)*+)"
-#: No printed number is longer than this.
-LONGEST_NUMBER = 64
 
 
 def decimal_lenient(text: Column, default: str = "0") -> Column:
@@ -32,7 +30,7 @@ def printed_number(text: Column) -> Column:
 
     The later of ``.`` and ``,`` is the decimal mark where both occur; a comma before exactly three digits
     groups thousands, as do several commas or several points; any other single comma and a single point are
-    decimal marks; spaces and apostrophes group thousands. Text longer than LONGEST_NUMBER is no number.
+    decimal marks; spaces and apostrophes group thousands. Text of any length is read.
     """
     t = F.regexp_replace(text, "[ ']", "")
     both = t.contains(".") & t.contains(",")
@@ -41,9 +39,9 @@ def printed_number(text: Column) -> Column:
         F.when(~text.rlike("[,' ]") & ~text.rlike("[.].*[.]"), text)
         .when(both & comma_last, F.regexp_replace(F.regexp_replace(t, "[.]", ""), ",", "."))
         .when(both, F.regexp_replace(t, ",", ""))
-        .when(t.rlike("^[0-9]+(,[0-9]{3})+$"), F.regexp_replace(t, ",", ""))
+        .when(t.rlike("^[0-9]+(,[0-9]{3})++$"), F.regexp_replace(t, ",", ""))
         .when(t.rlike("^[0-9]+,[0-9]+$"), F.regexp_replace(t, ",", "."))
-        .when(t.rlike("^[0-9]+([.][0-9]+){2,}$"), F.regexp_replace(t, "[.]", ""))
+        .when(t.rlike("^[0-9]+([.][0-9]+){2,}+$"), F.regexp_replace(t, "[.]", ""))
         .otherwise(t)
     )
-    return F.when(F.length(text) <= LONGEST_NUMBER, plain.try_cast("decimal(28,6)"))
+    return plain.try_cast("decimal(28,6)")

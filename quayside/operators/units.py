@@ -120,10 +120,6 @@ def first_words(text: Column) -> Column:
 NET_IN_QUOTE = f"(?:NT\\.WT|N/W|\\bnet)\\s+{NUMBER}\\s*(.*)$"
 
 
-#: A cell longer than this holds no measure.
-LONGEST_MEASURE = 200
-
-
 def staged(df: DataFrame, *columns: Column) -> DataFrame:
     """``df.select(*columns)`` evaluated once: later steps use the values and do not repeat their expressions."""
     return df.select(F.inline(F.array(F.struct(*columns))))
@@ -141,7 +137,7 @@ def measures(lines: DataFrame) -> DataFrame:
         "line_id", "description", "quote",
         F.inline(F.array(cell("quantity", F.col("quantity"), F.col("unit"), none), cell("net_weight_kg", F.col("net_weight_kg"), none, F.col("gross_weight_kg")))),
     )
-    cells = cells.where(f"trim(value) <> '' AND length(value) <= {LONGEST_MEASURE}")
+    cells = cells.where("trim(value) <> ''")
     carried = ["line_id", "field", "description", "quote", "unit", "gross"]
     cells = staged(cells, *[F.col(c) for c in carried], clean_measure(F.col("value")).alias("value"))
     cells = staged(cells, *[F.col(c) for c in carried], split_measure(F.col("value")).alias("s")).where("s.n1 IS NOT NULL")
@@ -172,7 +168,7 @@ def convert_measures(lines: DataFrame, units: DataFrame) -> DataFrame:
 
     Result: line_id, field, unit (ref_value, null where unknown), common_unit, amount (decimal, common units),
     recorded_in_common (whether it was in that unit as one figure). A value of zero is not stated; null, blank
-    and unreadable values give no row; repeated rows give one row each; an empty table gives none. A weight
+    and unreadable values give no row, cells of any length are read; repeated rows give one row each; an empty table gives none. A weight
     with no unit is in kilograms unless the gross weight, always in kilograms, shows another unit of mass.
     """
     units = units.where("kind IS NOT NULL")

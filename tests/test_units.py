@@ -94,6 +94,17 @@ def test_very_long_numbers_do_no_harm(spark, data):
     assert set(converted(spark, data, *rows)) == {(2, "quantity"), (3, "net_weight_kg")}
 
 
+def test_padded_and_long_cells_are_read(spark, data):
+    pad, note = " " * 300, " as agreed with the buyer" * 20
+    rows = [{"line_id": 1, "quantity": f"{pad}12{pad}MT{pad}"}, {"line_id": 2, "net_weight_kg": f"5 kg{pad}", "gross_weight_kg": f"{pad}6"}, {"line_id": 3, "quantity": "7 MT" + note}, {"line_id": 4, "quantity": "0" * 90 + "5 MT"}]
+    got = converted(spark, data, *rows)
+    assert set(got) == {(1, "quantity"), (2, "net_weight_kg"), (3, "quantity"), (4, "quantity")}
+    assert got[1, "quantity"][:3] == ("MT", "KG", 12000) and got[2, "net_weight_kg"][:3] == ("KG", "KG", 5) and got[4, "quantity"][2] == 5000
+    texts = ["1" + " " * 100, "1,5" + " " * 100, "0." + "1" * 90, "1" * 100_000, "1.1" * 40_000]
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select(printed_number(F.col("t")).alias("n")).collect()
+    assert [r["n"] for r in found] == [1, Decimal("1.5"), Decimal("0.111111"), None, None]
+
+
 def test_shuffled_repair_equals_broadcast_repair(spark, data, monkeypatch):
     listed = ref_values(spark, data).where("field = 'unit'")
     lines = spark.read.parquet(f"{data}/line_items.parquet")
