@@ -26,7 +26,7 @@ def parse_status(text: Column) -> Column:
 
 
 def printed_number(text: Column) -> Column:
-    """A printed number as decimal(28,6), null where it is none.
+    """A printed number as decimal(38,12), null where it is none or too large.
 
     The later of ``.`` and ``,`` is the decimal mark where both occur; a comma before exactly three digits
     groups thousands, as do several commas or several points; any other single comma and a single point are
@@ -44,4 +44,4 @@ def printed_number(text: Column) -> Column:
         .when(t.rlike("^[0-9]+([.][0-9]+){2,}+$"), F.regexp_replace(t, "[.]", ""))
         .otherwise(t)
     )
-    return plain.try_cast("decimal(28,6)")
+    return plain.try_cast("decimal(38,12)")

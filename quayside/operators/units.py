@@ -45,8 +45,8 @@ def repair_units(unknown: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
     The distinct misspellings are written to the checkpoint folder once, so that the lines are not read for each use.
     """
-    words = cut_lineage(unknown.select("key").where("length(key) > 3").distinct().withColumn("word", unleet(F.col("key"))))
-    near = edit_distance_join(words, "word", vocabulary.where("code <> '' AND length(alias) > 3"), "alias").join(F.broadcast(vocabulary), "alias")
+    words = cut_lineage(unknown.select("key").distinct().withColumn("word", unleet(F.col("key"))))
+    near = edit_distance_join(words, "word", vocabulary.where("code <> ''"), "alias").join(F.broadcast(vocabulary), "alias")
     per_unit = near.groupBy("word", "code").agg(F.min("distance").alias("distance"))
     best = per_unit.groupBy("word").agg(F.min_by("code", "distance").alias("code"), F.array_sort(F.collect_list("distance")).alias("d"))
     return cut_lineage(words.join(best.where("size(d) = 1 OR d[1] > d[0]"), "word").select("key", F.col("code").alias("repaired")))
@@ -56,15 +56,16 @@ def repair_units(unknown: DataFrame, vocabulary: DataFrame) -> DataFrame:
 BROADCAST_ROWS = 100_000
 
 
-def join_counted(df: DataFrame, key: str, use: Column, small: DataFrame, spread: str) -> DataFrame:
-    """Left join on ``key`` where ``use`` holds: by broadcast if ``small``, which is counted, is short.
+#: Copies of a table that is too long to broadcast, so that the rows of one hot key go to as many tasks.
+SALTS = 32
 
-    Else by shuffle, with the rows that are not used spread over all tasks by ``spread``, as one of their keys may be hot.
-    """
+
+def join_counted(df: DataFrame, key: str, small: DataFrame, spread: str) -> DataFrame:
+    """Left join on ``key``: by broadcast if ``small``, which is counted, is short, else by shuffle, salted by ``spread``."""
     if small.count() <= BROADCAST_ROWS:
-        return df.join(F.broadcast(small.withColumnRenamed(key, "key_")), use & (F.col(key) == F.col("key_")), "left").drop("key_")
-    salted = df.withColumn("key_", F.when(use, F.col(key)).otherwise(F.concat(F.lit("\u0001"), F.col(spread).cast("string"))))
-    return salted.join(small.withColumnRenamed(key, "key_"), "key_", "left").drop("key_")
+        return df.join(F.broadcast(small), key, "left")
+    copies = small.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return df.withColumn("salt_", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(copies, [key, "salt_"], "left").drop("salt_")
 
 
 def clean_measure(text: Column) -> Column:
@@ -163,59 +164,87 @@ def measures(lines: DataFrame) -> DataFrame:
     )
 
 
+def resolve_texts(texts: DataFrame, units: DataFrame) -> DataFrame:
+    """(texts, u1, u2) of each distinct array of unit texts: the unit that the first known text of each part names."""
+    vocabulary = vocabulary_of(units)
+    each = texts.select("texts", F.explode("texts").alias("x")).withColumn("key", unit_key(F.col("x.text")))
+    looked_up = cut_lineage(each.join(F.broadcast(vocabulary), F.col("key") == F.col("alias"), "left").drop("alias"))
+    repaired = repair_units(looked_up.where("code IS NULL AND key <> ''"), vocabulary)
+    spelt = join_counted(looked_up, "key", repaired, "texts")
+    code = F.nullif(F.coalesce("code", "repaired"), F.lit(""))
+    rank = F.col("x.rank") + F.when(F.col("code").isNull(), 10).otherwise(0)
+    per_part = lambda k: F.min(F.when((F.col("x.part") == k) & code.isNotNull(), F.struct(rank, code)))["col2"]
+    return spelt.groupBy("texts").agg(per_part(1).alias("u1"), per_part(2).alias("u2"))
+
+
+#: Decimals of a converted amount, and how a figure, a factor and a shift are held while they are multiplied.
+FIGURE, FACTOR, AMOUNT = "decimal(38,12)", "decimal(20,12)", "decimal(38,9)"
+
+
+def _times(figure: Column, factor: Column) -> Column:
+    """figure times factor; null where the product has too many digits, so that one figure fails no job."""
+    return F.try_multiply(figure, factor).try_cast(AMOUNT)
+
+
 def convert_measures(lines: DataFrame, units: DataFrame) -> DataFrame:
     """All stated quantities and net weights in the common unit of their kind.
 
-    Result: line_id, field, unit (ref_value, null where unknown), common_unit, amount (decimal, common units),
-    recorded_in_common (whether it was in that unit as one figure). A value of zero is not stated; null, blank
-    and unreadable values give no row, cells of any length are read; repeated rows give one row each; an empty table gives none. A weight
-    with no unit is in kilograms unless the gross weight, always in kilograms, shows another unit of mass.
+    Result: line_id, field, unit (ref_value, null where unknown), common_unit, amount (common units), amount_milli
+    (thousandths, rounded half up once, null beyond the range of a long), recorded_in_common (whether it was in that
+    unit as one figure). A value of zero is not stated; null, blank and unreadable values give no row, cells of any
+    length are read; repeated rows give one row each; an empty table gives none. A weight with no unit is in kilograms
+    unless the gross weight, always in kilograms, shows another unit of mass.
+
+    The lines are read once and their figures written with the texts of their units; the distinct texts are resolved
+    and joined back.
     """
     units = units.where("kind IS NOT NULL")
     offset = F.col("offset") if "offset" in units.columns else F.lit(0)
-    units = units.select("ref_value", "long_name", "kind", "common_unit", F.col("factor").cast("decimal(20,12)").alias("factor"), offset.cast("decimal(20,12)").alias("shift"))
-    vocabulary = vocabulary_of(units)
+    units = units.select("ref_value", "long_name", "kind", "common_unit", F.col("factor").cast(FACTOR).alias("factor"), offset.cast(FACTOR).alias("shift"))
     numbers = [printed_number(F.col(c)).alias(n) for c, n in (("n1", "a"), ("n2", "b"), ("gross", "gross"))]
-    stated = staged(measures(lines), F.col("line_id"), F.col("field"), F.col("texts"), *numbers).where("a > 0 OR b > 0")
-    texts = stated.select("line_id", "field", "a", "b", "gross", F.explode_outer("texts").alias("x"))
-    texts = staged(texts, *[F.col(c) for c in ("line_id", "field", "a", "b", "gross", "x")], unit_key(F.col("x.text")).alias("key"))
-    looked_up = texts.join(F.broadcast(vocabulary), F.col("key") == F.col("alias"), "left").drop("alias")
-    unknown = F.col("code").isNull() & (F.col("key") != "")
-    repaired = repair_units(looked_up.where(unknown), vocabulary)
-    all_texts = join_counted(looked_up, "key", unknown, repaired, "line_id")
-    code = F.nullif(F.coalesce("code", "repaired"), F.lit(""))
-    rank = F.col("x.rank") + F.when(F.col("code").isNull(), 10).otherwise(0)
-    per_part = lambda k: F.min(F.when((F.col("x.part") == k) & code.isNotNull(), F.struct(rank, code)))
-    resolved = all_texts.groupBy("line_id", "field").agg(
-        F.first("a").alias("a"), F.first("b").alias("b"), F.first("gross").alias("gross"), per_part(1)["col2"].alias("u1"), per_part(2)["col2"].alias("u2")
-    )
+    stated = cut_lineage(staged(measures(lines), F.col("line_id"), F.col("field"), F.col("texts"), *numbers).where("a > 0 OR b > 0"))
+    known = cut_lineage(resolve_texts(stated.select("texts").distinct(), units))
+    resolved = join_counted(stated, "texts", known, "line_id").drop("texts")
     factors = F.broadcast(units)
-    one = factors.select(F.col("ref_value").alias("u1"), F.col("common_unit").alias("common_1"), F.col("kind").alias("kind_1"), F.col("factor").alias("f1"), F.col("shift").alias("s1"))
+    one = factors.select(F.col("ref_value").alias("u1"), F.col("common_unit").alias("common_1"), F.col("factor").alias("f1"), F.col("shift").alias("s1"))
     two = factors.select(F.col("ref_value").alias("u2"), F.col("common_unit").alias("common_2"), F.col("factor").alias("f2"))
-    guessed = resolved.withColumn("u1", F.when((F.col("field") == "net_weight_kg") & F.col("u1").isNull() & F.col("b").isNull(), unit_of_weight(F.col("a"), F.col("gross"))).otherwise(F.col("u1")))
+    bare = (F.col("field") == "net_weight_kg") & F.col("u1").isNull() & F.col("b").isNull()
+    guessed = resolved.withColumn("masses", masses(units)).withColumn("u1", F.when(bare, unit_of_weight(F.col("a"), F.col("gross"), F.col("masses"))).otherwise(F.col("u1")))
     joined = guessed.join(F.broadcast(one), "u1", "left").join(F.broadcast(two), "u2", "left")
-    sound = F.col("b").isNull() | (F.col("common_1") == F.col("common_2"))
-    amount = F.col("a").cast("decimal(18,5)") * F.col("f1") + F.col("s1")
-    both = amount + F.when(F.col("b").isNull(), F.lit(0)).otherwise(F.col("b").cast("decimal(18,5)") * F.col("f2"))
+    sound = F.col("common_1").isNotNull() & (F.col("b").isNull() | (F.col("common_1") == F.col("common_2")))
+
+    def total(scale: int, factor: str) -> Column:
+        """The sum of both figures, factors and shift multiplied by ``scale``."""
+        by = lambda c: (F.col(c) * scale).cast(factor)
+        second = F.when(F.col("b").isNull(), F.lit(0).cast(AMOUNT)).otherwise(_times(F.col("b"), by("f2")))
+        return F.when(sound, F.try_add(F.try_add(_times(F.col("a"), by("f1")), by("s1")), second))
+
     return joined.select(
-        "line_id", "field", F.col("u1").alias("unit"),
-        F.when(sound, F.col("common_1")).alias("common_unit"), F.when(sound & F.col("common_1").isNotNull(), both).alias("amount"),
-        (F.col("b").isNull() & (F.col("u1") == F.col("common_1"))).alias("recorded_in_common"),
+        "line_id", "field", F.col("u1").alias("unit"), F.when(sound, F.col("common_1")).alias("common_unit"), total(1, FACTOR).alias("amount"),
+        F.round(total(1000, "decimal(24,9)"), 0).try_cast("bigint").alias("amount_milli"), (F.col("b").isNull() & (F.col("u1") == F.col("common_1"))).alias("recorded_in_common"),
     )
 
 
-#: Kilograms in one unit of mass, in the order in which they are tried.
-MASS = {"KG": 1.0, "G": 0.001, "LB": 0.45359237, "MT": 1000.0, "OZ": 0.028349523125, "QTL": 100.0, "STN": 907.18474}
+#: The unit in which a bare net weight is unless it cannot be.
+USUAL_MASS = "KG"
+
+
+def masses(units: DataFrame) -> Column:
+    """The other units of mass of the list in order of their names, with the usual ones in one of each: one value."""
+    usual = units.where(F.col("ref_value") == USUAL_MASS).select("common_unit", F.col("factor").alias("usual"))
+    others = units.where(F.col("ref_value") != USUAL_MASS).join(usual, "common_unit").select("ref_value", (F.col("factor").cast("double") / F.col("usual").cast("double")).alias("each"))
+    return others.agg(F.array_sort(F.collect_list(F.struct("ref_value", "each")))).scalar()
 
 
-def unit_of_weight(net: Column, gross: Column) -> Column:
+def unit_of_weight(net: Column, gross: Column, others: Column) -> Column:
     """The unit of a bare net weight: kilograms, unless only another unit of mass agrees with the gross weight."""
-    share = lambda k: net.cast("double") * MASS[k] / gross.cast("double")
-    others = F.coalesce(*[F.when(share(k).between(*span), F.lit(k)) for span in (NET_USUAL, NET_SHARE) for k in MASS if k != "KG"])
-    return F.when((gross > 0) & ~share("KG").between(*NET_SHARE), F.coalesce(others, F.lit("KG"))).otherwise("KG")
+    share = net.cast("double") / F.nullif(gross, F.lit(0)).cast("double")
+    fits = lambda span: F.filter(others, lambda m: (share * m["each"]).between(*span))
+    first = lambda span: F.get(fits(span), F.lit(0))["ref_value"]
+    other = F.coalesce(first(NET_USUAL), first(NET_SHARE))
+    return F.when((gross > 0) & ~share.between(*NET_SHARE), F.coalesce(other, F.lit(USUAL_MASS))).otherwise(USUAL_MASS)
 
 
 def found(converted: DataFrame) -> DataFrame:
     """The values recorded in another unit than the common one, in thousandths of it, rounded half up."""
-    cases = converted.where("common_unit IS NOT NULL AND NOT recorded_in_common")
-    return cases.select("line_id", "field", "common_unit", F.round(F.col("amount") * 1000, 0).cast("long").alias("amount_milli"))
+    return converted.where("common_unit IS NOT NULL AND NOT recorded_in_common").select("line_id", "field", "common_unit", "amount_milli")

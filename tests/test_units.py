@@ -58,7 +58,7 @@ def test_nulls_blanks_zeros_repeats_and_clashing_columns(spark, data):
     found = converted(spark, data, *rows, alias="x", code="y", key="z", factor=3, a=1, texts="t")
     assert set(found) == {(4, "net_weight_kg"), (5, "quantity"), (6, "quantity")}
     listed = ref_values(spark, data).where("field = 'unit'")
-    assert units.convert_measures(line_items(spark, *rows), listed).where("line_id = 6").count() == 1
+    assert units.convert_measures(line_items(spark, *rows), listed).where("line_id = 6").count() == 2  # a row each
     assert units.convert_measures(line_items(spark), listed).count() == 0
 
 
@@ -102,7 +102,7 @@ def test_padded_and_long_cells_are_read(spark, data):
     assert got[1, "quantity"][:3] == ("MT", "KG", 12000) and got[2, "net_weight_kg"][:3] == ("KG", "KG", 5) and got[4, "quantity"][2] == 5000
     texts = ["1" + " " * 100, "1,5" + " " * 100, "0." + "1" * 90, "1" * 100_000, "1.1" * 40_000]
     found = spark.createDataFrame([(t,) for t in texts], "t string").select(printed_number(F.col("t")).alias("n")).collect()
-    assert [r["n"] for r in found] == [1, Decimal("1.5"), Decimal("0.111111"), None, None]
+    assert [r["n"] for r in found] == [1, Decimal("1.5"), Decimal("0.111111111111"), None, None]
 
 
 def test_shuffled_repair_equals_broadcast_repair(spark, data, monkeypatch):
@@ -112,3 +112,15 @@ def test_shuffled_repair_equals_broadcast_repair(spark, data, monkeypatch):
     want = rows()
     monkeypatch.setattr(units, "BROADCAST_ROWS", 0)
     assert rows() == want and want
+
+
+def test_small_and_large_figures(spark, data):
+    got = units.convert_measures(line_items(spark, *[{"line_id": k, "quantity": q} for k, q in enumerate(["0.000004 MT", "99999999999999 MT", "3 MT and 40 kg", "5 MT" + " " * 9_990 + "only"])]), ref_values(spark, data).where("field = 'unit'")).collect()
+    assert {r["line_id"]: r["amount_milli"] for r in got} == {0: 4, 1: None, 2: 3_040_000, 3: 5_000_000}
+
+
+def test_long_lists_of_unit_texts_join_by_salted_shuffle(spark, data, monkeypatch):
+    rows = [{"line_id": k, "quantity": f"{k + 1} kilogramm"} for k in range(40)] + [{"line_id": 99, "net_weight_kg": "2.5", "gross_weight_kg": "2600"}]
+    monkeypatch.setattr(units, "BROADCAST_ROWS", 0)
+    got = converted(spark, data, *rows)
+    assert len(got) == 41 and got[99, "net_weight_kg"][:3] == ("MT", "KG", 2500) and all(got[k, "quantity"][0] == "KG" for k in range(40))
