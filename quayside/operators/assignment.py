@@ -7,52 +7,51 @@ built in solves an assignment, so each consignment is solved in one Python call;
 
 from __future__ import annotations
 
-import math
-import re
-from collections import Counter
 from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from quayside.functions.scalars import STOP_WORDS
+from quayside.functions.scalars import description_tokens
 from quayside.schemas import DOC_TYPES
 
 #: Weight of the description against the position, and the least similarity of two lines of the same goods.
 DESCRIPTION_WEIGHT, LEAST_SIMILARITY = 0.85, 0.30
+#: Share of the weighted tokens in the similarity of descriptions; the rest is the sequence ratio of the sorted tokens.
+TOKEN_SHARE = 0.8
 SCHEMA = "consignment_id string, group_no int, source_doc string, line_id long, score double"
-_TOKEN = re.compile(r"[0-9]+(?:[.][0-9]+)?|[a-z]+")
 
 
-def token_set(text: str | None) -> frozenset[str]:
-    return frozenset(_TOKEN.findall((text or "").lower())) - frozenset(STOP_WORDS)
-
-
-class Described:
-    """A line's tokens with what their comparison needs, prepared once: the sorted text and a matcher on it."""
-
-    def __init__(self, line_id: int, text: str | None, place: float) -> None:
-        self.line_id, self.tokens, self.place = line_id, token_set(text), place
-        self.sorted = " ".join(sorted(self.tokens))
-        self._matcher: SequenceMatcher | None = None
-
-    def ratio(self, other: Described) -> float:
-        """Sequence ratio of the other's sorted text to this one's; the index of this one's characters is kept."""
-        if self._matcher is None:
-            self._matcher = SequenceMatcher(None, "", self.sorted)
-        self._matcher.set_seq1(other.sorted)
-        return self._matcher.ratio()
-
-
-def similarity(a: Described, b: Described, weights: dict[str, float]) -> float:
-    """Four fifths weighted Jaccard and one fifth sequence ratio of the sorted tokens."""
-    if not a.tokens or not b.tokens:
-        return 0.0
-    if a.tokens == b.tokens:
-        return 1.0
-    mass = lambda tokens: math.fsum(weights.get(t, 1.0) for t in tokens)
-    return 0.8 * mass(a.tokens & b.tokens) / mass(a.tokens | b.tokens) + 0.2 * b.ratio(a)
+class Consignment:
+    """The lines of one consignment as a matrix of lines by tokens; ``rank`` is the place of each line's document."""
+
+    def __init__(self, lines: pd.DataFrame) -> None:
+        self.line_id, self.rank, self.place = (lines[c].to_numpy() for c in ("line_id", "rank", "place"))
+        tokens = [list(t) for t in lines["tokens"]]
+        known = {t: k for k, t in enumerate(sorted({t for row in tokens for t in row}))}
+        self.holds = np.zeros((len(tokens), len(known)))
+        for i, row in enumerate(tokens):
+            self.holds[i, [known[t] for t in row]] = 1.0
+        self.text = [" ".join(row) for row in tokens]
+
+    def similarity(self, old: np.ndarray, new: np.ndarray) -> np.ndarray:
+        """Similarity of the lines ``old`` to the lines ``new``; the weights are those of both together."""
+        both = self.holds[np.concatenate([old, new])]
+        seen = both.sum(axis=0)
+        weight = np.where(seen > 0, np.log1p(len(both) / np.maximum(seen, 1.0)), 0.0)
+        shared = (self.holds[old] * weight) @ self.holds[new].T
+        union = (self.holds[old] @ weight)[:, None] + (self.holds[new] @ weight)[None, :] - shared
+        ratio = np.zeros_like(shared)
+        for j, item in enumerate(new):
+            matcher = SequenceMatcher(None, "", self.text[item])
+            for i, member in enumerate(old):
+                if self.text[item] and self.text[member]:
+                    matcher.set_seq1(self.text[member])
+                    ratio[i, j] = 1.0 if self.text[member] == self.text[item] else matcher.ratio()
+        return TOKEN_SHARE * np.divide(shared, union, out=np.zeros_like(shared), where=union > 0) + (1 - TOKEN_SHARE) * ratio
 
 
 def largest_assignment(score: np.ndarray) -> list[tuple[int, int]]:
@@ -98,39 +97,46 @@ def largest_assignment(score: np.ndarray) -> list[tuple[int, int]]:
     return sorted((int(r), c) for c, r in enumerate(row_of) if r >= 0)
 
 
-def _place(i: int, n: int) -> float:
-    return i / (n - 1) if n > 1 else 0.0
-
-
 def match_consignment(lines: pd.DataFrame) -> pd.DataFrame:
-    """The groups of one consignment's lines, numbered in the order of the first document, then of the others."""
-    groups: list[dict] = []
-    for doc in DOC_TYPES:
-        items = lines[lines["source_doc"] == doc].sort_values(["line_no", "line_id"], na_position="last")
-        if items.empty:
-            continue
-        new = [Described(int(r.line_id), r.description, _place(i, len(items))) for i, r in enumerate(items.itertuples())]
-        pool = [m.tokens for g in groups for m in g["members"]] + [m.tokens for m in new]
-        count = Counter(w for tokens in pool for w in tokens)
-        weights = {w: math.log(1 + len(pool) / k) for w, k in count.items()}
-        alike = np.array([[max(similarity(m, item, weights) for m in g["members"]) for item in new] for g in groups]).reshape(len(groups), len(new))
-        near = np.array([[1 - abs(g["place"] - item.place) for item in new] for g in groups]).reshape(len(groups), len(new))
-        taken = set()
-        for g, i in largest_assignment(DESCRIPTION_WEIGHT * alike + (1 - DESCRIPTION_WEIGHT) * near):
-            if alike[g, i] >= LEAST_SIMILARITY:
-                groups[g]["lines"][doc] = (new[i].line_id, round(float(alike[g, i]), 3))
-                groups[g]["members"].append(new[i])
-                taken.add(i)
-        groups += [{"lines": {doc: (m.line_id, 1.0)}, "members": [m], "place": m.place} for i, m in enumerate(new) if i not in taken]
-    consignment = lines["consignment_id"].iloc[0]
-    rows = [(consignment, k, doc, line, score) for k, g in enumerate(groups, 1) for doc, (line, score) in g["lines"].items()]
-    return pd.DataFrame(rows, columns=["consignment_id", "group_no", "source_doc", "line_id", "score"])
+    """The groups of one consignment's prepared lines, numbered in the order of the first document, then of the others.
+
+    ``group_of`` holds the group of each line, -1 for the lines of documents to come; a group's place is its first line's.
+    """
+    lines = lines.sort_values(["rank", "place", "line_id"])
+    c = Consignment(lines)
+    group_of, scores, places = np.full(len(lines), -1), np.ones(len(lines)), []
+    for rank in sorted(set(c.rank)):
+        old, new = np.flatnonzero(c.rank < rank), np.flatnonzero(c.rank == rank)
+        if len(old):
+            alike = np.zeros((len(places), len(new)))
+            np.maximum.at(alike, group_of[old], c.similarity(old, new))
+            score = DESCRIPTION_WEIGHT * alike + (1 - DESCRIPTION_WEIGHT) * (1 - np.abs(np.array(places)[:, None] - c.place[new]))
+            for g, i in largest_assignment(score):
+                if alike[g, i] >= LEAST_SIMILARITY:
+                    group_of[new[i]], scores[new[i]] = g, round(float(score[g, i]), 3)
+        for i in new[group_of[new] < 0]:
+            group_of[i] = len(places)
+            places.append(c.place[i])
+    found = pd.DataFrame({"consignment_id": lines["consignment_id"], "group_no": group_of + 1, "source_doc": lines["source_doc"], "line_id": c.line_id, "score": scores})
+    return found.sort_values(["group_no", "line_id"])
+
+
+def prepare_lines(lines: DataFrame, partitions: int = 8) -> DataFrame:
+    """Tokens, rank of the document and place within it (0 to 1) of every line; a null consignment is a line's own."""
+    own = F.coalesce(F.col("consignment_id"), F.concat(F.lit("\u0001"), F.col("line_id").cast("string")))
+    rank = F.array_position(F.array(*[F.lit(d) for d in DOC_TYPES]), F.col("source_doc"))
+    place = F.percent_rank().over(W.partitionBy("key", "source_doc").orderBy(F.asc_nulls_last("line_no"), "line_id"))
+    keyed = lines.select(own.alias("key"), "consignment_id", "source_doc", "line_no", "line_id", description_tokens(F.col("description")).alias("tokens"), rank.cast("int").alias("rank")).where("rank > 0")
+    return keyed.repartition(partitions, "key").withColumn("place", place).drop("line_no")
 
 
 def assign_lines(lines: DataFrame) -> DataFrame:
-    """(consignment_id, group_no, source_doc, line_id, score): each line in exactly one group of its consignment."""
+    """(consignment_id, group_no, source_doc, line_id, score): each line in exactly one group of its consignment.
+
+    The score is the combined one of description and place, 1 for the line that founds its group. Lines of unknown
+    documents are left out; a line without a consignment is alone.
+    """
     spark = lines.sparkSession
     # the rows are few bytes but much work: a stated number of partitions is not coalesced by size
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    narrow = lines.select("consignment_id", "source_doc", "line_no", "line_id", "description").where("consignment_id IS NOT NULL").repartition(parts, "consignment_id")
-    return narrow.groupBy("consignment_id").applyInPandas(match_consignment, SCHEMA)
+    return prepare_lines(lines, parts).groupBy("key").applyInPandas(match_consignment, SCHEMA)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quayside.functions.scalars import country_key, unit_key
+from quayside.functions.scalars import country_key, shorten, unit_key
 from quayside.schemas import DOC_TYPES, NUMBERS
 
 #: Spread over the largest value below which two weights differ by an advisory only.
@@ -42,13 +42,16 @@ def _says(name: str, stated) -> Column:
     return F.concat(F.concat_ws("; ", *parts), F.lit("."))
 
 
-def _values(name: str) -> Column:
-    entries = F.array(*_each(lambda d: F.struct(F.lit(d).alias("key"), F.col(f"{d}.{name}").cast("string").alias("value"))))
-    return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
+def _values(name: str, stated) -> Column:
+    """What the documents that state the field say, by document."""
+    entries = F.array(*_each(lambda d: F.when(stated(d), F.struct(F.lit(d).alias("key"), F.col(f"{d}.{name}").cast("string").alias("value")))))
+    return F.map_from_entries(F.filter(entries, lambda e: e.isNotNull()))
 
 
 def compare_documents(matched: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per field on which the documents of a matched line disagree: keys, rule_ord, field, severity, note, values.
+    """One row per field on which the documents of a matched line disagree: keys, rule_ord, field, severity, label, note, values.
+
+    ``label`` names the line by the last of the keys and its shortened description.
 
     A document that lacks the line is blocking, the bill of lading only advisory and only if it lists any line. Units,
     currencies and origins differ after their spellings are made one; a difference in unit suppresses quantity, in
@@ -70,13 +73,13 @@ def compare_documents(matched: DataFrame, keys: list[str]) -> DataFrame:
         )
         found.append(F.when(condition, item))
 
-    nothing = F.create_map().cast("map<string,string>")
+    listed = F.map_from_entries(F.array(*_each(lambda d: F.struct(F.lit(d), F.when(F.col(d).isNotNull(), "yes").otherwise("no")))))
     for k, doc in enumerate(DOC_TYPES):
         advisory = doc == "bill_of_lading"
-        rule(k, "presence", F.col(doc).isNull() & (F.col("bl_lists") if advisory else F.lit(True)), "advisory" if advisory else "blocking", F.lit(f"not on the {LABELS[doc]}"), nothing)
+        rule(k, "presence", F.col(doc).isNull() & (F.col("bl_lists") if advisory else F.lit(True)), "advisory" if advisory else "blocking", F.lit(f"not on the {LABELS[doc]}"), listed)
     texted = lambda name: lambda d: F.trim(F.coalesce(F.col(f"{d}.{name}"), F.lit(""))) != ""
-    rule(3, "unit", F.size(units) > 1, "blocking", _says("unit", texted("unit")), _values("unit"))
-    rule(4, "currency", F.size(currencies) > 1, "blocking", _says("currency", texted("currency")), _values("currency"))
+    rule(3, "unit", F.size(units) > 1, "blocking", _says("unit", texted("unit")), _values("unit", texted("unit")))
+    rule(4, "currency", F.size(currencies) > 1, "blocking", _says("currency", texted("currency")), _values("currency", texted("currency")))
     for k, name in enumerate(NUMBERS):
         stated = _stated(name)
         low, high = F.array_min(stated), F.array_max(stated)
@@ -86,15 +89,19 @@ def compare_documents(matched: DataFrame, keys: list[str]) -> DataFrame:
         if name in ("unit_price", "value"):
             differs = differs & (F.size(currencies) <= 1)
         severity: Column | str = "advisory" if name == "unit_price" else "blocking"
-        note = _says(f"{name}_raw", lambda d, name=name: F.coalesce(F.col(f"{d}.{name}"), F.lit(0)) != 0)
+        given = lambda d, name=name: F.coalesce(F.col(f"{d}.{name}"), F.lit(0)) != 0
+        note = _says(f"{name}_raw", given)
         if name.endswith("_kg"):
             close = (high > 0) & ((high - low) < high * F.lit(WEIGHT_TOLERANCE).cast("decimal(4,2)"))
             severity = F.when(close | (high < 0), "advisory").otherwise("blocking")
             note = F.concat(note, F.lit(" Spread "), F.bround((high - low).cast("double") * 100 / F.nullif(high, F.lit(0)).cast("double"), 2).cast("decimal(18,2)").cast("string"), F.lit("%."))
-        rule(5 + k, name, differs, severity, note, _values(f"{name}_raw"))
-    rule(10, "origin", F.size(origins) > 1, "blocking", _says("origin", texted("origin")), _values("origin"))
+        rule(5 + k, name, differs, severity, note, _values(f"{name}_raw", given))
+    rule(10, "origin", F.size(origins) > 1, "blocking", _says("origin", texted("origin")), _values("origin", texted("origin")))
     items = F.filter(F.array(*found), lambda x: x.isNotNull())
-    return m.select(*keys, F.inline(items))
+    description = F.coalesce(*_each(lambda d: F.col(f"{d}.description")))
+    label = F.concat(F.lit("Line "), F.col(keys[-1]).cast("string"), F.lit(" ("), shorten(description), F.lit(")"))
+    found_rows = m.select(*keys, label.alias("label"), F.inline(items))
+    return found_rows.select(*keys, "rule_ord", "field", "severity", "label", "note", "values")
 
 
 def presence(matched: DataFrame, keys: list[str]) -> DataFrame:

@@ -13,9 +13,6 @@ from pyspark.sql import Window as W
 
 from quayside.functions.scalars import candidate_words, dash_depth, own_text, rate_kind, specific_text, tariff_code, undashed
 
-#: Deepest level of dashes in a tariff.
-DEPTHS = 6
-
 
 def classify_cells(cells: DataFrame) -> DataFrame:
     """``cells`` (page, row_no, code, descr, rate) with kind: what a printed row of the tariff is."""
@@ -42,8 +39,9 @@ def parse_cells(cells: DataFrame, document: str = "tariff") -> tuple[DataFrame,
     """(tariff rows, rejected rows) of the printed cells.
 
     Everything ordered is a window: the open heading is filled forward, which cuts the table into segments; inside a
-    segment the open subheading of each depth is the last one not followed by a shallower one, and text without a code
-    belongs to the row above it. A tariff is one printed document; several are told apart by the column ``document``.
+    segment the open subheadings are those not followed by a shallower one, at any depth, and text without a code
+    belongs to the accepted line above it, else to the innermost open subheading; a rejected line takes none. A tariff
+    is one printed document, a bounded table; several are told apart by the column ``document``.
     """
     keyed = cells if document in cells.columns else cells.withColumn(document, F.lit(1))
     order = W.partitionBy(document).orderBy("page", "row_no")
@@ -76,19 +74,23 @@ def parse_cells(cells: DataFrame, document: str = "tariff") -> tuple[DataFrame,
         .when((F.col("kind") == "line") & (F.coalesce(F.col("open_heading"), F.lit("")) != of_line), "line outside its heading")
     )
     c = c.withColumns({"reject": reject, "depth": dash_depth(F.col("descr")), "text": text})
-    owner = F.when(F.col("kind").isin("line", "subheading") & F.col("reject").isNull(), F.col("ord"))
-    c = c.withColumn("owner", F.last(owner, ignorenulls=True).over(sofar))
-    more = c.where("kind = 'continuation' AND owner IS NOT NULL").groupBy(document, "owner").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), " ").alias("more"))
-    c = c.where("kind <> 'continuation'").join(more.withColumnRenamed("owner", "ord"), [document, "ord"], "left").withColumn("text", F.concat_ws(" ", "text", "more"))
+    # what the next text without a code belongs to: an accepted line, or 0 for the subheading that is open
+    owner = F.when((F.col("kind") == "line") & F.col("reject").isNull(), F.col("ord")).when(F.col("kind").isin("line", "subheading"), 0)
+    c = c.withColumn("owner", F.coalesce(F.last(owner, ignorenulls=True).over(sofar), F.lit(0)))
+    wrapped = F.col("kind") == "continuation"
+    more = c.where(wrapped & (F.col("owner") > 0)).groupBy(document, "owner").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), " ").alias("more"))
+    # the open subheadings of a row: each one closes those as deep or deeper, wrapped text lengthens the innermost
+    event = F.when(F.col("kind") == "subheading", F.struct("depth", "text")).when(wrapped & (F.col("owner") == 0), F.struct(F.lit(-1).alias("depth"), "text"))
+    c = c.withColumn("events", F.collect_list(event).over(sofar))
+    top = lambda stack: F.element_at(stack, -1)
+    longer = lambda stack, e: F.concat(F.slice(stack, 1, F.size(stack) - 1), F.array(F.struct(top(stack)["depth"].alias("depth"), F.concat_ws(" ", top(stack)["text"], e["text"]).alias("text"))))
+    step = lambda stack, e: F.when(e["depth"] >= 0, F.array_append(F.filter(stack, lambda x: x["depth"] < e["depth"]), e)).when(F.size(stack) > 0, longer(stack, e)).otherwise(stack)
+    stack = F.aggregate("events", F.array().cast("array<struct<depth:int,text:string>>"), step)
+    c = c.withColumn("parents", F.transform(F.filter(stack, lambda x: (F.col("depth") == 0) | (x["depth"] < F.col("depth"))), lambda x: x["text"])).drop("events")
+    c = c.where(~wrapped).join(more.withColumnRenamed("owner", "ord"), [document, "ord"], "left").withColumn("text", F.concat_ws(" ", "text", "more"))
     heading_text = F.first(F.when((F.col("kind") == "heading") | F.col("opens").isNotNull(), F.col("text")), ignorenulls=True).over(inside.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     c = c.withColumn("heading_text", heading_text)
-    for d in range(1, DEPTHS + 1):
-        sub = F.col("kind") == "subheading"
-        mine = F.last(F.when(sub & (F.col("depth") == d), F.struct("ord", "text")), ignorenulls=True).over(sofar)
-        above = F.last(F.when(sub & (F.col("depth") < d), F.col("ord")), ignorenulls=True).over(sofar)
-        c = c.withColumn(f"level_{d}", F.when(mine.isNotNull() & (above.isNull() | (mine["ord"] > above)), mine["text"]))
-    parents = F.array(*[F.when((F.col("depth") == 0) | (F.lit(d) < F.col("depth")), F.col(f"level_{d}")) for d in range(1, DEPTHS + 1)])
-    path = F.when(F.col("opens").isNotNull(), F.col("text")).otherwise(F.concat_ws(" > ", F.array(F.col("heading_text")), F.filter(parents, lambda x: x.isNotNull()), F.array(F.col("text"))))
+    path = F.when(F.col("opens").isNotNull(), F.col("text")).otherwise(F.concat_ws(" > ", F.array(F.col("heading_text")), F.col("parents"), F.array(F.col("text"))))
     lines = c.where("kind = 'line' AND reject IS NULL")
     rows = lines.select(
         F.col("code").alias("pct_code"), path.alias("description"), F.when(rate_kind(F.col("rate")) == "ad_valorem", F.replace("rate", F.lit(" "), F.lit(""))).otherwise("").alias("cd_rate"),

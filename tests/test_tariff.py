@@ -14,8 +14,9 @@ CELLS = [
     (1, 7, "", "- Other", ""),
     (1, 8, "0105.9400", "- - Fowls of the species", "5"),
     (1, 9, "0105.9900", "- - Other birds", ""),
-    (1, 10, "0105.9910", "- - Rare birds", "Rs. 105 50/ MT"),
-    (1, 11, "0105.9920", "- - Odd birds", "free"),
+    (1, 10, "", "tail of a rejected line", ""),
+    (1, 11, "0105.9910", "- - Rare birds", "Rs. 105 50/ MT"),
+    (1, 12, "0105.9920", "- - Odd birds", "free"),
     (2, 1, "[05.03]", "Deleted", ""),
     (2, 2, "0205.0000", "Meat of horses", "20"),
     (2, 3, "11.02", "Flour", ""),
@@ -26,6 +27,7 @@ CELLS = [
     (2, 8, "", "dropped after the concession", ""),
     (2, 9, "1102.2000", "- Maize flour", "10"),
 ]
+CELLS = CELLS[:13] + [(1, 20, "11.02", "Flour", "")] + [(1, 20 + d, "", "- " * d + f"Level {d}", "") for d in range(1, 13)] + [(1, 40, "1102.3000", "- " * 13 + "Deep", "1")] + CELLS[13:]
 
 
 @pytest.fixture(scope="module")
@@ -41,7 +43,9 @@ def test_paths(parsed):
     assert rows["0105.9400"]["description"] == "Live poultry > Other > Fowls of the species"
     assert rows["0205.0000"]["description"] == "Meat of horses" and rows["0205.0000"]["heading"] == "02.05"
     assert rows["1102.2000"]["description"] == "Flour > Maize flour"
-    assert set(rows) == {"0105.1100", "0105.9400", "0105.9910", "0205.0000", "1102.2000"}
+    assert rows["0105.9910"]["description"] == "Live poultry > Other tail of a rejected line > Rare birds"
+    assert rows["1102.3000"]["description"] == "Flour > " + " > ".join(f"Level {d}" for d in range(1, 13)) + " > Deep"
+    assert set(rows) == {"1102.3000", "0105.1100", "0105.9400", "0105.9910", "0205.0000", "1102.2000"}
 
 
 def test_rates_and_rejects(parsed):
