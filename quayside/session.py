@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -19,6 +21,7 @@ def local_session(app: str = "quayside", cores: str = "*", partitions: int = 8,
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
@@ -27,10 +30,12 @@ def local_session(app: str = "quayside", cores: str = "*", partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of ``spark.checkpoint.dir``; a local one is made only where that is unset."""
+    """Use the shared folder of ``spark.checkpoint.dir``; a local one is made only for a local master without that setting."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = context.getConf().get("spark.checkpoint.dir")
+        if not shared and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no shared folder, which checkpoints on a cluster need")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="quayside-checkpoint-"))
 
 
@@ -47,6 +52,7 @@ def ship_package(spark: SparkSession) -> None:
         return
     root = Path(__file__).resolve().parent
     folder = Path(tempfile.mkdtemp(prefix="quayside-ship-"))  # on the driver only; the driver serves the file
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     with zipfile.ZipFile(folder / "quayside_package.zip", "w") as archive:
         for path in sorted(root.rglob("*.py")):
             archive.write(path, Path(root.name) / path.relative_to(root))
