@@ -1,42 +1,55 @@
 """Lines of one consignment matched across its documents by loopy belief propagation.
 
-Candidates are pairs of lines of one consignment from two documents whose descriptions name the same goods; each pair
-has log-odds from what both lines state: brand, model, attributes, gross and net weight, quantity, position. The
-one-to-one factors (a line has at most one partner in each other document) exchange messages through window joins
-over the pairs until they no longer change, which gives the marginal probability of each match. Matches are then
-assigned one to one, the likeliest first. Equal lines, which share the probability, are matched last, when what a third document says is known.
+Candidates are pairs of lines of one consignment from two documents that share something telling: a word of their
+descriptions, a brand, a model, a weight. No line is left out for the goods that it names. What a pair agrees on is a
+pattern of levels, one for each comparison; the weights of the levels are estimated from the counts of the patterns by
+expectation maximisation, which starts from stated prior counts. The one-to-one factors (a line has at most one partner
+in each other document) then exchange messages through window joins over the pairs until they no longer change, which
+gives the marginal probability of each match. Matches are assigned one to one, the likeliest first. Pairs of lines that
+match the same line of a third document are added to the graph as candidates and pass messages like all others. Equal
+lines, which share the probability, are matched last.
 
 Of copies only the smallest line_id counts; totals and lines without a description match nothing, nor do lines
-without a consignment or document. Candidates stay inside a consignment and kind of goods, so no cross join is made;
-by the data a consignment has at most some seventy goods. Ties are broken by position, then by line_id.
+without a consignment or document. Candidates stay inside a consignment, so no cross join is made; by the data a
+consignment has at most some seventy goods. Ties are broken by position, then by line_id.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import partial
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from quayside.functions.numbers import printed_number
 from quayside.functions.text import fold_lookalikes
-from quayside.llm.goods import GOODS, Reader
-from quayside.llm.products import described, originals
+from quayside.llm.phrases import find_phrases, mine_brands, mine_phrases
+from quayside.llm.products import described, originals, read_listings
 from quayside.session import cut_lineage
 
-#: Log-odds of a pair before anything is compared, and what each comparison adds: equal, different.
-PRIOR = 0.3
-EVIDENCE = {"brand": (3.0, -7.0), "model": (4.0, -7.0), "mark": (1.3, -5.0), "gross": (6.0, -6.0), "net": (3.0, -0.5), "quantity": (2.0, 0.0), "place": (0.6, 0.0)}
-#: Pairs below this cannot be matched, as messages only lower the odds, and weigh under 2 % as rivals of others.
-LEAST = -4.0
-#: Messages per block of rounds, most blocks, largest change of a message at which it has converged.
-ROUNDS, BLOCKS, STILL = 4, 5, 1e-2
+#: The comparisons with their levels; for each level the prior counts of matches and of other pairs, of 100 each.
+LEVELS = {
+    "words": {"unknown": (4, 4), "none": (2, 30), "some": (10, 40), "most": (24, 16), "all": (60, 10)},
+    "brand": {"unknown": (40, 40), "differs": (1, 55), "same": (59, 5)},
+    "model": {"unknown": (80, 80), "differs": (0.2, 19.5), "same": (19.8, 0.5)},
+    "marks": {"none": (25, 30), "one": (18, 10), "two": (22, 4), "more": (25, 2), "mixed": (8, 19), "differs": (2, 35)},
+    "gross": {"unknown": (50, 50), "differs": (2, 49), "near": (3, 0.5), "same": (45, 0.5)},
+    "net": {"unknown": (60, 60), "differs": (4, 39), "near": (3, 0.5), "same": (33, 0.5)},
+    "quantity": {"unknown": (10, 10), "differs": (55, 88), "same": (35, 2)},
+    "place": {"unknown": (1, 1), "far": (49, 79), "near": (20, 12), "same": (30, 8)},
+}
+#: Prior share of matches among the candidates, the weight of the prior in pairs, rounds of estimation, and where it is still.
+PRIOR_SHARE, PRIOR_PAIRS, EM_ROUNDS, EM_STILL = 0.2, 300.0, 200, 1e-6
+#: Pairs below these log-odds are no candidates: as rivals of others they would change a marginal by less than a thousandth.
+LEAST = -7.0
+#: Messages per block of rounds, largest change of a message at which it has converged, and most blocks (reported as not converged).
+ROUNDS, STILL, MOST_BLOCKS = 4, 1e-2, 25
 #: Pairs from this belief on (a probability of a half) are matched first, and what follows from them over a third document.
 SURE = 0.0
 #: So many pairs at most are broadcast.
@@ -45,86 +58,139 @@ FEW = 100_000
 LEAST_ODDS = 0.0
 
 
-#: A word is taken for a brand if so many invoice lines of so many consignments have it as their only unknown one.
-BRAND_LINES, BRAND_CONSIGNMENTS, MAX_BRANDS = 3, 2, 200_000
-
-
 def _figure(text: Column) -> Column:
     plain = F.when(text.rlike("^[0-9., ']+$"), text).otherwise(F.trim(F.regexp_replace(fold_lookalikes(text), "[\\s]*(?i:kgs?\\.?)$", "")))
     return F.when(text.rlike("[1-9]"), printed_number(plain))
 
 
-READ_SCHEMA = T.StructType([
-    T.StructField("goods", T.StringType()), T.StructField("model", T.StringType()), T.StructField("marks", T.ArrayType(T.LongType())),
-    T.StructField("word_1", T.StringType()), T.StructField("word_2", T.StringType()), T.StructField("trusted", T.BooleanType()),
-])
-DIMENSIONS = {d: k for k, d in enumerate(sorted({d for _, _, dims in GOODS.values() for d in dims.split()}), 1)}
-_READERS: list[Reader] = []
-
-
-@F.pandas_udf(READ_SCHEMA)
-def _read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """Goods, model, attributes as numbers (dimension above, digest of the value below), and words not understood."""
-    if not _READERS:
-        _READERS.append(Reader(any_model=True))
-    reader = _READERS[0]
-    for batch in batches:
-        rows = []
-        for text in batch:
-            r = reader.read(text)
-            words = [w for w in r.rest if len(w) > 3]
-            marks = [DIMENSIONS.get(d, 0) << 32 | zlib.crc32("|".join(sorted(v)).encode()) for d, v in r.attributes.items()]
-            trusted = bool(r.goods) and len(words) == 1 and len(marks) >= len(reader.count_dims[r.goods]) - 1
-            rows.append((r.goods, r.model, marks, words[0] if words else None, words[1] if len(words) > 1 else None, trusted))
-        yield pd.DataFrame(rows, columns=["goods", "model", "marks", "word_1", "word_2", "trusted"])
-
-
-def read_lines(lines: DataFrame) -> DataFrame:
+def read_lines(lines: DataFrame, lexicon: dict[str, dict[str, str]] | None = None) -> DataFrame:
     """The lines that can be matched, with what their descriptions and figures say; each description is read once.
 
-    Brands are the words that invoice lines understood but for one word have in common; the table of them is broadcast,
-    cut to MAX_BRANDS, the best borne out first.
+    Brands and models are mined from the invoices and found in all documents.
     """
     wanted = described(lines.where("consignment_id IS NOT NULL AND source_doc IS NOT NULL"))
-    first = originals(wanted, "description", "quantity", "net_weight_kg", "gross_weight_kg")
-    read = cut_lineage(first.select(
-        "line_id", "consignment_id", "source_doc", "line_no", _read.asNondeterministic()("description").alias("r"),
-        _figure(F.col("gross_weight_kg")).alias("gross"), _figure(F.col("net_weight_kg")).alias("net"), F.when(F.col("quantity").rlike("[1-9]"), F.lower(F.trim("quantity"))).alias("quantity"),
-    ))
-    trusted = read.where("source_doc = 'invoice' AND r.trusted").groupBy(F.col("r.word_1").alias("brand")).agg(F.count("*").alias("n"), F.approx_count_distinct("consignment_id").alias("m"))
-    brands = cut_lineage(trusted.where((F.col("n") >= BRAND_LINES) & (F.col("m") >= BRAND_CONSIGNMENTS)).orderBy(F.desc("n"), "brand").limit(MAX_BRANDS).select("brand"))
-    b1, b2 = F.broadcast(brands.withColumnRenamed("brand", "brand_1")), F.broadcast(brands.withColumnRenamed("brand", "brand_2"))
-    known = read.where("r.goods <> ''").join(b1, F.col("r.word_1") == F.col("brand_1"), "left").join(b2, F.col("r.word_2") == F.col("brand_2"), "left")
-    dims = F.transform("r.marks", lambda x: F.shiftright(x, 32).cast("int"))
-    return known.select(
-        "line_id", "consignment_id", "source_doc", "line_no", "r.goods", F.coalesce("brand_1", "brand_2", F.lit("")).alias("brand"), "r.model", "r.marks", dims.alias("dims"), "gross", "net", "quantity",
+    first = originals(wanted, "description", "quantity", "net_weight_kg", "gross_weight_kg", "shipper_id")
+    stated = first.select(
+        "line_id", "consignment_id", "source_doc", "line_no", "description", "shipper_id", _figure(F.col("gross_weight_kg")).cast("double").alias("gross"),
+        _figure(F.col("net_weight_kg")).cast("double").alias("net"), F.when(F.col("quantity").rlike("[1-9]"), F.lower(F.trim("quantity"))).alias("quantity"),
     )
-
-
-def _evidence(name: str, a: Column, b: Column, stated: Column) -> Column:
-    equal, different = EVIDENCE[name]
-    return F.when(stated, F.when(a == b, equal).otherwise(different)).otherwise(0.0)
+    read = read_listings(stated, lexicon)
+    invoices = read.where("source_doc = 'invoice'")
+    found = find_phrases(read, mine_phrases(invoices, mine_brands(invoices)))
+    return found.select("line_id", "consignment_id", "source_doc", "line_no", "brand", "model", "marks", F.array_distinct(F.filter("words", lambda w: ~w.rlike("^[0-9.]+$|^.$"))).alias("words"), "gross", "net", "quantity")
+
+
+@contextmanager
+def partitioned_by_part(spark: SparkSession):
+    """Joins on several keys take a partitioning by one of them as it is, for what is planned inside."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _agreement(name: str) -> Column:
+    """The level of a comparison of two figures."""
+    a, b = F.col(f"{name}_a"), F.col(f"{name}_b")
+    apart = F.abs(a - b) / F.greatest(a, b)
+    return F.when(a.isNull() | b.isNull(), "unknown").when(a == b, "same").when(apart <= 0.03, "near").otherwise("differs")
+
+
+def _worded(name: str) -> Column:
+    a, b = F.col(f"{name}_a"), F.col(f"{name}_b")
+    return F.when((a == "") | (b == ""), "unknown").when(a == b, "same").otherwise("differs")
+
+
+def pair_levels() -> dict[str, Column]:
+    """The level of each comparison of a pair, as an index into its levels."""
+    fewer = F.least(F.size("words_a"), F.size("words_b"))
+    share = F.size(F.array_intersect("words_a", "words_b")) / F.greatest(fewer, F.lit(1))
+    dims = lambda side: F.transform(f"marks_{side}", lambda m: F.substring_index(m, "=", 1))
+    both, same = F.size(F.array_intersect(dims("a"), dims("b"))), F.size(F.array_intersect("marks_a", "marks_b"))
+    far = F.abs(F.col("line_no_a") - F.col("line_no_b"))
+    texts = {
+        "words": F.when(fewer == 0, "unknown").when(share == 0, "none").when(share < 0.5, "some").when(share < 1, "most").otherwise("all"),
+        "brand": _worded("brand"),
+        "model": _worded("model"),
+        "marks": F.when(both == 0, "none").when(same == 0, "differs").when(both > same, "mixed").when(same == 1, "one").when(same == 2, "two").otherwise("more"),
+        "gross": _agreement("gross"),
+        "net": _agreement("net"),
+        "quantity": F.when(F.col("quantity_a").isNull() | F.col("quantity_b").isNull(), "unknown").when(F.col("quantity_a") == F.col("quantity_b"), "same").otherwise("differs"),
+        "place": F.when(far.isNull(), "unknown").when(far == 0, "same").when(far <= 2, "near").otherwise("far"),
+    }
+    index = lambda name: F.create_map(*[F.lit(x) for k, level in enumerate(LEVELS[name]) for x in (level, k)])
+    return {name: F.element_at(index(name), text) for name, text in texts.items()}
+
+
+def compared_pairs(read: DataFrame) -> DataFrame:
+    """consignment_id, a, b, da, db, pattern of the candidates: each pair once, at the first key that its lines share.
+
+    The lines are shuffled once, by consignment; keys and pairs are made where they are.
+    """
+    prefixed = lambda p, c: F.when(F.col(c).cast("string") != "", F.concat(F.lit(p), F.col(c).cast("string")))
+    keys = F.array_compact(F.concat(F.transform("words", lambda w: F.concat(F.lit("w"), w)), F.array(prefixed("b", "brand"), prefixed("m", "model"), prefixed("g", "gross"), prefixed("n", "net"))))
+    placed = cut_lineage(read.withColumn("keys", keys).repartition("consignment_id"))
+    side = lambda s: placed.select("consignment_id", F.explode("keys").alias("key"), *[F.col(c).alias(f"{c}_{s}") for c in placed.columns if c != "consignment_id"])
+    with partitioned_by_part(read.sparkSession):
+        joined = side("a").join(side("b").hint("shuffle_hash"), ["consignment_id", "key"]).where((F.col("source_doc_a") < F.col("source_doc_b")) & (F.col("key") == F.get(F.array_intersect("keys_a", "keys_b"), F.lit(0))))
+        pattern = F.lit(0)
+        for name, level in pair_levels().items():
+            pattern = pattern * len(LEVELS[name]) + level
+        doc = lambda s: F.col(f"source_doc_{s}")
+        return cut_lineage(joined.select("consignment_id", F.col("line_id_a").alias("a"), F.col("line_id_b").alias("b"), doc("a").alias("da"), doc("b").alias("db"), pattern.alias("pattern")))
+
+
+def _digits(patterns: np.ndarray) -> dict[str, np.ndarray]:
+    """The levels of each comparison from the patterns' numbers."""
+    out, rest = {}, patterns.copy()
+    for name in reversed(LEVELS):
+        out[name] = rest % len(LEVELS[name])
+        rest //= len(LEVELS[name])
+    return out
+
+
+def estimate_weights(patterns: np.ndarray, counts: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """(log-odds of a match, log-ratios of the levels of each comparison) by expectation maximisation over pattern counts.
+
+    Matches and other pairs each have their own frequencies of levels, independent between comparisons; the prior counts
+    take part as PRIOR_PAIRS pairs, so that a small table is judged by them and a large one by itself.
+    """
+    levels = _digits(patterns)
+    prior = {name: np.array(list(rows.values())) / np.sum(list(rows.values()), axis=0) for name, rows in LEVELS.items()}
+    share, freq = PRIOR_SHARE, {name: p.copy() for name, p in prior.items()}
+    for _ in range(EM_ROUNDS):
+        odds = math.log(share / (1 - share)) + sum(np.log(freq[n][levels[n], 0] / freq[n][levels[n], 1]) for n in LEVELS)
+        match = 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
+        weight = np.stack([counts * match, counts * (1 - match)], axis=1)
+        totals = weight.sum(axis=0)
+        new = (totals[0] + PRIOR_SHARE * PRIOR_PAIRS) / (totals.sum() + PRIOR_PAIRS)
+        for n in LEVELS:
+            seen = np.zeros_like(freq[n])
+            np.add.at(seen, levels[n], weight)
+            freq[n] = (seen + prior[n] * PRIOR_PAIRS) / (totals + PRIOR_PAIRS)
+        moved, share = abs(new - share), new
+        if moved < EM_STILL:
+            break
+    return math.log(share / (1 - share)), {n: np.log(freq[n][:, 0] / freq[n][:, 1]) for n in LEVELS}
 
 
 def candidate_pairs(read: DataFrame) -> DataFrame:
-    """consignment_id, a, b, da, db, odds of the pairs that are possible; da and db are digests of their documents' names."""
-    side = lambda s: read.select("consignment_id", "goods", *[F.col(c).alias(f"{c}_{s}") for c in ("line_id", "source_doc", "line_no", "brand", "model", "marks", "dims", "gross", "net", "quantity")])
-    pairs = side("a").join(side("b"), ["consignment_id", "goods"]).where("source_doc_a < source_doc_b")
-    both = F.size(F.array_intersect("dims_a", "dims_b"))
-    same = F.size(F.array_intersect("marks_a", "marks_b"))
-    stated = lambda c: F.col(f"{c}_a").isNotNull() & F.col(f"{c}_b").isNotNull()
-    worded = lambda c: (F.col(f"{c}_a") != "") & (F.col(f"{c}_b") != "")
-    odds = (
-        F.lit(PRIOR)
-        + _evidence("brand", F.col("brand_a"), F.col("brand_b"), worded("brand"))
-        + _evidence("model", F.col("model_a"), F.col("model_b"), worded("model"))
-        + same * EVIDENCE["mark"][0] + (both - same) * EVIDENCE["mark"][1]
-        + _evidence("gross", F.col("gross_a"), F.col("gross_b"), stated("gross"))
-        + _evidence("net", F.col("net_a"), F.col("net_b"), stated("net"))
-        + _evidence("quantity", F.col("quantity_a"), F.col("quantity_b"), stated("quantity"))
-        + EVIDENCE["place"][0] / (1 + F.abs(F.coalesce(F.col("line_no_a") - F.col("line_no_b"), F.lit(99))))
-    )
-    return pairs.select("consignment_id", F.col("line_id_a").alias("a"), F.col("line_id_b").alias("b"), F.hash("source_doc_a").alias("da"), F.hash("source_doc_b").alias("db"), odds.alias("odds")).where(F.col("odds") > LEAST)
+    """consignment_id, a, b, da, db, odds of the pairs that are possible, by weights estimated over all candidates.
+
+    The counts of the patterns go to the driver: there are as many patterns as products of levels at most.
+    """
+    pairs = compared_pairs(read)
+    counts = pairs.groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").toPandas()
+    base, ratios = estimate_weights(counts["pattern"].to_numpy(dtype=np.int64), counts["n"].to_numpy(dtype=float))
+    odds, rest = F.lit(base), F.col("pattern")
+    for name in reversed(LEVELS):
+        k = len(LEVELS[name])
+        odds = odds + F.get(F.array(*[F.lit(float(x)) for x in ratios[name]]), rest % k)
+        rest = F.floor(rest / k)
+    return pairs.select("consignment_id", "a", "b", "da", "db", odds.alias("odds")).where(F.col("odds") > LEAST)
 
 
 #: The pairs of a line with one other document are rivals.
@@ -138,26 +204,27 @@ def _others(message: Column, side: str) -> Column:
 
 
 def propagate(pairs: DataFrame) -> DataFrame:
-    """The pairs with ``probability`` and ``alone`` (neither line has another candidate in the other's document).
+    """The pairs with ``probability``, ``alone`` (neither line has another candidate in the other's document) and ``converged``.
 
     Messages of the one-to-one factors are exchanged until they are still, damped by a half. All messages of a
     consignment stay in the partition of its pairs: they are shuffled once, and each round only sorts them. Consignments
-    whose messages are still after a block of rounds are done; a pair without rivals needs no message.
+    whose messages are still after a block of rounds are done; a pair without rivals needs no message. What still moves
+    after MOST_BLOCKS blocks is given as it is, with ``converged`` false.
     """
     degree = lambda side: F.count("*").over(W.partitionBy(*RIVALS[side]))
     counted = cut_lineage(pairs.repartition("consignment_id").withColumn("na", degree("a")).withColumn("nb", degree("b")))
     columns = ["consignment_id", "a", "b", "da", "db", "odds"]
-    done = counted.where("na = 1 AND nb = 1").select(*columns, F.col("odds").alias("belief"), F.lit(True).alias("alone"))
+    done = counted.where("na = 1 AND nb = 1").select(*columns, F.col("odds").alias("belief"), F.lit(True).alias("alone"), F.lit(True).alias("converged"))
     state = counted.where("na > 1 OR nb > 1").select(*columns, F.col("odds").alias("to_a"), F.col("odds").alias("to_b")).repartition("consignment_id")
-    for block in range(BLOCKS):
+    for block in range(MOST_BLOCKS):
         for _ in range(ROUNDS):
             step = state.withColumn("from_a", _others(F.col("to_a"), "a")).withColumn("from_b", _others(F.col("to_b"), "b"))
             new_a, new_b = (F.col("to_a") + F.col("odds") - F.col("from_b")) / 2, (F.col("to_b") + F.col("odds") - F.col("from_a")) / 2
             state = step.select(*columns, new_a.alias("to_a"), new_b.alias("to_b"), F.greatest(F.abs(new_a - F.col("to_a")), F.abs(new_b - F.col("to_b"))).alias("change"))
         last = state.withColumn("from_a", _others(F.col("to_a"), "a")).withColumn("from_b", _others(F.col("to_b"), "b")).withColumn("belief", F.col("odds") - F.col("from_a") - F.col("from_b"))
         last = cut_lineage(last.withColumn("moved", F.max("change").over(W.partitionBy("consignment_id"))))
-        over = block == BLOCKS - 1
-        done = done.unionByName(last.where(F.lit(over) | (F.col("moved") <= STILL)).select(*columns, "belief", F.lit(False).alias("alone")))
+        over = block == MOST_BLOCKS - 1
+        done = done.unionByName(last.where(F.lit(over) | (F.col("moved") <= STILL)).select(*columns, "belief", F.lit(False).alias("alone"), (F.col("moved") <= STILL).alias("converged")))
         moving = last.where(F.col("moved") > STILL)
         if over or moving.isEmpty():
             break
@@ -165,8 +232,8 @@ def propagate(pairs: DataFrame) -> DataFrame:
     return done.withColumn("probability", 1 / (1 + F.exp(-F.greatest(F.least("belief", F.lit(40.0)), F.lit(-40.0)))))
 
 
-MATCH = ["a", "b", "da", "db", "probability"]
-FREE_SCHEMA = "consignment_id string, a long, b long, da int, db int, odds double, belief double, probability double"
+MATCH = ["consignment_id", "a", "b", "da", "db", "probability", "converged"]
+FREE_SCHEMA = "consignment_id string, a long, b long, da string, db string, odds double, belief double, probability double, converged boolean"
 
 
 def _free(batches: Iterator[pd.DataFrame], sure: float) -> Iterator[pd.DataFrame]:
@@ -191,7 +258,7 @@ def best_pairs(beliefs: DataFrame, sure: float = -math.inf) -> DataFrame:
     The pairs are sorted once and read in order, as the best of all free pairs is the best of both its lines. Pairs
     below ``sure`` take no line; all of them are kept whose lines are free.
     """
-    columns = ["consignment_id", "a", "b", "da", "db", "odds", F.round("belief", 6).alias("belief"), F.round("probability", 6).alias("probability")]
+    columns = ["consignment_id", "a", "b", "da", "db", "odds", F.round("belief", 6).alias("belief"), F.round("probability", 6).alias("probability"), "converged"]
     order = ["consignment_id", "da", "db", F.desc("belief"), F.desc(F.round("odds", 6)), "a", "b"]
     ranked = beliefs.select(*columns).repartition("consignment_id").sortWithinPartitions(*order)
     return ranked.mapInPandas(partial(_free, sure=sure), FREE_SCHEMA)
@@ -208,18 +275,18 @@ def still_free(pairs: DataFrame, matches: DataFrame) -> DataFrame:
     return pairs
 
 
-def close_triangles(matches: DataFrame) -> DataFrame:
-    """Also the pairs that follow from two matches over a third document, where neither line has another partner.
+def third_party_pairs(matches: DataFrame) -> DataFrame:
+    """Candidates that follow from two matches over a third document, for lines that have no partner in each other's.
 
-    A line whose only partner is the hub is free in the other document; two such lines of one hub belong together.
+    Their log-odds are those of both matches being right; they are no more than what the weaker match bears out.
     """
-    end = lambda x, y, dx: matches.select(F.col(x).alias("line"), F.col(y).alias("hub"), F.col(dx).alias("doc"), "probability")
+    end = lambda x, y, dx: matches.select("consignment_id", F.col(x).alias("line"), F.col(y).alias("hub"), F.col(dx).alias("doc"), "probability")
     ends = end("a", "b", "da").unionByName(end("b", "a", "db"))
-    # only numbers are aggregated, so by hash; a line with one match has one value of each
-    single = ends.groupBy("line").agg(F.count("*").alias("n"), F.max("hub").alias("hub"), F.max("doc").alias("doc"), F.max("probability").alias("probability")).where("n = 1")
-    two = single.groupBy("hub").agg(F.count("*").alias("n"), F.min(F.struct("doc", "line", "probability")).alias("x"), F.max(F.struct("doc", "line", "probability")).alias("y")).where("n = 2 AND x.doc < y.doc")
-    added = two.select(F.col("x.line").alias("a"), F.col("y.line").alias("b"), F.col("x.doc").alias("da"), F.col("y.doc").alias("db"), F.round(F.col("x.probability") * F.col("y.probability"), 6).alias("probability"))
-    return matches.unionByName(added)
+    # a line has one match in each other document, so a hub has two at most: no pairs of a group are made
+    two = ends.groupBy("consignment_id", "hub").agg(F.count("*").alias("n"), F.min(F.struct("doc", "line", "probability")).alias("x"), F.max(F.struct("doc", "line", "probability")).alias("y")).where("n = 2 AND x.doc < y.doc")
+    p = F.least(F.col("x.probability") * F.col("y.probability"), F.lit(1 - 1e-6))
+    found = two.select("consignment_id", F.col("x.line").alias("a"), F.col("y.line").alias("b"), F.col("x.doc").alias("da"), F.col("y.doc").alias("db"), F.log(p / (1 - p)).alias("odds"))
+    return cut_lineage(still_free(found, matches))
 
 
 def assign(beliefs: DataFrame) -> DataFrame:
@@ -231,14 +298,18 @@ def assign(beliefs: DataFrame) -> DataFrame:
     possible = beliefs.where(F.col("odds") >= LEAST_ODDS)
     free = cut_lineage(best_pairs(possible.where("NOT alone"), SURE))
     alone = possible.where("alone").withColumn("probability", F.round("probability", 6))
-    matches = cut_lineage(close_triangles(alone.select(*MATCH).unionByName(free.where(F.col("belief") >= SURE).select(*MATCH))))
-    shared = free.where(F.col("belief") < SURE)
-    if shared.isEmpty():
-        return matches
-    return close_triangles(matches.unionByName(cut_lineage(best_pairs(still_free(shared, matches)).select(*MATCH))))
-
-
-def match_lines(lines: DataFrame) -> DataFrame:
-    """(line_id_a, line_id_b, probability) of the matched lines, smaller line_id first."""
-    matches = assign(propagate(candidate_pairs(cut_lineage(read_lines(lines)))))
-    return matches.select(F.least("a", "b").alias("line_id_a"), F.greatest("a", "b").alias("line_id_b"), "probability")
+    sure = cut_lineage(alone.select(*MATCH).unionByName(free.where(F.col("belief") >= SURE).select(*MATCH)))
+    # what is left: pairs that share their probability, and those that a third document speaks for
+    shared = free.where(F.col("belief") < SURE).select("consignment_id", "a", "b", "da", "db", "odds")
+    left = still_free(shared, sure) if not shared.isEmpty() else shared
+    rest = third_party_pairs(sure).unionByName(left).groupBy("consignment_id", "a", "b", "da", "db").agg(F.max("odds").alias("odds"))
+    again = propagate(rest).where(F.col("odds") >= LEAST_ODDS)
+    matches = cut_lineage(sure.unionByName(best_pairs(again).select(*MATCH)))
+    last = third_party_pairs(matches)
+    return matches if last.isEmpty() else matches.unionByName(best_pairs(propagate(last).where(F.col("odds") >= LEAST_ODDS)).select(*MATCH))
+
+
+def match_lines(lines: DataFrame, lexicon: dict[str, dict[str, str]] | None = None) -> DataFrame:
+    """(line_id_a, line_id_b, probability, converged) of the matched lines, smaller line_id first."""
+    matches = assign(propagate(candidate_pairs(read_lines(lines, lexicon))))
+    return matches.select(F.least("a", "b").alias("line_id_a"), F.greatest("a", "b").alias("line_id_b"), "probability", "converged")

@@ -1,9 +1,10 @@
 """Invoice lines of the same product, by a reference dictionary that is mined from the listings themselves.
 
-Build-up: every listing is read with the fixed dictionary; a listing that is fully understood but for one word is
-trusted, and its word is taken for a brand if several listings and shippers bear it out; the letters of models are
-mined where a listing announces one. The mined phrases join the fixed ones in one Aho-Corasick automaton, which then
-reads every listing, longest match first. Listings with the same goods, brand, model and attributes are one product.
+Build-up: listings are read by patterns of measures and a lexicon of attribute spellings; brands, brand-model phrases
+and the names of goods are mined from the words that remain (``phrases``). An Aho-Corasick automaton then finds the
+phrases in every listing, the longest consistent match is chosen, and the remaining attributes are compared. What no
+dictionary knows is part of the name, so that listings with different unread words stay apart unless the listings
+themselves show that both name the same goods. No kind of goods is known beforehand.
 
 Of copies (same consignment, document and line number) only the smallest line_id counts; totals and lines without a
 description are no products. Null keys make a line its own. Texts of any length are read whole.
@@ -11,22 +12,13 @@ description are no products. Null keys make a line its own. Texts of any length
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.broadcast import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from quayside.llm.goods import GOODS, TRUSTED_MODEL, Reader, words_of
+from quayside.llm.listings import model_series, read_column, repaired_words, words_of
+from quayside.llm.phrases import find_phrases, goods_of_names, mine_brands, mine_phrases
 from quayside.session import cut_lineage
 
-#: A brand is borne out by so many trusted listings of so many shippers; model letters by so many announcements.
-BRAND_LISTINGS, BRAND_SHIPPERS, MODEL_LISTINGS = 3, 2, 3
-#: Most phrases that the dictionary may mine; beyond it the least borne out are left to be read as unknown words.
-MAX_PHRASES = 200_000
 TOTALS = "^(?i:\\W*(?:grand |sub[- ]?)?totals?\\b|carried (?:forward|over)|brought forward|total of )"
 
 
@@ -44,83 +36,27 @@ def described(lines: DataFrame) -> DataFrame:
     return lines.where(F.col("description").rlike("\\S") & ~F.col("description").rlike(TOTALS))
 
 
-def _mine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    reader = Reader()
-    counts: Counter = Counter()
-    for batch in batches:
-        for description, shipper in zip(batch["description"], batch["shipper_id"]):
-            reading = reader.read(description)
-            shipper = shipper if isinstance(shipper, str) else ""
-            for m in TRUSTED_MODEL.finditer(" " + " ".join(words_of(description)) + " "):
-                counts["model", m.group(1), shipper] += 1
-            unknown = [w for w in reading.rest if len(w) > 3 and w not in reader.keywords]
-            if reading.goods and len(unknown) == 1 and len(reading.attributes) >= len(reader.count_dims[reading.goods]) - 1:
-                counts["brand", unknown[0], shipper] += 1
-    rows = [(*key, n) for key, n in counts.items()]
-    yield pd.DataFrame(rows, columns=["kind", "phrase", "shipper_id", "n"])
-
-
-def mine_dictionary(lines: DataFrame) -> tuple[list[str], list[str]]:
-    """(brands, model letters) borne out by the listings of all invoices; counted per worker, then over the corpus."""
-    mined = lines.select("description", "shipper_id").mapInPandas(_mine, "kind string, phrase string, shipper_id string, n long")
-    support = mined.groupBy("kind", "phrase").agg(F.sum("n").alias("n"), F.countDistinct("shipper_id").alias("shippers"))
-    kept = support.where(((F.col("kind") == "brand") & (F.col("n") >= BRAND_LISTINGS) & (F.col("shippers") >= BRAND_SHIPPERS)) | ((F.col("kind") == "model") & (F.col("n") >= MODEL_LISTINGS)))
-    rows = kept.orderBy(F.desc("n"), "phrase").limit(MAX_PHRASES).collect()
-    return sorted(r["phrase"] for r in rows if r["kind"] == "brand"), sorted(r["phrase"] for r in rows if r["kind"] == "model")
-
-
-_READERS: dict[tuple, Reader] = {}
-
+def read_listings(lines: DataFrame, lexicon: dict[str, dict[str, str]] | None = None) -> DataFrame:
+    """``lines`` with models, marks and rest in place of their description; read once and written down."""
+    worded = cut_lineage(lines.withColumn("words", words_of(F.col("description"))).drop("description"))
+    read = repaired_words(worded)
+    return cut_lineage(read.withColumn("r", read_column(lines, F.col("words"), model_series(worded), lexicon)).select("*", "r.*").drop("r", "words"))
 
-def _reader(shared: Broadcast) -> Reader:
-    brands, letters = shared.value
-    key = (hash(brands), hash(letters))
-    if key not in _READERS:
-        _READERS[key] = Reader({b: b for b in brands}, frozenset(letters))
-    return _READERS[key]
 
-
-READ_SCHEMA = T.StructType([
-    T.StructField("goods", T.StringType()), T.StructField("brand", T.StringType()), T.StructField("model", T.StringType()),
-    T.StructField("marks", T.ArrayType(T.StringType())), T.StructField("rest", T.StringType()),
-])
-
-
-def read_column(spark: SparkSession, dictionary: tuple[list[str], list[str]], description: Column) -> Column:
-    """A description as struct(goods, brand, model, marks, rest); marks are ``dimension=value``, in order.
-
-    A single unknown word stands in for a brand that the dictionary lacks.
-    """
-    shared = spark.sparkContext.broadcast((tuple(dictionary[0]), tuple(dictionary[1])))
-
-    @F.pandas_udf(READ_SCHEMA)
-    def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        reader = _reader(shared)
-        for batch in batches:
-            rows = []
-            for text in batch:
-                r = reader.read(text if isinstance(text, str) else None)
-                brand = r.brand
-                if not brand:
-                    unknown = [w for w in r.rest if len(w) > 3]
-                    brand = unknown[0] if len(unknown) == 1 else ""
-                rest = "" if r.goods in GOODS else " ".join(sorted(set(r.rest)))
-                rows.append((r.goods, brand, r.model, [f"{d}={'|'.join(sorted(r.attributes[d]))}" for d in sorted(r.attributes)], rest))
-            yield pd.DataFrame(rows, columns=["goods", "brand", "model", "marks", "rest"])
-
-    # not deterministic for the optimizer: it would run the function once more for each filter on its result
-    return read.asNondeterministic()(description)
-
-
-def product_lines(lines: DataFrame) -> DataFrame:
+def product_lines(lines: DataFrame, lexicon: dict[str, dict[str, str]] | None = None) -> DataFrame:
     """(line_id, product): every invoice line that names a product, with the key of its product."""
-    invoices = described(lines.where("source_doc = 'invoice'").select("line_id", "consignment_id", "source_doc", "line_no", "description", "shipper_id"))
-    dictionary = mine_dictionary(invoices)
-    first = originals(invoices, "description")
-    read = first.select("line_id", read_column(lines.sparkSession, dictionary, F.col("description")).alias("r"))
-    known = (F.col("r.goods") != "") | (F.size("r.marks") > 0) | (F.col("r.rest") != "") | (F.col("r.brand") != "")
-    key = F.concat_ws("\u0001", "r.goods", "r.brand", "r.model", F.concat_ws("\u0002", "r.marks"), "r.rest")
-    return read.where(known).select("line_id", F.md5(key).alias("product"))
+    invoices = described(lines.where("source_doc = 'invoice'"))
+    read = read_listings(originals(invoices, "description", "shipper_id"), lexicon)
+    found = cut_lineage(find_phrases(read, mine_phrases(read, mine_brands(read))).select("line_id", "brand", "model", "marks", "name"))
+    known = found.where("name <> '' OR brand <> '' OR size(marks) > 0 OR model <> ''")
+    goods = goods_of_names(known)
+    named = known.join(F.broadcast(goods) if goods.count() <= FEW_NAMES else goods, "name")
+    key = F.concat_ws("\u0001", "goods", "brand", "model", F.concat_ws("\u0002", "marks"))
+    return named.select("line_id", F.md5(key).alias("product"))
+
+
+#: So many names of goods at most are broadcast.
+FEW_NAMES = 200_000
 
 
 def product_groups(lines: DataFrame) -> DataFrame:

@@ -3,9 +3,10 @@
 import itertools
 import math
 
+import numpy as np
 from helpers import line_items
 
-from quayside.llm.matching import assign, match_lines, propagate
+from quayside.llm.matching import LEVELS, assign, estimate_weights, match_lines, propagate
 
 
 def exact_marginals(odds):
@@ -24,8 +25,8 @@ def exact_marginals(odds):
 def test_marginals(spark):
     trees = {("C1", "i-p"): {(1, 11): 2.0, (1, 12): 1.0, (2, 12): 0.5}, ("C2", "i-p"): {(1, 11): -1.0}, ("C3", "i-p"): {(1, 11): 3.0, (2, 11): 2.5, (3, 11): 0.0}}
     loops = {("C4", "i-p"): {(1, 11): 4.0, (1, 12): 0.0, (2, 11): 0.0, (2, 12): 4.0}}
-    rows = [(c, a, b, 1, 2, o) for (c, _), odds in (trees | loops).items() for (a, b), o in odds.items()]
-    found = propagate(spark.createDataFrame(rows, "consignment_id string, a long, b long, da int, db int, odds double"))
+    rows = [(c, a, b, "i", "p", o) for (c, _), odds in (trees | loops).items() for (a, b), o in odds.items()]
+    found = propagate(spark.createDataFrame(rows, "consignment_id string, a long, b long, da string, db string, odds double"))
     got = {(r["consignment_id"], r["a"], r["b"]): r["probability"] for r in found.collect()}
     for (c, _), odds in (trees | loops).items():
         for (a, b), p in exact_marginals(odds).items():
@@ -78,6 +79,36 @@ def test_contradicted_lines_stay_free(spark):
 
 
 def test_third_document_goes_before_position(spark):
-    pairs = [("C", 0, 4, 1, 3, 9.0), ("C", 3, 4, 2, 3, 9.0), ("C", 0, 2, 1, 2, 3.0), ("C", 0, 3, 1, 2, 3.0), ("C", 1, 2, 1, 2, 3.0), ("C", 1, 3, 1, 2, 3.0)]
-    beliefs = propagate(spark.createDataFrame(pairs, "consignment_id string, a long, b long, da int, db int, odds double"))
+    pairs = [("C", 0, 4, "b", "p", 9.0), ("C", 3, 4, "i", "p", 9.0), ("C", 0, 2, "b", "i", 3.0), ("C", 0, 3, "b", "i", 3.0), ("C", 1, 2, "b", "i", 3.0), ("C", 1, 3, "b", "i", 3.0)]
+    beliefs = propagate(spark.createDataFrame(pairs, "consignment_id string, a long, b long, da string, db string, odds double"))
     assert {(r["a"], r["b"]) for r in assign(beliefs).collect()} == {(0, 4), (3, 4), (0, 3), (1, 2)}
+
+
+GARLIC = {
+    "invoice": [("Fresh Garlic, Normal White, size 5.0cm & up, packed in 10kg mesh bags", "12360"), ("Fresh Garlic, Pure White, size 5.5cm & up, packed in 10kg mesh bags", "8240"), ("Dehydrated Garlic Flakes, Grade A, 20kg cartons", "3180")],
+    "packing_list": [("GARLIC FRESH PURE WHITE 5.5CM UP (10KG MESH BAGS)", "8240"), ("GARLIC FLAKES DEHYDRATED GRADE A (20KG CTN)", "3180"), ("GARLIC FRESH NORMAL WHITE 5.0CM UP (10KG MESH BAGS)", "12360")],
+    "bill_of_lading": [("FRESH GARLIC NORMAL WHITE IN MESH BAGS", "12360"), ("FRESH GARLIC PURE WHITE IN MESH BAGS", "8240"), ("DEHYDRATED GARLIC FLAKES IN CARTONS", "3180")],
+}
+
+
+def test_goods_of_no_dictionary(spark):
+    want = {(0, 5), (0, 6), (5, 6), (1, 3), (1, 7), (3, 7), (2, 4), (2, 8), (4, 8)}
+    assert {(r[0], r[1]) for r in match_lines(line_items(spark, *consignment("G", 0, GARLIC))).collect()} == want
+    docs = {"invoice": [("Portland cement grade A", None), ("Laptop computer 14 inch", None)], "packing_list": [("Laptop computer 14 inch", None), ("Portland cement grade A", None)]}
+    assert {(r[0], r[1]) for r in match_lines(line_items(spark, *consignment("L", 0, docs))).collect()} == {(0, 3), (1, 2)}
+
+
+def test_weights_are_estimated_from_the_patterns():
+    """Two kinds of pairs that differ in one comparison: its weights are learnt, the others' stay near nought."""
+    names = list(LEVELS)
+
+    def pattern(**levels):
+        number = 0
+        for n in names:
+            number = number * len(LEVELS[n]) + list(LEVELS[n]).index(levels.get(n, "unknown" if "unknown" in LEVELS[n] else "none"))
+        return number
+
+    patterns = np.array([pattern(gross="same", brand="same"), pattern(gross="differs", brand="same"), pattern(gross="differs", brand="differs")])
+    base, ratios = estimate_weights(patterns, np.array([2e5, 1e5, 7e5]))
+    of = lambda n, level: ratios[n][list(LEVELS[n]).index(level)]
+    assert of("gross", "same") > 4 and of("gross", "differs") < -4 and of("brand", "same") > 1 and abs(of("words", "unknown")) < 0.5 and base < 0
