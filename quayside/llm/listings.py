@@ -105,7 +105,7 @@ _EACH = {name: re.compile(pattern) for name, pattern in _PATTERNS}
 FILLERS = set("by brand of for with in and the size ref model per x a no new art l or".split())
 
 #: A word in which single digits or signs stand for letters, as a bad scan leaves them.
-MISREAD = "(?<![\\p{L}\\p{N}@$])(?=[\\p{L}0135@$]{4})\\p{L}+(?:[0135@$]{1,2}\\p{L}+)+(?![\\p{L}\\p{N}@$])"
+MISREAD = "(?<![\\p{L}\\p{N}@$])(?=[\\p{L}0135@$]{4})\\p{L}+(?:([0135@$])\\1?\\p{L}+)+(?![\\p{L}\\p{N}@$])"
 WORD = "([0-9]+(?:[.,][0-9]+)?|\\p{L}+)"
 
 
@@ -144,14 +144,8 @@ def misspelt_words(words: DataFrame) -> DataFrame:
 SHARED_REPAIRS = 200_000
 
 
-def repaired_words(lines: DataFrame, key: str = "line_id") -> DataFrame:
-    """``lines`` with their ``words`` repaired; ``key`` is unique."""
-    repairs = misspelt_words(lines)
-    if repairs.count() <= SHARED_REPAIRS:
-        table = F.broadcast(repairs.agg(F.map_from_entries(F.collect_list(F.struct("word", "right"))).alias("repairs")))
-        joined = lines.join(table)  # one row
-        fixed = F.transform("words", lambda w: F.coalesce(F.element_at("repairs", w), w))
-        return joined.withColumn("words", F.split(F.array_join(fixed, " "), " ")).drop("repairs")
+def repaired_words(lines: DataFrame, repairs: DataFrame, key: str = "line_id") -> DataFrame:
+    """``lines`` with their ``words`` repaired by a join of the single words; ``key`` is unique."""
     each = lines.select(key, F.posexplode("words").alias("pos", "word")).join(repairs, "word", "left")
     fixed = each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("right", "word").alias("word")))).alias("w"))
     fixed = fixed.select(key, F.split(F.array_join(F.transform("w", lambda x: x["word"]), " "), " ").alias("words"))
@@ -297,17 +291,21 @@ def model_series(worded: DataFrame) -> list[str]:
     return sorted(r["letters"] for r in several.collect())  # 18,252 at most
 
 
-def read_column(lines: DataFrame, words: Column, series: list[str], lexicon: dict[str, dict[str, str]] | None = None) -> Column:
-    """A row of words as struct(models, marks, rest); marks are ``dimension=value``, in order, rest keeps its order."""
-    shared: Broadcast = lines.sparkSession.sparkContext.broadcast((PHRASES if lexicon is None else lexicon, frozenset(series)))
+def read_column(lines: DataFrame, words: Column, series: list[str], repairs: dict[str, str], lexicon: dict[str, dict[str, str]] | None = None) -> Column:
+    """A row of words, repaired by ``repairs``, as struct(models, marks, rest).
+
+    Marks are ``dimension=value``, in order; rest keeps its order.
+    """
+    shared: Broadcast = lines.sparkSession.sparkContext.broadcast((PHRASES if lexicon is None else lexicon, frozenset(series), repairs))
 
     @F.pandas_udf(READ_SCHEMA)
     def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        reader = Reader(*shared.value)
+        lexicon, series, repairs = shared.value
+        reader = Reader(lexicon, series)
         for batch in batches:
             rows = []
             for row in batch:
-                r = reader.read(row if row is not None else [])
+                r = reader.read([repairs.get(w, w) for w in row] if row is not None else [])
                 rows.append((r.models, [f"{d}={'|'.join(sorted(r.attributes[d]))}" for d in sorted(r.attributes)], r.rest))
             yield pd.DataFrame(rows, columns=["models", "marks", "rest"])
 

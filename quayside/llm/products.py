@@ -15,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm.listings import model_series, read_column, repaired_words, words_of
+from quayside.llm import listings
+from quayside.llm.listings import misspelt_words, model_series, read_column, repaired_words, words_of
 from quayside.llm.phrases import find_phrases, goods_of_names, mine_brands, mine_phrases
 from quayside.session import cut_lineage
 
@@ -39,8 +40,13 @@ def described(lines: DataFrame) -> DataFrame:
 def read_listings(lines: DataFrame, lexicon: dict[str, dict[str, str]] | None = None) -> DataFrame:
     """``lines`` with models, marks and rest in place of their description; read once and written down."""
     worded = cut_lineage(lines.withColumn("words", words_of(F.col("description"))).drop("description"))
-    read = repaired_words(worded)
-    return cut_lineage(read.withColumn("r", read_column(lines, F.col("words"), model_series(worded), lexicon)).select("*", "r.*").drop("r", "words"))
+    repairs, shared, series = misspelt_words(worded), {}, model_series(worded)
+    if repairs.count() <= listings.SHARED_REPAIRS:
+        shared = {r["word"]: r["right"] for r in repairs.collect()}
+    else:
+        worded = repaired_words(worded, repairs)
+    read = worded.withColumn("r", read_column(lines, F.col("words"), series, shared, lexicon))
+    return cut_lineage(read.select(*[c for c in worded.columns if c != "words"], "r.*"))
 
 
 def product_lines(lines: DataFrame, lexicon: dict[str, dict[str, str]] | None = None) -> DataFrame:
