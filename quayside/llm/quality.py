@@ -1,190 +1,126 @@
 """Text quality statistics of documents, and their form by a learned rule list: prose, list, table or junk.
 
-The statistics are SQL expressions over the whole text, its lines and its words. The rules are induced by incremental
-reduced-error pruning on the labelled documents, a bounded sample of at most ``MAX_LABELS`` ratings (a parameter):
-for each form, rarest first, a rule is grown by information gain on two thirds of the ratings and pruned on the
-rest, until the next rule would no longer be right more often than wrong. The learned thresholds become one CASE
-expression, evaluated natively on every document.
+The statistics are plain: characters, words, lines, punctuation, separators and common words, as SQL expressions over
+the whole text. Common words are those in most documents of the corpus, counted over all of it. What the statistics say
+of a form is learnt only: an ordered rule list is induced by incremental reduced-error pruning on the labelled
+documents, a bounded sample of at most ``MAX_LABELS`` of them (a parameter). For each form, rarest first, a rule is grown
+by information gain on two thirds of the ratings until it covers none of another form, then conditions are deleted as
+long as that makes it worth more on the rest, until the next rule would be wrong more often than right. The learned
+thresholds become one CASE expression, evaluated natively on every document.
 
 Null, empty and blank texts have null statistics and no form; repeated rows are judged one by one; an empty table
-gives an empty one; without labels every text is prose. Extra columns are not read.
+gives an empty one; without labels every text is prose. Extra columns are not read. Ratings count by their share of a
+document's ratings, so that disagreeing raters weigh half each; null and unknown forms are no ratings.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Common words of prose, several languages.
-COMMON_WORDS = (
-    "the a an and or but of to in on at for with from by it is was are were be been i we my our you your he she they this that not no so as had has have "
-    "do does did than then when which who what would could will can if about after all very more just there out up "
-    "der die das den dem des ein eine einen einem einer und oder aber nicht ist war sind ich wir er sie es mit auf für von zu im am bei nach wie so noch auch mein meine als dass schon nur sehr sich hat habe "
-    "le la les un une des du de et ou mais ne pas est était je nous il elle ce cette qui que dans sur pour par avec sans plus très mon ma mes au aux en j'ai l' d' c'est a été son "
-    "el los las una unos unas y o pero no es era fue yo lo le se me mi su con sin por para que como más muy del al este esta ya todo "
-    "o os as um uma e ou mas não é foi eu nós ele ela com sem por para que como mais muito do da dos das no na meu minha ao em se já "
-    "il gli uno ed è sono ho ha non che per di con del della "
-    "уже ещё еще пока себе очень мало поэтому больше только если когда там вот быть бы или до под через может можно всего и в во не на я что он она мы это как с со а но за по из у к для от так же все его её был была было мне "
-    "في من على لا ما هذا هذه التي الذي إلى عن مع كان كانت لم أن لقد هو هي كل جدا و أكثر قبل بعد "
-    "है हैं और का की के को में से यह वह नहीं पर था थी थे मैं हम बहुत भी एक ने लिए "
-    "ve bir bu çok için de da ile ama değil "
-    "en het een van niet maar met voor op te zijn dat die "
-)
-#: Characters that recur in sentences of languages written without spaces.
-COMMON_SIGNS = "的了我是不在有很也就和这用没都个一到给为还"
-BULLET = "^\\s*(?:[-*+•·→✔✓✗▪●◦►■›»–—]+|[(]?[0-9]{1,3}[.)]|no\\. ?[0-9]+|#[0-9]+|[(]?[a-z][)]|\\[[ xX]?\\]|[0-9]{1,3} ?x)\\s+\\S"
-SENTENCE_END = "[.!?。！？।۔؟…][\"'”»)]*$"
-CJK = "[\\u3040-\\u30ff\\u3400-\\u9fff\\uac00-\\ud7af]"
-MAX_LABELS = 20_000
-
+from quayside.session import cut_lineage
 
-def _count(text: Column, pattern: str) -> Column:
-    """Number of characters matched by a character class."""
-    return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
+#: Most labelled documents, and the number of common words taken from the corpus.
+MAX_LABELS, COMMON_WORDS = 20_000, 400
+#: A word, or one sign of a script that is written without spaces.
+WORD = "([\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}]|[\\p{L}\\p{M}\\p{N}]+)"
+#: What separates the cells of a row; what stands before an entry; how a sentence ends.
+CELL = "\\t(?=\\s*+[\\p{L}\\p{N}])|(?<=[\\p{L}\\p{N}:. ])\\|(?=\\s*+[\\p{L}\\p{N}])|[-=]{2,}+[|+]|(?<=[\\p{L}\\p{N}\"]);(?=[\\p{L}\\p{N}\"])|(?<=[\\p{L}\\p{N}\"]),(?=[\\p{L}\\p{N}\"])|(?<=\\S) {3,}+(?=\\S)|</t[dh]>"
+MARKED = "^\\s*+(?:[^\\p{L}\\p{N}\\s<|]{1,2}|[(\\[]?+[\\p{N}]{1,3}[.):\\]]|[(\\[]?+\\p{L}[.):\\]]|\\p{N}{1,3}\\s?+x|<li[^>]*+>)\\s*+[\\p{L}\\p{N}(]"
+SENTENCE_END = "[.!?。！？।۔؟…]"
+#: Lines of up to so many letters are brief.
+BRIEF = 40
+#: A line with a smaller share of common words has few of them.
+FEW_COMMON = 0.15
+LINE_BREAK = "\\r\\n|[\\n\\r]|(?i)<br ?/?>|</tr>|</li>|</p>"
 
 
 def _share(part: Column, whole: Column) -> Column:
     return F.round(F.when(whole > 0, part.cast("double") / whole).otherwise(0.0), 4)
 
 
-def plain_lines(text: Column) -> Column:
-    """The non-blank lines of a text; rows and entries of its markup count as lines, cells are set apart by tabs."""
-    t = F.regexp_replace(text, "(?i)</tr>|<tr[^>]*>|<br ?/?>|</li>|</p>|\\r", "\n")
-    t = F.regexp_replace(F.regexp_replace(t, "(?i)<li[^>]*>", "- "), "(?i)</t[dh]>\\s*<t[dh][^>]*>", "\t")
-    t = F.regexp_replace(t, "(?i)</?(?:t[dhr]|table|tbody|thead|ul|ol)\\b[^>]*>", "")
-    return F.filter(F.split(t, "\n"), lambda x: F.trim(x) != "")
-
-
-#: Words that make a sentence of a line (pronouns and forms of to be and to have), several languages.
-SENTENCE_WORDS = (
-    "i we you he she they it it's is was were are be been has had have did does do can could would will took my our their "
-    "ich wir er sie es ist war sind hat habe haben hatte wurde kann man dass nicht "
-    "je nous il elle on est sont était a ai avons j'ai c'est n'est ne pas "
-    "but because porque pero mas mais aber weil dass als wenn car donc yet "
-    "ninguém podia pode poderia ser vi tive nada pouco já fecha chegou "
-    "había tuve sigue cierra esperaba huele puedo llegó rompió podría nadie poco ya "
-    "me yo lo se es fue son está ha hemos he no nos mi que qué "
-    "eu nós foi é está são ele ela me não meu minha "
-    "я мы он она они не был была было есть мне нам "
-    "لم لا كنت كان هو هي وقد أن "
-    "है हैं था थी हूँ मैं हम नहीं "
-    "è sono ho ha non mi ci "
+def _common_share(words: Column, known: Column) -> Column:
+    return F.size(F.array_intersect(words, known)) / F.greatest(F.size(words), F.lit(1))
+
+
+def present_text(text: Column) -> Column:
+    """The text, null where it is blank."""
+    return F.when(text.rlike("(?U)\\S"), text)
+
+
+def common_words(documents: DataFrame, most: int = COMMON_WORDS) -> list[str]:
+    """The words in most documents of the corpus, at most ``most``; each document counts a word once."""
+    words = documents.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(1)))).alias("word"))
+    return [r["word"] for r in words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(most).collect()]
+
+
+#: The statistics that rules may use.
+FEATURES = (
+    "n_words", "mean_word_length", "letter_ratio", "digit_ratio", "symbol_ratio", "upper_ratio", "markup_ratio", "common_word_share", "distinct_word_share", "longest_run_ratio", "hard_word_share",
+    "line_count", "mean_line_length", "punctuated_line_share", "repeated_line_share", "marked_share", "celled_share", "brief_share", "uncommon_share", "cell_ratio", "separator_ratio", "sentence_ratio",
 )
-SENTENCE_SIGNS = "[了我很是都] ?|です|ます|ません|ました|다\\b|요\\b|ครับ|ค่ะ"
-LEFTOVER = (
-    "(?i)^(?:null|none|nan|n/?a|undefined|test(?: test)*|lorem ipsum.*|tbd|todo|#(?:REF|N/A|VALUE|DIV/0|NAME)[!?]?|\\[object object\\]|[^\\p{L}\\p{N}]*"
-    "|[\\d\\s.,]+|(?:\\S*(?:asdf|qwer|qwrt|sdfg|hjkl|zxcv|yxcv)\\S*\\s*)+|(\\p{L}{1,3}?)\\1{3,})$"
-)
-
-
-def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.regexp_replace(F.lower(text), "[^\\p{L}\\p{M}\\p{N}']+", " "), " "), lambda w: w != "")
-
-
-def _among(names: str) -> Column:
-    return F.array(*[F.lit(w) for w in sorted(set(names.split()))])
-
-
-def line_kind(line: Column, words: Column) -> Column:
-    """What one trimmed line, given with its words, looks like by itself: table, list, junk, short or prose."""
-    n, n_words = F.length(line), F.size(words)
-    cjk = _count(line, CJK)
-    n_common = F.size(F.array_intersect(words, _among(COMMON_WORDS)))
-    n_distinct = F.size(F.array_distinct(words))
-    strange = _count(line, "[^\\p{L}\\p{M}\\p{N}\\s.,;:!?'\"()\\-\u2019\u3002\uff0c\uff01\uff1f\u3001\u060c\u061f\u0964&/%\u20ac$]")
-    spoken = F.arrays_overlap(words, _among(SENTENCE_WORDS)) | ((cjk > 0) & line.rlike(SENTENCE_SIGNS))
-    flat = F.regexp_replace(line, "&#?[A-Za-z0-9]+;", "'")
-    cells = F.greatest(*[F.size(F.split(flat, mark)) - less for mark, less in (("\t", 1), ("\\|", 2), (";(?! )", 1), (",(?! )", 1))])
-    gaps = F.when(line.contains("   "), F.size(F.split(line, "\\S {2,}(?=\\S)")) - 1).otherwise(0)
-    cells = F.greatest(cells, gaps)
-    row = (((cells >= 2) & (n / (cells + 1) <= 22)) | ((F.size(F.split(line, "\t")) >= 2) & (n <= 44))) & (strange * 2 <= n) | line.rlike("^[|+][-=+|: ]+[|+]$")
-    run = F.greatest(F.length(F.regexp_extract(line, "((\\S{1,3}?)\\2{7,})", 1)), n - F.length(F.regexp_replace(line, SAME_WORD, ""))) * 2 > n
-    longest = F.array_max(F.transform(F.split(line, "\\s+"), lambda w: F.length(w)))
-    vowelless = F.size(F.filter(words, lambda w: w.rlike("^[b-df-hj-np-tv-xz]{4,}$|[b-df-hj-np-tv-xz]{5,}")))
-    tags = n - F.length(F.regexp_replace(line, "<[^<>]*>|\\{\\{[^{}]*\\}\\}|&[a-z]+;", ""))
-    noise = (
-        run
-        | ((n <= 400) & line.rlike(LEFTOVER))
-        | (tags * 2 > n)
-        | (strange * 2.5 > n)
-        | ((longest >= 40) & (longest * 2 > n) & (cjk * 2 < n))
-        | ((vowelless * 2.5 > n_words) & (n_words >= 3))
-        | (F.size(F.regexp_extract_all(line, F.lit("(0x[0-9A-Fa-f]{2})"), F.lit(1))) * 10 > n)
-        | (_count(line, "[\u00c2\u00c3\u00e2\u00d0\u00d1\u20ac\u2122\ufffd\u00b6\u00ef\u00bf\u00bd]") * 4 > n)
-    )
-    repeated = ((n_words >= 8) & (n_distinct <= 20) & (n_distinct * 2.2 < n_words) & (n_common * 3 < n_distinct)) | ((n_words >= 8) & (n_distinct <= 6) & (n_distinct * 3 < n_words))
-    salad = (n_words >= 9) & (n_common * 12 < n_distinct) & (cjk * 4 < n)
-    entries, marks = F.size(F.split(line, " [·•/|→-] |; |, ")), F.size(F.split(line, " [·•/|→] |; "))
-    sentence = spoken | line.rlike("\\p{L}[.!?。！？।؟](?:\\s|$)")
-    inline = ((marks >= 4) | ((entries >= 4) & (n / entries <= 25) & (n_common * 5 < n_words))) & (n / F.greatest(entries, marks) <= 45) & ~sentence
-    brief = F.when(cjk * 2 > n, F.lit(14)).when(_count(line, "[\\p{IsCyrillic}\\p{IsArabic}\\p{IsDevanagari}]") * 2 > n, F.lit(28)).otherwise(F.lit(46))
-    short = (n <= brief) & ~spoken & ~((cjk > 0) & (n >= 8) & line.endswith("。"))
-    return (
-        F.when(tags * 2 > n, "junk").when(row, "table").when(noise | repeated, "junk").when(line.rlike(BULLET) & (n <= 90), "list").when(inline, "list").when(salad, "junk").when(short, "short").otherwise("prose")
-    )
-
-
-#: One word or short phrase five times or more in a row; the repeat is bounded as the engine recurses, longer runs match anew.
-SAME_WORD = "(?i)(\\b(\\p{L}+(?:\\s\\p{L}+){0,3})(?:[^\\p{L}]+\\2\\b){4,40})"
-#: Where a line is cut into sentences: behind a word's full stop before another word, and behind any ideographic one.
-SENTENCE_CUT = "(?<=\\p{L}[.!?])\\s+(?=\\p{L})|(?<=\\p{L}\\s[0-9]{1,3}[.!?])\\s+(?=\\p{L})|(?<=[。！？])"
-
-
-def statistics(documents: DataFrame) -> DataFrame:
+
+
+def statistics(documents: DataFrame, common: list[str] | None = None) -> DataFrame:
     """doc_id and the statistics of every text; null for null, empty and blank texts.
 
-    n_chars, n_words, mean_word_length, digit_ratio, symbol_ratio, letter_ratio, common_word_share, distinct_word_share,
-    line_count, mean_line_length, punctuated_line_share, repeated_line_share, and the shares of characters in lines
-    that look like rows (table_share), entries (list_share), short lines (short_share), noise (junk_share) and prose.
+    n_chars, n_words, mean_word_length; shares of characters that are letters, digits, symbols, capitals or markup;
+    share of the distinct words that are common, of words that are distinct, of characters in the longest run without a
+    space, of words with five consonants in a row; line_count, mean_line_length, shares of lines that end a
+    sentence and that repeat another; shares of characters in lines that begin with a mark or number, that hold two
+    cells' ends or more, that are brief and end no sentence, and that have few common words; ends of cells, signs between entries and ends of
+    sentences for each word. ``common`` is taken from ``documents`` where it is not given.
     """
-    d = documents.select("doc_id", F.when(F.trim(F.regexp_replace("text", "\\s+", " ")) != "", F.col("text")).alias("text"))
-    common = _among(COMMON_WORDS)
-    d = d.select(F.inline(F.array(F.struct("doc_id", "text", words_of(F.col("text")).alias("words"), plain_lines(F.col("text")).alias("lines")))))
-    # a line of several sentences is judged by the sentence; its parts are no entries of a list and no rows
-    def cut(line: Column) -> Column:
-        sentences = F.filter(F.split(F.trim(line), F.when(line.rlike(SAME_WORD), F.lit("\u0001")).otherwise(F.lit(SENTENCE_CUT))), lambda p: F.trim(p) != "")
-        return F.transform(sentences, lambda p: F.struct(F.trim(p).alias("line"), (F.length(F.trim(p)) == F.length(F.trim(line))).alias("whole")))
-
-    parts = F.flatten(F.transform("lines", cut))
-    d = d.select(F.inline(F.array(F.struct("doc_id", "text", "words", "lines", parts.alias("parts")))))
-    read = F.transform("parts", lambda x: F.struct(x["line"].alias("line"), x["whole"].alias("whole"), words_of(x["line"]).alias("words")))
-    d = d.select(F.inline(F.array(F.struct("doc_id", "text", "words", "lines", read.alias("read")))))
-    judged = F.transform("read", lambda x: F.struct(line_kind(x["line"], x["words"]).alias("kind"), F.length(x["line"]).alias("n"), x["whole"].alias("whole")))
-    d = d.select(F.inline(F.array(F.struct("doc_id", "text", "words", "lines", judged.alias("judged")))))
-    kinds = F.transform("judged", lambda x: F.struct(F.when(x["whole"] | (x["kind"] == "junk"), x["kind"]).otherwise("prose").alias("kind"), x["n"].alias("n")))
-    d = d.select("doc_id", "text", "words", "lines", kinds.alias("kinds"))
+    common = common_words(documents) if common is None else common
+    d = documents.select("doc_id", present_text(F.col("text")).alias("text"))
+    words = F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(1))
+    lines = F.filter(F.split("text", LINE_BREAK), lambda x: x.rlike("(?U)\\S"))
+    stage = lambda df, *new: df.select(F.inline(F.array(F.struct(*[F.col(c) for c in df.columns], *new))))
+    known = F.array(*[F.lit(w) for w in common]) if common else F.array().cast("array<string>")
+    d = stage(d, words.alias("words"), lines.alias("lines"))
+    d = stage(d, F.array_distinct("words").alias("distinct_words"))
+    d = stage(d, F.array_intersect("distinct_words", known).alias("known"))
+    # of the words of one line, the share that is common, by the common words of its text
+    usual = lambda x: _common_share(F.array_distinct(F.regexp_extract_all(F.lower(x), F.lit(WORD), F.lit(1))), F.col("known"))
+    read = F.transform("lines", lambda x: F.struct(
+        F.length(x).alias("n"), usual(x).alias("usual"), F.regexp_count(x, F.lit(CELL)).alias("cells"), x.rlike(MARKED).alias("marked"), x.rlike(SENTENCE_END + "[\"'”»)\\s]*+$").alias("ended"),
+    ))
+    d = stage(d, read.alias("read"))
     n, n_words, n_lines = F.length("text"), F.size("words"), F.size("lines")
-    line_chars = F.aggregate("kinds", F.lit(0), lambda a, x: a + x["n"])
-    of = lambda kind: _share(F.aggregate(F.filter("kinds", lambda x: x["kind"] == kind), F.lit(0), lambda a, x: a + x["n"]), line_chars)
-    stated = [
-        n.alias("n_chars"),
-        n_words.alias("n_words"),
-        _share(F.aggregate("words", F.lit(0), lambda a, w: a + F.length(w)), n_words).alias("mean_word_length"),
-        _share(_count(F.col("text"), "\\p{N}"), n).alias("digit_ratio"),
-        _share(_count(F.col("text"), "[^\\p{L}\\p{M}\\p{N}\\s]"), n).alias("symbol_ratio"),
-        _share(_count(F.col("text"), "[\\p{L}\\p{M}]"), n).alias("letter_ratio"),
-        _share(F.size(F.filter("words", lambda w: F.array_contains(common, w))), n_words).alias("common_word_share"),
-        _share(F.size(F.array_distinct("words")), n_words).alias("distinct_word_share"),
-        n_lines.alias("line_count"),
-        _share(line_chars, n_lines).alias("mean_line_length"),
-        _share(F.size(F.filter("lines", lambda x: x.rlike("[.!?:;。！？।]\\s*$"))), n_lines).alias("punctuated_line_share"),
-        _share(n_lines - F.size(F.array_distinct("lines")), n_lines).alias("repeated_line_share"),
-        *[of(kind).alias(f"{kind}_share") for kind in ("table", "list", "short", "junk", "prose")],
-    ]
+    count = lambda pattern: F.regexp_count("text", F.lit(pattern))
+    total = lambda value: F.aggregate("read", F.lit(0), lambda a, x: a + value(x))
+    line_chars = total(lambda x: x["n"])
+    kept = lambda pattern: n - F.length(F.regexp_replace("text", pattern, ""))
+    stated = {
+        "n_chars": n,
+        "n_words": n_words,
+        "mean_word_length": _share(F.length(F.array_join("words", "")), n_words),
+        "letter_ratio": _share(kept("[\\p{L}\\p{M}]++"), n),
+        "digit_ratio": _share(kept("\\p{N}++"), n),
+        "symbol_ratio": _share(kept("[^\\p{L}\\p{M}\\p{N}\\s]++"), n),
+        "upper_ratio": _share(kept("\\p{Lu}++"), n),
+        "markup_ratio": _share(kept("<[^<>]*+>|\\{\\{[^{}]*+\\}\\}|&#?[A-Za-z0-9]++;|\\[object \\w++\\]|[\\u0080-\\u009f\\ufffd]|[ÃÂÐÑâ][\\u0080-\\u00bf€™œŸ]"), n),
+        "common_word_share": _share(F.size("known"), F.size("distinct_words")),
+        "distinct_word_share": _share(F.size("distinct_words"), n_words),
+        "longest_run_ratio": _share(F.array_max(F.transform(F.split("text", "\\s+"), F.length)), n),
+        "hard_word_share": _share(count("(?i)[b-df-hj-np-tv-xz]{5,}+"), n_words),
+        "line_count": n_lines,
+        "mean_line_length": _share(line_chars, n_lines),
+        "punctuated_line_share": _share(total(lambda x: x["ended"].cast("int")), n_lines),
+        "repeated_line_share": _share(n_lines - F.size(F.array_distinct("lines")), n_lines),
+        "marked_share": _share(total(lambda x: F.when(x["marked"], x["n"]).otherwise(0)), line_chars),
+        "celled_share": _share(total(lambda x: F.when(x["cells"] >= 2, x["n"]).otherwise(0)), line_chars),
+        "brief_share": _share(total(lambda x: F.when(~x["ended"] & (x["n"] <= BRIEF), x["n"]).otherwise(0)), line_chars),
+        "uncommon_share": _share(total(lambda x: F.when(x["usual"] < FEW_COMMON, x["n"]).otherwise(0)), line_chars),
+        "cell_ratio": _share(total(lambda x: x["cells"]), F.greatest(n_words, F.lit(1))),
+        "separator_ratio": _share(count(" [·•/|→–—-] |[,;] "), F.greatest(n_words, F.lit(1))),
+        "sentence_ratio": _share(count(SENTENCE_END), F.greatest(n_words, F.lit(1))),
+    }
     present = F.col("text").isNotNull()
-    return d.select("doc_id", *[F.when(present, c).alias(c._jc.toString().split(" AS ")[-1].strip("`")) for c in stated])
-
-
-#: What the rules may use, the shares of kinds of lines first: of equal gain, the first is taken.
-FEATURES = (
-    "table_share", "entry_share", "junk_share", "list_share", "prose_share", "short_share", "common_word_share", "distinct_word_share", "symbol_ratio", "digit_ratio", "letter_ratio", "mean_word_length",
-    "mean_line_length", "punctuated_line_share", "repeated_line_share",
-)
-DERIVED = {"entry_share": "CASE WHEN line_count >= 3 THEN list_share + short_share ELSE list_share END"}
+    return d.select("doc_id", *[F.when(present, c).alias(name) for name, c in stated.items()])
 
 
 @dataclass(frozen=True)
@@ -194,110 +130,123 @@ class Rule:
     form: str
     conditions: tuple[tuple[str, str, float], ...]
 
-    def covers(self, row: dict) -> bool:
-        return all(row[f] >= t if op == ">=" else row[f] <= t for f, op, t in self.conditions)
+    def covers(self, rows: np.ndarray) -> np.ndarray:
+        """Which rows of the features' matrix the rule covers."""
+        kept = np.ones(len(rows), dtype=bool)
+        for f, op, t in self.conditions:
+            column = rows[:, FEATURES.index(f)]
+            kept &= column >= t if op == ">=" else column <= t
+        return kept
 
     def sql(self) -> str:
         return " AND ".join(f"{f} {op} {t!r}D" for f, op, t in self.conditions)
 
 
-def _gain(p: np.ndarray, n: np.ndarray, p0: int, n0: int) -> np.ndarray:
-    """Information gain of conditions that keep p of p0 positives and n of n0 negatives each."""
-    kept = np.maximum(p, 1e-9)
-    return np.where(p > 0, p * (np.log2(kept / (kept + n)) - math.log2(p0 / (p0 + n0))), -1.0)
+def _best_condition(rows: np.ndarray, weight: np.ndarray, positive: np.ndarray) -> tuple[str, str, float] | None:
+    """The condition with the largest information gain; of equal ones the first."""
+    p0, n0 = weight[positive].sum(), weight[~positive].sum()
+    before = np.log2(p0 / (p0 + n0))
+    best: tuple[float, tuple[str, str, float] | None] = (1e-9, None)
+    for k, f in enumerate(FEATURES):
+        order = np.argsort(rows[:, k], kind="stable")
+        values, w, pos = rows[order, k], weight[order], positive[order]
+        edge = np.flatnonzero(values[1:] > values[:-1]) + 1  # a cut lies before each of these
+        if not len(edge):
+            continue
+        p_below, n_below = np.cumsum(w * pos)[edge - 1], np.cumsum(w * ~pos)[edge - 1]
+        cuts = np.round((values[edge] + values[edge - 1]) / 2, 4)
+        for op, p, n in ((">=", p0 - p_below, n0 - n_below), ("<=", p_below, n_below)):
+            gain = np.where(p > 1e-9, p * (np.log2(np.maximum(p, 1e-9) / np.maximum(p + n, 1e-9)) - before), -1.0)
+            top = int(np.argmax(gain))
+            if gain[top] > best[0] + 1e-9:
+                best = (float(gain[top]), (f, op, float(cuts[top])))
+    return best[1]
+
+
+def _grow(rows: np.ndarray, weight: np.ndarray, positive: np.ndarray) -> list[tuple[str, str, float]]:
+    """Conditions added until the rule covers no other form, or none improves it."""
+    conditions: list[tuple[str, str, float]] = []
+    while (~positive).any() and positive.any():
+        condition = _best_condition(rows, weight, positive)
+        if condition is None or condition in conditions:
+            break
+        conditions.append(condition)
+        kept = Rule("", (condition,)).covers(rows)
+        rows, weight, positive = rows[kept], weight[kept], positive[kept]
+    return conditions
 
 
-#: A rule is grown until at most this share of what it covers is labelled otherwise: raters err about as often.
-NOISE = 0.1
+def _worth(conditions: list, rows: np.ndarray, weight: np.ndarray, positive: np.ndarray) -> float:
+    """(right - wrong) / covered on the pruning set, with one rating of each kind added."""
+    kept = Rule("", tuple(conditions)).covers(rows)
+    p, n = weight[kept & positive].sum(), weight[kept & ~positive].sum()
+    return (p - n) / (p + n + 1.0)
 
 
-def _grow(pos: list[dict], neg: list[dict], most: int = 3) -> list[tuple[str, str, float]]:
-    conditions: list[tuple[str, str, float]] = []
-    while len(neg) > NOISE * (len(pos) + len(neg)) and len(conditions) < most:
-        best: tuple[float, tuple | None] = (1e-9, None)
-        for f in FEATURES:
-            p, n = (np.sort(np.array([r[f] for r in rows])) for rows in (pos, neg))
-            values = np.unique(np.concatenate([p, n]))
-            cuts = np.round((values[1:] + values[:-1]) / 2, 4)
-            if not len(cuts):
-                continue
-            below_p, below_n = np.searchsorted(p, cuts, "left"), np.searchsorted(n, cuts, "left")
-            upto_p, upto_n = np.searchsorted(p, cuts, "right"), np.searchsorted(n, cuts, "right")
-            gains = np.concatenate([_gain(len(p) - below_p, len(n) - below_n, len(p), len(n)), _gain(upto_p, upto_n, len(p), len(n))])
-            top = float(gains.max())
-            # of thresholds about as good, the one nearest to half of the characters
-            good = np.flatnonzero(gains >= 0.98 * top) if top > 0 else np.array([], dtype=int)
-            if len(good) and top > best[0] * 1.02:
-                k = int(min(good, key=lambda g: (abs(cuts[g % len(cuts)] - 0.5), g)))
-                best = (top, (f, ">=" if k < len(cuts) else "<=", float(cuts[k % len(cuts)])))
-        if best[1] is None:
+def _prune(conditions: list, rows: np.ndarray, weight: np.ndarray, positive: np.ndarray) -> list:
+    """Delete the condition whose absence is worth most, as long as the rule gets no worse."""
+    while len(conditions) > 1:
+        shorter = [conditions[:k] + conditions[k + 1 :] for k in range(len(conditions))]
+        worths = [_worth(c, rows, weight, positive) for c in shorter]
+        if max(worths) < _worth(conditions, rows, weight, positive):
             break
-        conditions.append(best[1])
-        rule = Rule("", tuple(conditions))
-        pos, neg = [r for r in pos if rule.covers(r)], [r for r in neg if rule.covers(r)]
+        conditions = shorter[int(np.argmax(worths))]
     return conditions
 
 
-def _prune(conditions: list, pos: list[dict], neg: list[dict]) -> tuple[list, int, int]:
-    """The prefix of the conditions that is worth most on the pruning set, with its hits there."""
-    best = (-2.0, conditions, 0, 0)
-    for k in range(len(conditions), 0, -1):
-        rule = Rule("", tuple(conditions[:k]))
-        p, n = sum(map(rule.covers, pos)), sum(map(rule.covers, neg))
-        worth = (p - n) / (p + n) if p + n else -1.0
-        if worth >= best[0] and (p + n):
-            best = (worth, conditions[:k], p, n)
-    return best[1], best[2], best[3]
-
-
-def induce_rules(rows: list[dict], forms: tuple[str, ...] = ("table", "list", "junk"), most_rules: int = 8) -> list[Rule]:
-    """An ordered rule list; what no rule covers is prose. ``rows`` hold the features and ``form``."""
-    rules: list[Rule] = []
-    rest = list(rows)
-    present = [f for f in sorted(forms, key=lambda f: (sum(r["form"] == f for r in rows), f)) if any(r["form"] == f for r in rows)]
+def induce_rules(rows: np.ndarray, forms: list[str], weight: np.ndarray, fold: np.ndarray) -> list[Rule]:
+    """An ordered rule list from ratings: features, form, weight and fold of each; what no rule covers is prose."""
+    forms_, rules = np.array(forms, dtype=object), []
+    left = np.ones(len(rows), dtype=bool)
+    present = sorted({f for f in forms if f != "prose"}, key=lambda f: (weight[forms_ == f].sum(), f))
     for form in present:
-        for _ in range(most_rules):
-            pos, neg = [r for r in rest if r["form"] == form], [r for r in rest if r["form"] != form]
-            if len(pos) < 2:
-                break
-            held = lambda r: r["fold"] % 3 == 0
-            grow_pos, grow_neg = [r for r in pos if not held(r)], [r for r in neg if not held(r)]
-            prune_pos, prune_neg = [r for r in pos if held(r)], [r for r in neg if held(r)]
-            if not grow_pos:
-                break
-            conditions = _grow(grow_pos, grow_neg)
+        turn, failed = 0, 0
+        while (left & (forms_ == form)).any() and failed < 3:
+            held = (fold + turn) % 3 == 0
+            turn += 1
+            grow, prune = np.flatnonzero(left & ~held), np.flatnonzero(left & held)
+            positive = forms_ == form
+            conditions = _grow(rows[grow], weight[grow], positive[grow]) if positive[grow].any() else []
             if not conditions:
-                break
-            conditions, p, n = _prune(conditions, prune_pos, prune_neg)
-            rule = Rule(form, tuple(conditions))
-            hits, misses = sum(map(rule.covers, pos)), sum(map(rule.covers, neg))
-            if hits <= misses or (p + n and p <= n):
-                break
-            rules.append(rule)
-            rest = [r for r in rest if not rule.covers(r)]
+                failed += 1
+                continue
+            conditions = _prune(conditions, rows[prune], weight[prune], positive[prune])
+            covered = Rule(form, tuple(conditions)).covers(rows)
+            right, wrong = weight[prune][(covered & positive)[prune]].sum(), weight[prune][(covered & ~positive)[prune]].sum()
+            if right <= wrong:  # another division of the ratings may do better
+                failed += 1
+                continue
+            failed = 0
+            rules.append(Rule(form, tuple(conditions)))
+            left &= ~covered
     return rules
 
 
 def learn_form_rules(stats: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> list[Rule]:
     """Rules from the ratings of at most ``max_labels`` documents, the ones smallest by hash of their id."""
-    rated = labels.where("form IN ('prose', 'list', 'table', 'junk')").groupBy("doc_id").agg(F.mode("form", True).alias("form"), F.countDistinct("form").alias("n_forms"))
-    rated = rated.where("n_forms = 1")
-    columns = [F.expr(DERIVED[f]).alias(f) if f in DERIVED else F.col(f).cast("double").alias(f) for f in FEATURES]
-    sample = rated.join(stats.where("n_chars IS NOT NULL"), "doc_id").select("doc_id", "form", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("fold"), *columns)
-    rows = [r.asDict() for r in sample.orderBy("fold", "doc_id").limit(max_labels).collect()]
-    return induce_rules(rows)
+    rated = labels.where("form IN ('prose', 'list', 'table', 'junk')").groupBy("doc_id").agg(F.collect_list("form").alias("forms"))
+    columns = [F.col(f).cast("double").alias(f) for f in FEATURES]
+    sample = rated.join(stats.where("n_chars IS NOT NULL"), "doc_id").select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("fold"), "forms", *columns)
+    table = sample.orderBy("fold", "doc_id").limit(max_labels).toPandas()
+    if table.empty:
+        return []
+    rows, forms, weight, fold = [], [], [], []
+    for features, rated_as, place in zip(table[list(FEATURES)].to_numpy(dtype=float), table["forms"], range(len(table))):
+        for form in sorted(set(rated_as)):
+            rows.append(features)
+            forms.append(form)
+            weight.append(list(rated_as).count(form) / len(rated_as))
+            fold.append(place)
+    return induce_rules(np.array(rows), forms, np.array(weight), np.array(fold))
 
 
 def apply_rules(stats: DataFrame, rules: list[Rule]) -> DataFrame:
     """``stats`` with the column form by one CASE expression; null where the statistics are."""
-    full = stats.withColumns({f: F.expr(e) for f, e in DERIVED.items()})
     cases = "".join(f" WHEN {rule.sql()} THEN '{rule.form}'" for rule in rules)
-    form = F.expr(f"CASE WHEN n_chars IS NULL THEN NULL{cases} ELSE 'prose' END")
-    return full.withColumn("form", form).drop(*DERIVED)
+    return stats.withColumn("form", F.expr(f"CASE WHEN n_chars IS NULL THEN NULL{cases} ELSE 'prose' END"))
 
 
 def document_forms(documents: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> DataFrame:
-    """doc_id, the statistics and the form of every document."""
-    labelled = documents.join(F.broadcast(labels.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)), "doc_id", "left_semi")
-    rules = learn_form_rules(statistics(labelled), labels, max_labels)
-    return apply_rules(statistics(documents), rules)
+    """doc_id, the statistics and the form of every document; the statistics are computed once and written down."""
+    stats = cut_lineage(statistics(documents))
+    return apply_rules(stats, learn_form_rules(stats, labels, max_labels))
