@@ -25,35 +25,44 @@ from quayside.session import cut_lineage
 
 #: Most labelled documents, and the number of common words taken from the corpus.
 MAX_LABELS, COMMON_WORDS = 20_000, 400
-#: A word, or one sign of a script that is written without spaces.
-WORD = "([\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}]|[\\p{L}\\p{M}\\p{N}]+)"
-#: What separates the cells of a row; what stands before an entry; how a sentence ends.
-CELL = "\\t(?=\\s*+[\\p{L}\\p{N}])|(?<=[\\p{L}\\p{N}:. ])\\|(?=\\s*+[\\p{L}\\p{N}])|[-=]{2,}+[|+]|(?<=[\\p{L}\\p{N}\"]);(?=[\\p{L}\\p{N}\"])|(?<=[\\p{L}\\p{N}\"]),(?=[\\p{L}\\p{N}\"])|(?<=\\S) {3,}+(?=\\S)|</t[dh]>"
+#: A word; in texts with scripts that are written without spaces, also one sign of these.
+WORD, UNSPACED = "([\\p{L}\\p{M}\\p{N}]++)", "\\u0e00-\\u0e7f\\u3040-\\u30ff\\u3400-\\u4dbf\\u4e00-\\u9fff"
+SIGN_OR_WORD = f"([{UNSPACED}]|(?:(?![{UNSPACED}])[\\p{{L}}\\p{{M}}\\p{{N}}])++)"
+#: What separates the cells of a row, and what a line without any lacks; what stands before an entry; how a sentence ends.
+CELL = "[\\t|]\\s*+[\\p{L}\\p{N}]|[;,][\"\\p{L}\\p{N}]|[-=]{2,}+[|+]| {3,}+(?=\\S)|</t[dh]>"
+CELLED = "[\\t|;,=<]|--|   "
 MARKED = "^\\s*+(?:[^\\p{L}\\p{N}\\s<|]{1,2}|[(\\[]?+[\\p{N}]{1,3}[.):\\]]|[(\\[]?+\\p{L}[.):\\]]|\\p{N}{1,3}\\s?+x|<li[^>]*+>)\\s*+[\\p{L}\\p{N}(]"
 SENTENCE_END = "[.!?。！？।۔؟…]"
 #: Lines of up to so many letters are brief.
 BRIEF = 40
 #: A line with a smaller share of common words has few of them.
 FEW_COMMON = 0.15
-LINE_BREAK = "\\r\\n|[\\n\\r]|(?i)<br ?/?>|</tr>|</li>|</p>"
+MARKUP = "<[^<>]*+>|\\{\\{[^{}]*+\\}\\}|&#?[A-Za-z0-9]++;|\\[object \\w++\\]|[\\u0080-\\u009f\\ufffd]|[ÃÂÐÑâ][\\u0080-\\u00bf€™œŸ]"
 
 
 def _share(part: Column, whole: Column) -> Column:
     return F.round(F.when(whole > 0, part.cast("double") / whole).otherwise(0.0), 4)
 
 
-def _common_share(words: Column, known: Column) -> Column:
-    return F.size(F.array_intersect(words, known)) / F.greatest(F.size(words), F.lit(1))
-
-
 def present_text(text: Column) -> Column:
     """The text, null where it is blank."""
     return F.when(text.rlike("(?U)\\S"), text)
 
 
+def words_of(lower: Column) -> Column:
+    """The words of a lower-case text."""
+    return F.when(lower.rlike(f"[{UNSPACED}]"), F.regexp_extract_all(lower, F.lit(SIGN_OR_WORD), F.lit(1))).otherwise(F.regexp_extract_all(lower, F.lit(WORD), F.lit(1)))
+
+
+def lines_of(text: Column) -> Column:
+    """The lines of a text that are not blank; rows, entries and breaks of its markup end lines too."""
+    marked = F.when(text.contains("<"), F.regexp_replace(text, "(?i)<(?:br ?/?|/tr|/li|/p)>", "\n")).otherwise(text)
+    return F.filter(F.split(F.translate(marked, "\r", "\n"), "\n"), lambda x: F.trim(x) != "")
+
+
 def common_words(documents: DataFrame, most: int = COMMON_WORDS) -> list[str]:
     """The words in most documents of the corpus, at most ``most``; each document counts a word once."""
-    words = documents.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(1)))).alias("word"))
+    words = documents.select(F.explode(F.array_distinct(words_of(F.lower("text")))).alias("word"))
     return [r["word"] for r in words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(most).collect()]
 
 
@@ -76,37 +85,37 @@ def statistics(documents: DataFrame, common: list[str] | None = None) -> DataFra
     """
     common = common_words(documents) if common is None else common
     d = documents.select("doc_id", present_text(F.col("text")).alias("text"))
-    words = F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(1))
-    lines = F.filter(F.split("text", LINE_BREAK), lambda x: x.rlike("(?U)\\S"))
     stage = lambda df, *new: df.select(F.inline(F.array(F.struct(*[F.col(c) for c in df.columns], *new))))
     known = F.array(*[F.lit(w) for w in common]) if common else F.array().cast("array<string>")
-    d = stage(d, words.alias("words"), lines.alias("lines"))
+    d = stage(d, F.lower("text").alias("lower"), lines_of(F.col("text")).alias("lines"))
+    d = stage(d, words_of(F.col("lower")).alias("words"))
     d = stage(d, F.array_distinct("words").alias("distinct_words"))
     d = stage(d, F.array_intersect("distinct_words", known).alias("known"))
-    # of the words of one line, the share that is common, by the common words of its text
-    usual = lambda x: _common_share(F.array_distinct(F.regexp_extract_all(F.lower(x), F.lit(WORD), F.lit(1))), F.col("known"))
+    common_share = lambda words: F.size(F.array_intersect(words, "known")) / F.greatest(F.size(words), F.lit(1))
+    # the words of a line are read once more only where there are several lines
+    usual = lambda x: F.when(F.size("lines") > 1, common_share(words_of(F.lower(x)))).otherwise(common_share(F.col("distinct_words")))
     read = F.transform("lines", lambda x: F.struct(
-        F.length(x).alias("n"), usual(x).alias("usual"), F.regexp_count(x, F.lit(CELL)).alias("cells"), x.rlike(MARKED).alias("marked"), x.rlike(SENTENCE_END + "[\"'”»)\\s]*+$").alias("ended"),
+        F.length(x).alias("n"), usual(x).alias("usual"), F.when(x.rlike(CELLED), F.regexp_count(x, F.lit(CELL))).otherwise(0).alias("cells"), x.rlike(MARKED).alias("marked"), x.rlike(SENTENCE_END + "[\"'”»)\\s]*+$").alias("ended"),
     ))
-    d = stage(d, read.alias("read"))
+    d = stage(d, read.alias("read"), F.length(F.array_join("words", "")).alias("worded"), F.length(F.regexp_replace("text", "\\p{N}++", "")).alias("undigited"))
     n, n_words, n_lines = F.length("text"), F.size("words"), F.size("lines")
-    count = lambda pattern: F.regexp_count("text", F.lit(pattern))
+    count = lambda pattern: F.regexp_count("lower", F.lit(pattern))
     total = lambda value: F.aggregate("read", F.lit(0), lambda a, x: a + value(x))
     line_chars = total(lambda x: x["n"])
-    kept = lambda pattern: n - F.length(F.regexp_replace("text", pattern, ""))
+    spaces = n - F.length(F.translate("text", " \t\n\r\u00a0\u3000", ""))
     stated = {
         "n_chars": n,
         "n_words": n_words,
-        "mean_word_length": _share(F.length(F.array_join("words", "")), n_words),
-        "letter_ratio": _share(kept("[\\p{L}\\p{M}]++"), n),
-        "digit_ratio": _share(kept("\\p{N}++"), n),
-        "symbol_ratio": _share(kept("[^\\p{L}\\p{M}\\p{N}\\s]++"), n),
-        "upper_ratio": _share(kept("\\p{Lu}++"), n),
-        "markup_ratio": _share(kept("<[^<>]*+>|\\{\\{[^{}]*+\\}\\}|&#?[A-Za-z0-9]++;|\\[object \\w++\\]|[\\u0080-\\u009f\\ufffd]|[ÃÂÐÑâ][\\u0080-\\u00bf€™œŸ]"), n),
+        "mean_word_length": _share(F.col("worded"), n_words),
+        "letter_ratio": _share(F.col("worded") - (n - F.col("undigited")), n),
+        "digit_ratio": _share(n - F.col("undigited"), n),
+        "symbol_ratio": _share(n - F.col("worded") - spaces, n),
+        "upper_ratio": _share(n - F.length(F.regexp_replace("text", "[A-Z\\p{Lu}]++", "")), n),
+        "markup_ratio": _share(F.when(F.col("text").rlike("[<&{\\[\\u0080-\\u009f\\ufffdÃÂÐÑâ]"), n - F.length(F.regexp_replace("text", MARKUP, ""))).otherwise(0), n),
         "common_word_share": _share(F.size("known"), F.size("distinct_words")),
         "distinct_word_share": _share(F.size("distinct_words"), n_words),
-        "longest_run_ratio": _share(F.array_max(F.transform(F.split("text", "\\s+"), F.length)), n),
-        "hard_word_share": _share(count("(?i)[b-df-hj-np-tv-xz]{5,}+"), n_words),
+        "longest_run_ratio": _share(F.array_max(F.transform(F.split(F.translate("text", "\t\n\r", "   "), " "), F.length)), n),
+        "hard_word_share": _share(count("[b-df-hj-np-tv-xz]{5,}+"), n_words),
         "line_count": n_lines,
         "mean_line_length": _share(line_chars, n_lines),
         "punctuated_line_share": _share(total(lambda x: x["ended"].cast("int")), n_lines),
@@ -116,7 +125,7 @@ def statistics(documents: DataFrame, common: list[str] | None = None) -> DataFra
         "brief_share": _share(total(lambda x: F.when(~x["ended"] & (x["n"] <= BRIEF), x["n"]).otherwise(0)), line_chars),
         "uncommon_share": _share(total(lambda x: F.when(x["usual"] < FEW_COMMON, x["n"]).otherwise(0)), line_chars),
         "cell_ratio": _share(total(lambda x: x["cells"]), F.greatest(n_words, F.lit(1))),
-        "separator_ratio": _share(count(" [·•/|→–—-] |[,;] "), F.greatest(n_words, F.lit(1))),
+        "separator_ratio": _share(count("(?: [·•/|→–—-]|[,;]) "), F.greatest(n_words, F.lit(1))),
         "sentence_ratio": _share(count(SENTENCE_END), F.greatest(n_words, F.lit(1))),
     }
     present = F.col("text").isNotNull()
