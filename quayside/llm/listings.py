@@ -106,14 +106,16 @@ FILLERS = set("by brand of for with in and the size ref model per x a no new art
 
 #: A word in which single digits or signs stand for letters, as a bad scan leaves them.
 MISREAD = "(?<![\\p{L}\\p{N}@$])(?=[\\p{L}0135@$]{4})\\p{L}+(?:([0135@$])\\1?\\p{L}+)+(?![\\p{L}\\p{N}@$])"
+GLUED = "\\p{L}[0135@$]{1,2}\\p{L}"
 WORD = "([0-9]+(?:[.,][0-9]+)?|\\p{L}+)"
 
 
 def words_of(description: Column) -> Column:
-    """Lower-case words and numbers; look-alikes, accents and digits inside words as letters."""
-    text = F.replace(fold_accents(F.lower(fold_lookalikes(description))), F.lit("'"), F.lit(""))
+    """Lower-case words and numbers, joined by spaces; look-alikes, accents and digits inside words as letters."""
+    plain = F.octet_length(description) == F.length(description)
+    text = F.replace(F.when(plain, F.lower(description)).otherwise(fold_accents(F.lower(fold_lookalikes(description)))), F.lit("'"), F.lit(""))
     repaired = F.array_join(F.transform(F.split(text, "(?<=\\s)|(?=\\s)"), lambda c: F.when(c.rlike(MISREAD), unleet(c)).otherwise(c)), "")
-    return F.regexp_extract_all(F.when(text.rlike(MISREAD), repaired).otherwise(text), F.lit(WORD), F.lit(1))
+    return F.array_join(F.regexp_extract_all(F.when(text.rlike(GLUED) & text.rlike(MISREAD), repaired).otherwise(text), F.lit(WORD), F.lit(1)), " ")
 
 
 #: A word is repaired to one that is so many times as frequent, and occurs so often at least.
@@ -121,12 +123,12 @@ MORE_FREQUENT, FREQUENT = 20, 10
 
 
 def misspelt_words(words: DataFrame) -> DataFrame:
-    """(word, right) of the rare words of ``words`` (column words) that are written almost like a frequent one.
+    """(word, right) of the rare words of ``words`` (column words, joined by spaces) that are written almost like a frequent one.
 
     The closest wins, then the more frequent, then the first by spelling. Two frequent words run together are taken
     apart. Only distinct words are compared, by the edit-distance join.
     """
-    counted = words.select(F.explode("words").alias("word")).where("word RLIKE '^[^0-9]{3,}$'").groupBy("word").agg(F.count("*").alias("n"))
+    counted = words.select(F.explode(F.split("words", " ")).alias("word")).where("word RLIKE '^[^0-9]{3,}$'").groupBy("word").agg(F.count("*").alias("n"))
     counted = cut_lineage(counted)
     frequent = counted.where(F.col("n") >= FREQUENT).select(F.col("word").alias("right"), F.col("n").alias("m"))
     near = edit_distance_join(counted.where("length(word) > 3"), "word", frequent.where("length(right) > 3"), "right").where("distance BETWEEN 1 AND 2")
@@ -146,10 +148,9 @@ SHARED_REPAIRS = 200_000
 
 def repaired_words(lines: DataFrame, repairs: DataFrame, key: str = "line_id") -> DataFrame:
     """``lines`` with their ``words`` repaired by a join of the single words; ``key`` is unique."""
-    each = lines.select(key, F.posexplode("words").alias("pos", "word")).join(repairs, "word", "left")
+    each = lines.select(key, F.posexplode(F.split("words", " ")).alias("pos", "word")).join(repairs, "word", "left")
     fixed = each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("right", "word").alias("word")))).alias("w"))
-    fixed = fixed.select(key, F.split(F.array_join(F.transform("w", lambda x: x["word"]), " "), " ").alias("words"))
-    return lines.drop("words").join(fixed, key, "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
+    return lines.drop("words").join(fixed.select(key, F.array_join(F.transform("w", lambda x: x["word"]), " ").alias("words")), key, "left")
 
 
 def _number(text: str) -> str:
@@ -274,27 +275,24 @@ def longest_matches(automaton: ahocorasick.Automaton, row: str) -> list[tuple[in
     return out
 
 
-READ_SCHEMA = T.StructType([
-    T.StructField("models", T.ArrayType(T.StringType())), T.StructField("marks", T.ArrayType(T.StringType())), T.StructField("rest", T.ArrayType(T.StringType())),
-])
-
-
+#: What stands between marks that are joined to one text.
+MARK = "\u0002"
+READ_SCHEMA = T.StructType([T.StructField(n, T.StringType()) for n in ("models", "marks", "rest")])
 #: Letters are those of a series of models if so many listings announce a model with them.
 SERIES_LISTINGS = 3
 
 
 def model_series(worded: DataFrame) -> list[str]:
     """The letters that models begin with, from the listings (column words) that announce one; two or three letters each."""
-    at = F.transform(F.sequence(F.lit(1), F.size("words")), lambda i: F.when(F.element_at("words", i).isin("ref", "model", "art") & F.get("words", i + 1).rlike("^[0-9]{3,4}$"), F.get("words", i)))
-    letters = worded.where(F.arrays_overlap("words", F.array(F.lit("ref"), F.lit("model"), F.lit("art"))) & (F.size("words") > 2)).select(F.explode(at).alias("letters"))
-    several = letters.where("letters RLIKE '^[a-z]{2,3}$'").groupBy("letters").agg(F.count("*").alias("n")).where(F.col("n") >= SERIES_LISTINGS)
+    letters = worded.select(F.explode(F.regexp_extract_all("words", F.lit("(?:^| )(?:ref|model|art) ([a-z]{2,3}) [0-9]{3,4}(?= |$)"), F.lit(1))).alias("letters"))
+    several = letters.groupBy("letters").agg(F.count("*").alias("n")).where(F.col("n") >= SERIES_LISTINGS)
     return sorted(r["letters"] for r in several.collect())  # 18,252 at most
 
 
 def read_column(lines: DataFrame, words: Column, series: list[str], repairs: dict[str, str], lexicon: dict[str, dict[str, str]] | None = None) -> Column:
     """A row of words, repaired by ``repairs``, as struct(models, marks, rest).
 
-    Marks are ``dimension=value``, in order; rest keeps its order.
+    Models and the rest are joined by spaces, marks (``dimension=value``, in order) by MARK; rest keeps its order.
     """
     shared: Broadcast = lines.sparkSession.sparkContext.broadcast((PHRASES if lexicon is None else lexicon, frozenset(series), repairs))
 
@@ -305,8 +303,8 @@ def read_column(lines: DataFrame, words: Column, series: list[str], repairs: dic
         for batch in batches:
             rows = []
             for row in batch:
-                r = reader.read([repairs.get(w, w) for w in row] if row is not None else [])
-                rows.append((r.models, [f"{d}={'|'.join(sorted(r.attributes[d]))}" for d in sorted(r.attributes)], r.rest))
+                r = reader.read([repairs.get(w, w) for w in row.split()] if row else [])
+                rows.append((" ".join(r.models), MARK.join(f"{d}={'|'.join(sorted(r.attributes[d]))}" for d in sorted(r.attributes)), " ".join(r.rest)))
             yield pd.DataFrame(rows, columns=["models", "marks", "rest"])
 
     # not deterministic for the optimizer: it would run the function once more for each filter on its result

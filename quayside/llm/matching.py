@@ -29,8 +29,10 @@ from pyspark.sql import Window as W
 
 from quayside.functions.numbers import printed_number
 from quayside.functions.text import fold_lookalikes
-from quayside.llm.phrases import find_phrases, mine_brands, mine_phrases
+from quayside.llm.listings import MARK
+from quayside.llm.phrases import find_phrases, mine_brands, mine_phrases, words_in
 from quayside.llm.products import described, originals, read_listings
+from quayside.schemas import DOC_TYPES
 from quayside.session import cut_lineage
 
 #: The comparisons with their levels; for each level the prior counts of matches and of other pairs, of 100 each.
@@ -77,7 +79,9 @@ def read_lines(lines: DataFrame, lexicon: dict[str, dict[str, str]] | None = Non
     read = read_listings(stated, lexicon)
     invoices = read.where("source_doc = 'invoice'")
     found = find_phrases(read, mine_phrases(invoices, mine_brands(invoices)))
-    return found.select("line_id", "consignment_id", "source_doc", "line_no", "brand", "model", "marks", F.array_distinct(F.filter("words", lambda w: ~w.rlike("^[0-9.]+$|^.$"))).alias("words"), "gross", "net", "quantity")
+    telling = F.array_distinct(F.filter(words_in("words"), lambda w: (F.length(w) > 1) & ~w.rlike("^[0-9]")))
+    marks = F.filter(F.split("marks", MARK), lambda m: m != "")
+    return found.select("line_id", "consignment_id", "source_doc", "line_no", "brand", "model", marks.alias("marks"), telling.alias("words"), "gross", "net", "quantity")
 
 
 @contextmanager
@@ -128,19 +132,22 @@ def pair_levels() -> dict[str, Column]:
 def compared_pairs(read: DataFrame) -> DataFrame:
     """consignment_id, a, b, da, db, pattern of the candidates: each pair once, at the first key that its lines share.
 
-    The lines are shuffled once, by consignment; keys and pairs are made where they are.
+    The lines are shuffled once, by consignment; keys and pairs are made where they are. From here on a consignment is
+    a digest that only tells where its pairs are; what rivals share is the line and the other's document.
     """
     prefixed = lambda p, c: F.when(F.col(c).cast("string") != "", F.concat(F.lit(p), F.col(c).cast("string")))
     keys = F.array_compact(F.concat(F.transform("words", lambda w: F.concat(F.lit("w"), w)), F.array(prefixed("b", "brand"), prefixed("m", "model"), prefixed("g", "gross"), prefixed("n", "net"))))
-    placed = cut_lineage(read.withColumn("keys", keys).repartition("consignment_id"))
+    placed = read.withColumn("keys", keys).repartition("consignment_id")
     side = lambda s: placed.select("consignment_id", F.explode("keys").alias("key"), *[F.col(c).alias(f"{c}_{s}") for c in placed.columns if c != "consignment_id"])
     with partitioned_by_part(read.sparkSession):
         joined = side("a").join(side("b").hint("shuffle_hash"), ["consignment_id", "key"]).where((F.col("source_doc_a") < F.col("source_doc_b")) & (F.col("key") == F.get(F.array_intersect("keys_a", "keys_b"), F.lit(0))))
         pattern = F.lit(0)
         for name, level in pair_levels().items():
             pattern = pattern * len(LEVELS[name]) + level
-        doc = lambda s: F.col(f"source_doc_{s}")
-        return cut_lineage(joined.select("consignment_id", F.col("line_id_a").alias("a"), F.col("line_id_b").alias("b"), doc("a").alias("da"), doc("b").alias("db"), pattern.alias("pattern")))
+        known = F.array(*[F.lit(d) for d in sorted(DOC_TYPES)])
+        number = lambda c: F.array_position(known, F.col(c)).cast("int")
+        doc = lambda s: F.when(number(f"source_doc_{s}") > 0, number(f"source_doc_{s}")).otherwise(F.hash(f"source_doc_{s}"))
+        return cut_lineage(joined.select(F.xxhash64("consignment_id").alias("consignment_id"), F.col("line_id_a").alias("a"), F.col("line_id_b").alias("b"), doc("a").alias("da"), doc("b").alias("db"), pattern.alias("pattern")))
 
 
 def _digits(patterns: np.ndarray) -> dict[str, np.ndarray]:
@@ -233,7 +240,7 @@ def propagate(pairs: DataFrame) -> DataFrame:
 
 
 MATCH = ["consignment_id", "a", "b", "da", "db", "probability", "converged"]
-FREE_SCHEMA = "consignment_id string, a long, b long, da string, db string, odds double, belief double, probability double, converged boolean"
+FREE_SCHEMA = "consignment_id long, a long, b long, da int, db int, odds double, belief double, probability double, converged boolean"
 
 
 def _free(batches: Iterator[pd.DataFrame], sure: float) -> Iterator[pd.DataFrame]:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quayside.llm.listings import FREQUENT, MORE_FREQUENT, automaton_of, longest_matches
+from quayside.llm.listings import FREQUENT, MARK, MORE_FREQUENT, automaton_of, longest_matches
 from quayside.operators.edit_join import edit_distance_join
 from quayside.session import cut_lineage
 
@@ -33,14 +33,19 @@ NAME_SETS, SET_SHARE, SET_MARKS = 2, 0.25, 2
 SHARD = 200_000
 
 
+def words_in(name: str) -> Column:
+    """The words of a text column, none of a blank one."""
+    return F.filter(F.split(name, " "), lambda w: w != "")
+
+
 def named(words: Column) -> Column:
     """A name as its distinct words in order."""
     return F.array_join(F.array_sort(F.array_distinct(words)), " ")
 
 
 def mine_brands(read: DataFrame) -> DataFrame:
-    """(brand, n) borne out by ``read``: rest (words), shipper_id, one row a listing."""
-    some = read.select("shipper_id", F.array_distinct(F.filter("rest", lambda w: ~w.rlike("^[0-9]"))).alias("rest")).where(F.size("rest").between(2, MOST_WORDS))
+    """(brand, n) borne out by ``read``: rest, shipper_id, one row a listing."""
+    some = read.select("shipper_id", F.array_distinct(F.filter(words_in("rest"), lambda w: ~w.rlike("^[0-9]"))).alias("rest")).where(F.size("rest").between(2, MOST_WORDS))
     # equal listings of one shipper are counted once, before anything is tried
     some = some.groupBy("rest", "shipper_id").agg(F.count("*").alias("n"))
     tried = some.select("shipper_id", "n", "rest", F.explode("rest").alias("word")).where("length(word) > 3")
@@ -57,7 +62,7 @@ def mine_brands(read: DataFrame) -> DataFrame:
 
 def mine_phrases(read: DataFrame, brands: DataFrame) -> DataFrame:
     """(phrase, brand, model): every brand, and every model with the brand that most of its listings name."""
-    with_model = read.where("size(models) > 0").select(F.explode("models").alias("model"), F.explode_outer(F.array_distinct("rest")).alias("brand"))
+    with_model = read.where("models <> ''").select(F.explode(words_in("models")).alias("model"), "rest").select("model", F.explode(F.array_distinct(words_in("rest"))).alias("brand"))
     owners = with_model.join(brands.select("brand"), "brand").groupBy("model", "brand").agg(F.count("*").alias("n"))
     owner = owners.groupBy("model").agg(F.max_by("brand", F.struct("n", "brand")).alias("brand"))
     spelt = F.regexp_replace("model", "(?<=[a-z])(?=[0-9])", " ")
@@ -66,35 +71,33 @@ def mine_phrases(read: DataFrame, brands: DataFrame) -> DataFrame:
     return cut_lineage(alone.unionByName(both).groupBy("phrase").agg(F.min("brand").alias("brand"), F.min("model").alias("model")))
 
 
-FOUND = T.StructType([T.StructField("brands", T.ArrayType(T.StringType())), T.StructField("models", T.ArrayType(T.StringType()))])
-
-
 def find_phrases(read: DataFrame, phrases: DataFrame) -> DataFrame:
     """``read`` (rest, models) with brand, model and name: the longest phrases, the models stated, the words left.
 
     The dictionary is given to the workers in parts of SHARD phrases, so that a dictionary of any size is used whole.
     """
-    spark = read.sparkSession
     parts = -(-phrases.count() // SHARD)
-    row = F.concat(F.lit(" "), F.array_join("rest", " "), F.when(F.size("models") > 0, F.concat(F.lit(" "), F.regexp_replace(F.array_join("models", " "), "(?<=[a-z])(?=[0-9])", " "))).otherwise(""), F.lit(" "))
-    out = read.withColumn("hits", F.array().cast("array<struct<brand:string,model:string>>"))
+    stated = F.when(F.col("models") != "", F.concat(F.regexp_replace("models", "(?<=[a-z])(?=[0-9])", " "), F.lit(" "))).otherwise("")
+    row = F.concat(F.lit(" "), F.col("rest"), F.lit(" "), stated)
+    out = read.withColumn("hits", F.lit(""))
     for part in range(parts):
         few = phrases.where(F.pmod(F.xxhash64("phrase"), F.lit(parts)) == part).toPandas()
-        out = out.withColumn("hits", F.concat("hits", _finder(spark, few)(row)))
-    brand = F.array_join(F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["brand"]))), " ")
-    model = F.coalesce(F.array_min("models"), F.lit(""))
-    left = F.filter("rest", lambda w: ~F.array_contains(F.transform("hits", lambda h: h["brand"]), w))
-    return out.withColumns({"brand": brand, "model": model, "words": left, "name": named(left)}).drop("hits")
+        out = out.withColumn("hits", F.concat_ws(" ", "hits", _finder(read.sparkSession, few)(row)))
+    brands = F.array_sort(F.array_distinct(words_in("hits")))
+    out = out.select(*read.columns, brands.alias("hits"))
+    left = F.array_except(words_in("rest"), F.col("hits"))
+    return out.withColumns({"brand": F.array_join("hits", " "), "model": F.coalesce(F.array_min(words_in("models")), F.lit("")), "words": F.array_join(left, " "), "name": named(left)}).drop("hits", "rest", "models")
 
 
 def _finder(spark, few: pd.DataFrame):
     shared = spark.sparkContext.broadcast(list(few.itertuples(index=False, name=None)))
 
-    @F.pandas_udf("array<struct<brand:string,model:string>>")
+    @F.pandas_udf(T.StringType())
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        automaton = automaton_of({phrase: (brand, model) for phrase, brand, model in shared.value})
+        """The brands of the longest phrases in each row of words; a phrase of brand and model goes before either alone."""
+        automaton = automaton_of({phrase: brand for phrase, brand, _ in shared.value})
         for batch in batches:
-            yield pd.Series([[{"brand": b, "model": m} for _, _, (b, m) in longest_matches(automaton, row)] for row in batch])
+            yield pd.Series([" ".join(brand for _, _, brand in longest_matches(automaton, row)) for row in batch])
 
     return find.asNondeterministic()
 
@@ -114,7 +117,7 @@ def goods_of_names(read: DataFrame) -> DataFrame:
 
     Every pointer leads to a more frequent name, so following them ends; the ends are the goods.
     """
-    sets = read.where((F.col("brand") != "") & (F.size("marks") >= SET_MARKS)).select(F.xxhash64("brand", "model", "marks").alias("set"), "name").distinct()
+    sets = read.where((F.col("brand") != "") & (F.size(F.split("marks", MARK)) >= SET_MARKS)).select(F.xxhash64("brand", "model", "marks").alias("set"), "name").distinct()
     frequent = read.groupBy("name").agg(F.count("*").alias("n"))
     sets = cut_lineage(sets.join(frequent, "name"))
     centre = sets.groupBy("set").agg(F.max(F.struct("n", "name")).alias("c"), F.count("*").alias("names")).where("names > 1").select("set", "c.name", "c.n").withColumnsRenamed({"name": "centre", "n": "m"})

@@ -54,10 +54,10 @@ def product_lines(lines: DataFrame, lexicon: dict[str, dict[str, str]] | None =
     invoices = described(lines.where("source_doc = 'invoice'"))
     read = read_listings(originals(invoices, "description", "shipper_id"), lexicon)
     found = cut_lineage(find_phrases(read, mine_phrases(read, mine_brands(read))).select("line_id", "brand", "model", "marks", "name"))
-    known = found.where("name <> '' OR brand <> '' OR size(marks) > 0 OR model <> ''")
+    known = found.where("name <> '' OR brand <> '' OR marks <> '' OR model <> ''")
     goods = goods_of_names(known)
     named = known.join(F.broadcast(goods) if goods.count() <= FEW_NAMES else goods, "name")
-    key = F.concat_ws("\u0001", "goods", "brand", "model", F.concat_ws("\u0002", "marks"))
+    key = F.concat_ws("\u0001", "goods", "brand", "model", "marks")
     return named.select("line_id", F.md5(key).alias("product"))
 
 

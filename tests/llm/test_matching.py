@@ -25,9 +25,9 @@ def exact_marginals(odds):
 def test_marginals(spark):
     trees = {("C1", "i-p"): {(1, 11): 2.0, (1, 12): 1.0, (2, 12): 0.5}, ("C2", "i-p"): {(1, 11): -1.0}, ("C3", "i-p"): {(1, 11): 3.0, (2, 11): 2.5, (3, 11): 0.0}}
     loops = {("C4", "i-p"): {(1, 11): 4.0, (1, 12): 0.0, (2, 11): 0.0, (2, 12): 4.0}}
-    rows = [(c, a, b, "i", "p", o) for (c, _), odds in (trees | loops).items() for (a, b), o in odds.items()]
-    found = propagate(spark.createDataFrame(rows, "consignment_id string, a long, b long, da string, db string, odds double"))
-    got = {(r["consignment_id"], r["a"], r["b"]): r["probability"] for r in found.collect()}
+    rows = [(int(c[1:]), a, b, 1, 2, o) for (c, _), odds in (trees | loops).items() for (a, b), o in odds.items()]
+    found = propagate(spark.createDataFrame(rows, "consignment_id long, a long, b long, da int, db int, odds double"))
+    got = {(f"C{r['consignment_id']}", r["a"], r["b"]): r["probability"] for r in found.collect()}
     for (c, _), odds in (trees | loops).items():
         for (a, b), p in exact_marginals(odds).items():
             assert abs(got[c, a, b] - p) < (0.02 if c != "C4" else 0.1), (c, a, b, got[c, a, b], p)
@@ -79,8 +79,8 @@ def test_contradicted_lines_stay_free(spark):
 
 
 def test_third_document_goes_before_position(spark):
-    pairs = [("C", 0, 4, "b", "p", 9.0), ("C", 3, 4, "i", "p", 9.0), ("C", 0, 2, "b", "i", 3.0), ("C", 0, 3, "b", "i", 3.0), ("C", 1, 2, "b", "i", 3.0), ("C", 1, 3, "b", "i", 3.0)]
-    beliefs = propagate(spark.createDataFrame(pairs, "consignment_id string, a long, b long, da string, db string, odds double"))
+    pairs = [(7, 0, 4, 1, 3, 9.0), (7, 3, 4, 2, 3, 9.0), (7, 0, 2, 1, 2, 3.0), (7, 0, 3, 1, 2, 3.0), (7, 1, 2, 1, 2, 3.0), (7, 1, 3, 1, 2, 3.0)]
+    beliefs = propagate(spark.createDataFrame(pairs, "consignment_id long, a long, b long, da int, db int, odds double"))
     assert {(r["a"], r["b"]) for r in assign(beliefs).collect()} == {(0, 4), (3, 4), (0, 3), (1, 2)}
 
 
