@@ -3,7 +3,7 @@
 Only the distinct values of a field are matched. Each distinct token is joined to the vocabulary of the list's names
 by edit distance; the repaired tokens of a value are then combined with the weights of the names' tokens to a soft
 TF-IDF score, by which the complete entries are ranked. The value without its spaces and signs is one more token, so
-that words torn apart or run together are repaired as well. Names of things outside the list take part, so that a
+that words torn apart or run together are repaired as well; a value that needs no repair is at distance 0. Names of things outside the list take part, so that a
 value that means one of them is not forced onto a neighbour.
 
 Null and blank values give no row; a value written exactly like an entry is mapped to it; a value that means none, or
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quayside.functions.text import fold_accents, fold_lookalikes, unleet
-from quayside.llm.vocabulary import STOP_WORDS, alias_table
+from quayside.llm.vocabulary import ALL, STOP_WORDS, alias_table
 from quayside.operators.edit_join import edit_distance_join
 from quayside.session import cut_lineage
 
@@ -69,39 +69,64 @@ def names(aliases: DataFrame) -> DataFrame:
     return split.withColumn("alias_id", F.xxhash64("field", "whole", "tokens"))
 
 
-def match_values(values: DataFrame, refs: DataFrame) -> DataFrame:
-    """(field, value, ref_id, score) of each distinct (field, value) in ``values``; ``n`` there counts its rows."""
+#: So many rows of a list or table at most are broadcast, once they are counted.
+BROADCAST_NAMES = 100_000
+#: The score of a value that needs no repair: no other entry is closer, and names side by side do not overrule it.
+EXACT = 9.0
+
+
+def counted(df: DataFrame) -> DataFrame:
+    """``df``, which is written down, to be broadcast if it is short."""
+    return F.broadcast(df) if df.count() <= BROADCAST_NAMES else df
+
+
+#: A token of so many letters may be a name's token cut short, and is as similar as this.
+SHORTENED, SHORTENED_SIMILARITY = 4, 0.85
+
+
+def cut_short(tokens: DataFrame, names_tokens: DataFrame) -> DataFrame:
+    """(field, token, name_token, sim) of tokens that are the beginning of the tokens of one entry only."""
+    longer = names_tokens.where(F.length("name_token") > SHORTENED).select("field", "ref_id", "name_token").distinct()
+    begun = longer.select("field", "ref_id", "name_token", F.explode(F.transform(F.sequence(F.lit(SHORTENED), F.length("name_token") - 1), lambda n: F.left("name_token", n))).alias("token"))
+    found = begun.join(tokens.select("field", "token").distinct(), ["field", "token"])
+    one = found.groupBy("field", "token").agg(F.min("ref_id").alias("low"), F.max("ref_id").alias("high")).where("low = high AND low > 0").select("field", "token")
+    return found.join(one, ["field", "token"]).select("field", "token", "name_token", F.lit(SHORTENED_SIMILARITY).alias("sim")).distinct()
+
+
+def match_values(values: DataFrame, refs: DataFrame, knowledge: tuple[str, ...] = ALL) -> DataFrame:
+    """(field, value, ref_id, score) of each distinct (field, value) in ``values``; ``n`` there counts its rows.
+
+    Every value is repaired: as one token by its letters, and token by token.
+    """
     spark = values.sparkSession
-    known = cut_lineage(names(alias_table(spark, refs)))
+    known = cut_lineage(names(alias_table(spark, refs, knowledge)))
     own = refs.select("field", F.col("ref_value").alias("value"), "ref_id")
-    prior = values.join(F.broadcast(own), ["field", "value"]).groupBy("field", "ref_id").agg(F.sum("n").alias("prior"))
+    prior = values.join(own, ["field", "value"]).groupBy("field", "ref_id").agg(F.sum("n").alias("prior"))
     read = values.select("field", "value", plain(F.col("value")).alias("text"))
     read = read.select("field", "value", whole_word(F.col("text")).alias("whole"), _tokens(F.col("field"), F.col("text")).alias("tokens"))
     read = cut_lineage(read)
 
-    wholes = F.broadcast(known.select("field", "whole", "ref_id").distinct())
-    exact = cut_lineage(read.join(wholes, ["field", "whole"]).select("field", "value", "ref_id", F.lit(9.0).alias("score")))
-    rest = cut_lineage(read.join(exact, ["field", "value"], "left_anti"))
+    wholes = counted(cut_lineage(known.select("field", "whole", "ref_id").distinct()))
 
-    # the whole value as one token
-    words = rest.select("field", unleet(F.col("whole")).alias("word"), "value").where("length(word) > 3")
-    near = edit_distance_join(words, "word", known.where("length(whole) > 3"), "whole", ["field"])
-    by_whole = (
-        words.join(near, ["field", "word"]).join(wholes, ["field", "whole"])
-        .select("field", "value", "ref_id", (1 - F.col("distance") / F.greatest(F.length("word"), F.length("whole"))).alias("score"))
-    )
+    # the whole value as one token, as it is written and with its digits read as letters
+    words = read.select("field", F.explode(F.array_distinct(F.array("whole", unleet(F.col("whole"))))).alias("word"), "value").where("word <> ''")
+    near = edit_distance_join(words, "word", known, "whole", ["field"])
+    alike = 1 - F.col("distance") / F.greatest(F.length("word"), F.length("whole"))
+    by_whole = words.join(near, ["field", "word"]).join(wholes, ["field", "whole"])
+    by_whole = by_whole.where((F.col("distance") == 0) | (F.length("word") > 3)).select("field", "value", "ref_id", F.when(F.col("distance") == 0, EXACT).otherwise(alike).alias("score"))
 
     # token by token
     entry = known.where("size(tokens) > 0").select("field", "alias_id", "ref_id", F.explode("tokens").alias("name_token"))
     df = entry.groupBy("field", "name_token").agg(F.countDistinct(F.when(F.col("ref_id") > 0, F.col("ref_id")).otherwise(F.col("alias_id"))).alias("df"))
     n = known.groupBy("field").agg(F.countDistinct("ref_id").alias("entries"))
-    weight = F.broadcast(cut_lineage(df.join(n, "field").select("field", "name_token", F.log(1 + F.col("entries") / F.col("df")).alias("w"), F.log(1 + F.col("entries")).alias("w_max"))))
+    weight = counted(cut_lineage(df.join(n, "field").select("field", "name_token", F.log(1 + F.col("entries") / F.col("df")).alias("w"), F.log(1 + F.col("entries")).alias("w_max"))))
     weighted = entry.join(weight, ["field", "name_token"])
     norms = weighted.groupBy("field", "alias_id").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norm"), F.sum("w").alias("mass"))
     weighted = cut_lineage(weighted.join(norms, ["field", "alias_id"]))
-    tokens = rest.select("field", "value", F.posexplode("tokens").alias("pos", "token"))
+    tokens = read.select("field", "value", F.posexplode("tokens").alias("pos", "token"))
     pairs = edit_distance_join(tokens, "token", weighted.select("field", "name_token").distinct(), "name_token", ["field"])
-    pairs = cut_lineage(pairs.select("field", "token", "name_token", (1 - F.col("distance") / F.greatest(F.length("token"), F.length("name_token"))).alias("sim")))
+    pairs = pairs.select("field", "token", "name_token", (1 - F.col("distance") / F.greatest(F.length("token"), F.length("name_token"))).alias("sim"))
+    pairs = cut_lineage(pairs.unionByName(cut_short(tokens, weighted)).groupBy("field", "token", "name_token").agg(F.max("sim").alias("sim")))
     best_weight = pairs.join(weight, ["field", "name_token"]).groupBy("field", "token").agg(F.max_by("w", "sim").alias("w_token"))
     fields = weight.groupBy("field").agg(F.max("w_max").alias("w_max"))
     tokens = tokens.join(best_weight, ["field", "token"], "left").join(F.broadcast(fields), "field").withColumn("w_token", F.coalesce("w_token", "w_max"))
@@ -140,7 +165,7 @@ def match_values(values: DataFrame, refs: DataFrame) -> DataFrame:
     by_token = by_token.withColumn("alone", alone).where("sure OR alone = 1").select("field", "value", "ref_id", "score")
 
     ranked = by_whole.unionByName(by_token).groupBy("field", "value", "ref_id").agg(F.max("score").alias("score"))
-    ranked = ranked.join(F.broadcast(prior), ["field", "ref_id"], "left")
+    ranked = ranked.join(prior, ["field", "ref_id"], "left")
     order = W.partitionBy("field", "value").orderBy(F.round("score", 6).desc(), F.coalesce("prior", F.lit(0)).desc(), "ref_id")
     best = ranked.withColumn("k", F.row_number().over(order)).where("k = 1").select("field", "value", "ref_id", "score")
 
@@ -150,12 +175,12 @@ def match_values(values: DataFrame, refs: DataFrame) -> DataFrame:
     sets = places.groupBy("field", "value").agg(F.collect_list("at").alias("sets"), F.count("*").alias("m")).where("m > 1")
     apart = F.exists("sets", lambda a: F.exists("sets", lambda b: (F.size(F.array_except(a, b)) > 0) & (F.size(F.array_except(b, a)) > 0)))
     several = sets.where(apart).select("field", "value", F.lit(0).alias("several"))
-    found = exact.unionByName(best).join(several, ["field", "value"], "left")
-    found = found.select("field", "value", F.when((F.col("several") == 0) & (F.col("score") < 9.0), 0).otherwise(F.col("ref_id")).alias("ref_id"), "score")
+    found = best.join(several, ["field", "value"], "left")
+    found = found.select("field", "value", F.when((F.col("several") == 0) & (F.col("score") < EXACT), 0).otherwise(F.col("ref_id")).alias("ref_id"), "score")
     return values.select("field", "value").join(found, ["field", "value"], "left").fillna({"ref_id": 0, "score": 0.0})
 
 
-def canonical_values(lines: DataFrame, refs: DataFrame, key: str = "line_id", fields: tuple[str, ...] = ("origin", "unit", "incoterm")) -> DataFrame:
+def canonical_values(lines: DataFrame, refs: DataFrame, key: str = "line_id", fields: tuple[str, ...] = ("origin", "unit", "incoterm"), knowledge: tuple[str, ...] = ALL) -> DataFrame:
     """(key, field, value, ref_id, score) of every non-blank value of the fields in every row, mapped or 0.
 
     Hot values cost nothing: the values are aggregated before they are matched, and the result joins back by broadcast
@@ -163,7 +188,7 @@ def canonical_values(lines: DataFrame, refs: DataFrame, key: str = "line_id", fi
     """
     cells = lines.select(F.col(key), F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields]))).where("trim(regexp_replace(value, '\\\\s+', ' ')) <> ''")
     values = cut_lineage(cells.groupBy("field", "value").agg(F.count("*").alias("n")))
-    matched = cut_lineage(match_values(values, refs))
+    matched = cut_lineage(match_values(values, refs, knowledge))
     return join_values(cells, matched)
 
 
@@ -178,7 +203,8 @@ def join_values(cells: DataFrame, matched: DataFrame) -> DataFrame:
     return cells.withColumn("salt", F.pmod(F.xxhash64(cells.columns[0]), F.lit(SALTS)).cast("int")).join(salted, ["field", "value", "salt"]).drop("salt")
 
 
-def found(lines: DataFrame, refs: DataFrame) -> DataFrame:
+def found(lines: DataFrame, refs: DataFrame, knowledge: tuple[str, ...] = ALL) -> DataFrame:
     """(line_id, field, ref_id) of the values that are not written exactly like an entry of their field."""
-    own = refs.select("field", F.col("ref_value").alias("value")).distinct()
-    return canonical_values(lines, refs).join(F.broadcast(own), ["field", "value"], "left_anti").select("line_id", "field", "ref_id")
+    own = refs.select("field", F.col("ref_value").alias("value"), F.lit(True).alias("written")).distinct()
+    matched = canonical_values(lines, refs, knowledge=knowledge)
+    return matched.join(counted(own), ["field", "value"], "left_anti").select("line_id", "field", "ref_id")
