@@ -112,8 +112,7 @@ def pair_levels() -> dict[str, Column]:
     """The level of each comparison of a pair, as an index into its levels."""
     fewer = F.least(F.size("words_a"), F.size("words_b"))
     share = F.size(F.array_intersect("words_a", "words_b")) / F.greatest(fewer, F.lit(1))
-    dims = lambda side: F.transform(f"marks_{side}", lambda m: F.substring_index(m, "=", 1))
-    both, same = F.size(F.array_intersect(dims("a"), dims("b"))), F.size(F.array_intersect("marks_a", "marks_b"))
+    both, same = F.size(F.array_intersect("dims_a", "dims_b")), F.size(F.array_intersect("marks_a", "marks_b"))
     far = F.abs(F.col("line_no_a") - F.col("line_no_b"))
     texts = {
         "words": F.when(fewer == 0, "unknown").when(share == 0, "none").when(share < 0.5, "some").when(share < 1, "most").otherwise("all"),
@@ -137,7 +136,8 @@ def compared_pairs(read: DataFrame) -> DataFrame:
     """
     prefixed = lambda p, c: F.when(F.col(c).cast("string") != "", F.concat(F.lit(p), F.col(c).cast("string")))
     keys = F.array_compact(F.concat(F.transform("words", lambda w: F.concat(F.lit("w"), w)), F.array(prefixed("b", "brand"), prefixed("m", "model"), prefixed("g", "gross"), prefixed("n", "net"))))
-    placed = read.withColumn("keys", keys).repartition("consignment_id")
+    dims = F.transform("marks", lambda m: F.substring_index(m, "=", 1))
+    placed = read.withColumns({"keys": keys, "dims": dims}).repartition("consignment_id")
     side = lambda s: placed.select("consignment_id", F.explode("keys").alias("key"), *[F.col(c).alias(f"{c}_{s}") for c in placed.columns if c != "consignment_id"])
     with partitioned_by_part(read.sparkSession):
         joined = side("a").join(side("b").hint("shuffle_hash"), ["consignment_id", "key"]).where((F.col("source_doc_a") < F.col("source_doc_b")) & (F.col("key") == F.get(F.array_intersect("keys_a", "keys_b"), F.lit(0))))
@@ -285,15 +285,22 @@ def still_free(pairs: DataFrame, matches: DataFrame) -> DataFrame:
 def third_party_pairs(matches: DataFrame) -> DataFrame:
     """Candidates that follow from two matches over a third document, for lines that have no partner in each other's.
 
-    Their log-odds are those of both matches being right; they are no more than what the weaker match bears out.
+    Their log-odds are those of both matches being right. Lines that have a partner in every other document, nearly all,
+    are left out by a count before anything else is compared.
     """
     end = lambda x, y, dx: matches.select("consignment_id", F.col(x).alias("line"), F.col(y).alias("hub"), F.col(dx).alias("doc"), "probability")
     ends = end("a", "b", "da").unionByName(end("b", "a", "db"))
-    # a line has one match in each other document, so a hub has two at most: no pairs of a group are made
-    two = ends.groupBy("consignment_id", "hub").agg(F.count("*").alias("n"), F.min(F.struct("doc", "line", "probability")).alias("x"), F.max(F.struct("doc", "line", "probability")).alias("y")).where("n = 2 AND x.doc < y.doc")
-    p = F.least(F.col("x.probability") * F.col("y.probability"), F.lit(1 - 1e-6))
-    found = two.select("consignment_id", F.col("x.line").alias("a"), F.col("y.line").alias("b"), F.col("x.doc").alias("da"), F.col("y.doc").alias("db"), F.log(p / (1 - p)).alias("odds"))
-    return cut_lineage(still_free(found, matches))
+    documents = ends.agg(F.count_distinct("doc")).first()[0]
+    lacking = ends.groupBy("line").agg(F.count("*").alias("n"), F.max("hub").alias("hub"), F.max("doc").alias("doc"), F.max("probability").alias("probability"), F.max("consignment_id").alias("consignment_id"))
+    lacking = lacking.where(F.col("n") < documents - 1)
+    if documents > 3:  # a line may have several hubs; with three documents it has the one above
+        lacking = lacking.select("line").join(ends, "line")
+    # a line has one match in each other document, so a hub has as many ends as there are documents: few
+    x, y = (lacking.select("consignment_id", "hub", *[F.col(c).alias(f"{c}_{side}") for c in ("line", "doc", "probability")]) for side in "xy")
+    p = F.least(F.col("probability_x") * F.col("probability_y"), F.lit(1 - 1e-6))
+    two = x.join(y, ["consignment_id", "hub"]).where("doc_x < doc_y")
+    found = two.select("consignment_id", F.col("line_x").alias("a"), F.col("line_y").alias("b"), F.col("doc_x").alias("da"), F.col("doc_y").alias("db"), F.log(p / (1 - p)).alias("odds"))
+    return cut_lineage(still_free(cut_lineage(found), matches))
 
 
 def assign(beliefs: DataFrame) -> DataFrame:
@@ -310,9 +317,13 @@ def assign(beliefs: DataFrame) -> DataFrame:
     shared = free.where(F.col("belief") < SURE).select("consignment_id", "a", "b", "da", "db", "odds")
     left = still_free(shared, sure) if not shared.isEmpty() else shared
     rest = third_party_pairs(sure).unionByName(left).groupBy("consignment_id", "a", "b", "da", "db").agg(F.max("odds").alias("odds"))
-    again = propagate(rest).where(F.col("odds") >= LEAST_ODDS)
-    matches = cut_lineage(sure.unionByName(best_pairs(again).select(*MATCH)))
-    last = third_party_pairs(matches)
+    again = cut_lineage(best_pairs(propagate(rest).where(F.col("odds") >= LEAST_ODDS)).select(*MATCH))
+    if again.isEmpty():
+        return sure
+    matches = sure.unionByName(again)
+    # what follows from the new matches, with those of their consignments
+    near = cut_lineage(matches.join(again.select("consignment_id").distinct(), "consignment_id", "left_semi"))
+    last = third_party_pairs(near)
     return matches if last.isEmpty() else matches.unionByName(best_pairs(propagate(last).where(F.col("odds") >= LEAST_ODDS)).select(*MATCH))
 
 
