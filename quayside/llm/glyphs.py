@@ -40,18 +40,31 @@ def script_of(ch: str) -> str:
     return next((name for name, pattern in _SCRIPTS if pattern.match(ch)), "Common")
 
 
+#: Capitals of two scripts that are drawn like Latin ones, and letters that are like a Latin one in some hands or
+#: fonts only, which count where the rest of a token is Latin.
+CAPITALS = {
+    "Cherokee": ("ᎪᏴᏟᎠᎬᏀᎻᏆᎫᏦᏞᎷᏢᏒᏚᎢᏙᎳᏃ", "ABCDEGHIJKLMPRSTVWZ"),
+    "Lisu": ("ꓮꓐꓚꓓꓰꓝꓖꓧꓲꓙꓗꓡꓟꓠꓳꓑꓣꓢꓔꓴꓦꓪꓫꓬꓜ", "ABCDEFGHIJKLMNOPRSTUVWXYZ"),
+}
+SIMILAR = dict(zip("гтпмвнкитыуω" + "ρτγηεσ", "rtnmbhkutbyw" + "ptynes"))
+#: Signs drawn like an ordinary one.
+SIGN_TWINS = dict(zip("\u2215\u2216\u2236\u02bc\u02b9\ua789\u2024", "/\\:'':."))
+
+
 def _twins() -> tuple[dict[str, str], dict[tuple[str, str], str]]:
     """Foreign letter -> Latin twin, and (script, Latin letter) -> its twin there."""
-    to_latin: dict[str, str] = {}
+    to_latin: dict[str, str] = {"ρ": "p", "Ү": "Y"}
     to_script: dict[tuple[str, str], str] = {}
-    for name, (letters, plain) in LOOKALIKES.items():
+    for name, (letters, plain) in (LOOKALIKES | CAPITALS).items():
         for a, b in zip(letters, plain):
             to_latin.setdefault(a, b)
             if name != "Latin":
                 to_script.setdefault((script_of(a), b), a)
-    for a, b in (("ρ", "p"), ("Ү", "Y"), ("τ", "t"), ("ω", "w"), ("γ", "y"), ("η", "n"), ("ε", "e"), ("σ", "o"), ("к", "k"), ("т", "t"), ("п", "n"), ("г", "r"), ("м", "m"), ("в", "b"), ("н", "h")):
-        if a in "ρҮ":
-            to_latin.setdefault(a, b)
+    # small capitals have their letter in their name
+    for code in [*range(0x1D00, 0x1D30), 0x0262, 0x026A, 0x0274, 0x0280, 0x028F, 0x0299, 0x029C, 0x029F, 0xA730, 0xA731]:
+        name = unicodedata.name(chr(code), "")
+        if name.startswith("LATIN LETTER SMALL CAPITAL ") and len(name.rsplit(" ", 1)[1]) == 1 and "REVERSED" not in name and "TURNED" not in name:
+            to_latin.setdefault(chr(code), name[-1].lower())
     return to_latin, to_script
 
 
@@ -98,14 +111,17 @@ def judge_token(token: str) -> tuple[str, str]:
     cjk = {"Han", "Hiragana", "Katakana"}
     if used <= cjk:
         return "foreign", token
+    # the script that most letters have which only it has; letters that are alike in two scripts do not vote
     choices = resolved(token)
-    if "Latin" in choices or not choices:
-        # without one script for all, the Latin letters' neighbours still are what they look like
-        majority = max(used, key=lambda s: sum(script_of(c) == s for c in token))
-        if not choices and majority != "Latin":
-            return "mixed", "".join(TO_SCRIPT.get((majority, c), c) for c in token)
-        return "mixed", "".join(TO_LATIN.get(c, c) for c in token)
-    target = sorted(choices)[0]
+    foreign = [c for c in token if script_of(c) not in ("Latin", "Common")]
+    latin = sum(script_of(c) == "Latin" for c in token)
+    readable = all(c in TO_LATIN or c in SIMILAR for c in foreign)
+    if "Latin" in choices or (readable and latin >= sum(c not in TO_LATIN for c in foreign)):
+        return "mixed", "".join(TO_LATIN.get(c, SIMILAR.get(c, c)) for c in token)
+    own = {s: sum(script_of(c) == s and c not in TO_LATIN for c in token) for s in sorted(choices or used)}
+    target = max(own, key=lambda s: own[s])
+    if target == "Latin":
+        return "mixed", "".join(TO_LATIN.get(c, SIMILAR.get(c, c)) for c in token)
     spell = lambda c: c if script_of(c) in (target, "Common") else TO_SCRIPT.get((target, TO_LATIN.get(c, c)), c)
     return "mixed", "".join(map(spell, token))
 
@@ -116,7 +132,6 @@ def normalise(text: str) -> tuple[str, list[str]]:
         return text, []
     kinds: set[str] = set()
     out: list[str] = []
-    last = ""
     for i, ch in enumerate(text):
         if ch.isascii():
             out.append(ch)
@@ -132,6 +147,9 @@ def normalise(text: str) -> tuple[str, list[str]]:
             if not wide:
                 kinds.add("space")
             out.append(" ")
+        elif ch in SIGN_TWINS:
+            kinds.add("sign")
+            out.append(SIGN_TWINS[ch])
         elif ch in _DASHES:
             kinds.add("dash")
             out.append("-")
@@ -140,8 +158,6 @@ def normalise(text: str) -> tuple[str, list[str]]:
             out.append(plain)
         else:
             out.append(ch)
-        last = ch
-    del last
     flat = "".join(out)
     composed = unicodedata.normalize("NFC", flat)
     if composed != flat:
@@ -167,17 +183,16 @@ def normalise(text: str) -> tuple[str, list[str]]:
 @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("kinds", T.ArrayType(T.StringType()))]))
 def _normalise(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        pairs = [normalise(t) for t in batch]
+        pairs = [normalise(t) if t is not None else (None, []) for t in batch]
         yield pd.DataFrame({"text": [p[0] for p in pairs], "kinds": [p[1] for p in pairs]}, index=batch.index)
 
 
 def normalise_texts(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, text in its consistent form, kinds of disguise) of every row; pure ASCII never leaves the JVM."""
     narrow = df.select(F.col(key), F.col(text).alias("text"))
-    plain = F.col("text").isNull() | ~F.col("text").rlike("[^\\x00-\\x7f]")
-    ascii_rows = narrow.where(plain).select(key, "text", F.array().cast("array<string>").alias("kinds"))
-    others = narrow.where(~plain).select(key, _normalise("text").alias("n")).select(key, "n.text", "n.kinds")
-    return ascii_rows.unionByName(others)
+    other = F.when(F.col("text").rlike("[^\\x00-\\x7f]"), F.col("text"))
+    read = narrow.select(key, "text", _normalise.asNondeterministic()(other).alias("n"))
+    return read.select(key, F.coalesce("n.text", "text").alias("text"), "n.kinds")
 
 
 def disguised(df: DataFrame, key: str, text: str) -> DataFrame:

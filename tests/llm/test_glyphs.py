@@ -8,6 +8,7 @@ from quayside.llm.glyphs import disguised, normalise, normalise_texts
 CASES = [
     ("517 рісе", "517 pice", "whole"), ("САЅНЕW КERΝELS", "CASHEW KERNELS", "mixed"), ("kɡ", "kg", "latin_twin"), ("5 \u212a", "5 K", "form"), ("ｓａｔｉｎ １２", "satin 12", "form"), ("𝟷𝟸 kg", "12 kg", "form"),
     ("1\u00a0500", "1 500", "space"), ("1​500", "1500", "invisible"), ("Gönwoka", "Gönwoka", "accent"), ("PVC‑pipe", "PVC-pipe", "dash"), ("ﬁne", "fine", "form"), ("Гoссия Pоссия", "Госсия Россия", "mixed"),
+    ("Gагlic", "Garlic", "mixed"), ("gгain", "grain", "mixed"), ("тotal", "total", "mixed"), ("пet", "net", "mixed"), ("Ꭺpple", "Apple", "mixed"), ("ꓐag", "Bag", "mixed"), ("ᴄotton", "cotton", "latin_twin"), ("12∕40", "12/40", "sign"), ("Ctnʼs", "Ctn's", "sign"),
 ]
 PLAIN = ["", "plain 12", "Gönwoka Sélulque", "Ελλάδα", "УКРАЇНА", "партия 14", "附件见规格", "شحنة جزئية", "मानक नमूना", "10 m² ½ №7 ™ ® ° ± ★", "a\tb   c", "đóng gói", "Việt Nam", "ประเทศไทย"]
 
