@@ -45,13 +45,14 @@ def _compatibility_pairs() -> tuple[str, str]:
 
 
 @lru_cache(maxsize=1)
-def _fold_pairs() -> tuple[str, str]:
+def fold_pairs() -> tuple[str, str]:
+    """What is folded and into what, character by character; what has no counterpart is deleted."""
     source, target = _compatibility_pairs()
     for a, b in LOOKALIKES.values():
         n = min(len(a), len(b))
         source, target = source + a[:n], target + b[:n]
     source, target = source + DASHES + SPACES, target + "-" * len(DASHES) + " " * len(SPACES)
-    return source + INVISIBLE, target  # what has no counterpart is deleted
+    return source + INVISIBLE, target
 
 
 @lru_cache(maxsize=1)
@@ -72,7 +73,7 @@ def _accent_pairs() -> tuple[str, str]:
 
 def fold_lookalikes(text: Column) -> Column:
     """Every look-alike, full-width form and odd space as its ASCII counterpart; zero-width characters removed."""
-    source, target = _fold_pairs()
+    source, target = fold_pairs()
     return F.when(F.octet_length(text) > F.length(text), F.translate(text, source, target)).otherwise(text)
 
 

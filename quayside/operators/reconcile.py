@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quayside.functions.numbers import decimal_lenient
 from quayside.functions.scalars import country_key, shorten, unit_key
 from quayside.schemas import DOC_TYPES, NUMBERS
 
@@ -113,8 +114,8 @@ def presence(matched: DataFrame, keys: list[str]) -> DataFrame:
 def merge_documents(matched: DataFrame, keys: list[str], resolutions: DataFrame | None = None) -> DataFrame:
     """One line per group: the first document's, its blanks filled from the others, resolutions put over them.
 
-    ``resolutions`` has the keys, field and resolved_value; the last by ``rule_ord`` of a field wins. Values are not
-    computed anew from resolved ones.
+    ``resolutions`` has the keys, field and resolved_value; the last by ``rule_ord`` of a field wins. Numbers
+    are read leniently, as everywhere; values are not computed anew from resolved ones.
     """
     base = F.coalesce(*[F.col(d) for d in DOC_TYPES])
     filled = {f: F.coalesce(*[F.nullif(F.col(f"{d}.{f}"), F.lit(0) if f in NUMBERS else F.lit("")) for d in DOC_TYPES], F.lit(0) if f in NUMBERS else F.lit("")) for f in MERGED}
@@ -128,7 +129,8 @@ def merge_documents(matched: DataFrame, keys: list[str], resolutions: DataFrame
     order = F.col("rule_ord") if "rule_ord" in resolutions.columns else F.lit(0)
     last = resolutions.where("resolved_value IS NOT NULL").groupBy(*keys).agg(*[F.max_by(F.when(F.col("field") == f, F.col("resolved_value")), F.when(F.col("field") == f, order)).alias(f"new_{f}") for f in MERGED])
     joined = merged.join(last, keys, "left")
-    new = {f: F.coalesce(F.col(f"new_{f}").try_cast("decimal(18,4)") if f in NUMBERS else F.col(f"new_{f}"), F.col(f)) for f in MERGED}
+    read = lambda f: F.when(F.col(f"new_{f}").isNotNull(), decimal_lenient(F.col(f"new_{f}"))) if f in NUMBERS else F.col(f"new_{f}")
+    new = {f: F.coalesce(read(f), F.col(f)) for f in MERGED}
     return joined.withColumns(new).drop(*[f"new_{f}" for f in MERGED])
 
 

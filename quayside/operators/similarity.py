@@ -24,13 +24,15 @@ def token_weights(lines: DataFrame, keys: list[str]) -> DataFrame:
 def weighted_jaccard(pairs: DataFrame, left: DataFrame, right: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:
     """``pairs`` (keys, a, b) with the weighted Jaccard similarity of their descriptions, 0 where either has no token.
 
-    Token rows join on the pair, so a pair costs its tokens, not the square of the pool.
+    Token rows join on the pair, each with its weight once, so a pair costs its tokens, not the square of the pool.
     """
-    tokens = lambda df, side: df.select(F.col("line_id").alias(side), F.explode(description_tokens(F.col("description"))).alias("token"))
-    weighed = lambda side, df: pairs.join(tokens(df, side), side).join(weights.select(*keys, "token", "weight"), [*keys, "token"])
-    mass = lambda side, df: weighed(side, df).groupBy("a", "b").agg(F.sum("weight").alias(f"mass_{side}"))
-    shared = weighed("a", left).join(tokens(right, "b"), ["b", "token"]).groupBy("a", "b").agg(F.sum("weight").alias("shared"))
-    joined = pairs.join(mass("a", left), ["a", "b"], "left").join(mass("b", right), ["a", "b"], "left").join(shared, ["a", "b"], "left").fillna(0.0, ["mass_a", "mass_b", "shared"])
+    tokens = lambda df, side: df.select(F.col("line_id").alias("line"), F.lit(side).alias("side"), F.explode(description_tokens(F.col("description"))).alias("token"))
+    sides = F.inline(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("line")) for s in "ab"]))
+    each = pairs.select(*keys, "a", "b", sides).join(tokens(left, "a").unionByName(tokens(right, "b")), ["line", "side"]).join(weights.select(*keys, "token", "weight"), [*keys, "token"])
+    one = each.groupBy(*keys, "a", "b", "token").agg(F.max("weight").alias("weight"), F.max(F.col("side") == "a").alias("in_a"), F.max(F.col("side") == "b").alias("in_b"))
+    mass = lambda name, holds: F.coalesce(F.sum(F.when(holds, F.col("weight"))), F.lit(0.0)).alias(name)
+    sums = one.groupBy(*keys, "a", "b").agg(mass("mass_a", F.col("in_a")), mass("mass_b", F.col("in_b")), mass("shared", F.col("in_a") & F.col("in_b")))
+    joined = pairs.join(sums, [*keys, "a", "b"], "left").fillna(0.0, ["mass_a", "mass_b", "shared"])
     union = F.col("mass_a") + F.col("mass_b") - F.col("shared")
     return joined.select(*keys, "a", "b", F.round(F.when((F.col("mass_a") > 0) & (F.col("mass_b") > 0), F.col("shared") / union).otherwise(0.0), 6).alias("similarity"))
 

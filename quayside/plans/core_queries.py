@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from quayside.functions import scalars as S
 from quayside.functions.numbers import decimal_lenient, parse_status, printed_number
+from quayside.functions.text import fold_pairs
 from quayside.operators import assignment, citations, coerce, reconcile, similarity, tariff, windows
 from quayside.plans import pipeline
 from quayside.schemas import DOC_TYPES, INCOTERMS, NUMBERS
@@ -137,7 +138,24 @@ def citations_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return citations.verify_citations(lines, pages, ["consignment_id", "source_doc"], citations.plain_text).select("line_id", "verified", "page")
 
 
-@query()
+def _folded(column: str) -> str:
+    """The SQL of the folded form: characters replaced, white space collapsed, lower case."""
+    source, target = (x.replace("'", "''") for x in fold_pairs())
+    plain = f"translate(coalesce({column}, ''), '{source}', '{target}')"
+    quotes = f"translate({plain}, '\u2018\u2019\u201a\u201b\u201c\u201d\u201e\u201f\u2032\u2033', '\'\'\'\'\'\'\'\'\"\"\"\"\'\'\"')"
+    return f"lower(trim(regexp_replace({quotes}, '[\\s\\x{{0B}}\\x{{85}}\\x{{2028}}\\x{{2029}}]+', ' ', 'g')))"
+
+
+@query(f"""WITH l AS (SELECT line_id, consignment_id, source_doc, greatest(1, coalesce(page, 1)) AS cited, {_folded('quote')} AS q FROM line_items),
+p AS (SELECT consignment_id, source_doc, page AS pg, {_folded('text')} AS body FROM doc_pages),
+t AS (SELECT consignment_id, source_doc, bool_or(length(body) > 0) AS has_text FROM p GROUP BY 1, 2),
+h AS (SELECT l.line_id, p.pg, abs(p.pg - l.cited) AS far FROM l JOIN p USING (consignment_id, source_doc) WHERE length(l.q) >= 8 AND contains(p.body, l.q)),
+n AS (SELECT line_id, arg_min(pg, (far, pg)) FILTER (WHERE far <= 2) AS found, min(pg) AS elsewhere FROM h GROUP BY 1)
+SELECT l.line_id, n.found IS NOT NULL AS verified, coalesce(n.found, l.cited) AS page, CASE WHEN length(l.q) < 8 THEN 'too short to be checked'
+  WHEN NOT coalesce(t.has_text, false) THEN 'document without text, quote not checked' WHEN n.found = l.cited THEN 'on the cited page'
+  WHEN n.found IS NOT NULL THEN 'page corrected from ' || l.cited || ' to ' || n.found WHEN n.elsewhere IS NOT NULL THEN 'only on page ' || n.elsewhere || ', too far from page ' || l.cited
+  ELSE 'nowhere near page ' || l.cited END AS verify_note
+FROM l LEFT JOIN n USING (line_id) LEFT JOIN t ON t.consignment_id = l.consignment_id AND t.source_doc = l.source_doc""")
 def citations_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines, pages = read_table(spark, sf_dir, "line_items"), read_table(spark, sf_dir, "doc_pages")
     return citations.verify_citations(lines, pages, ["consignment_id", "source_doc"]).select("line_id", "verified", "page", "verify_note")
@@ -254,7 +272,46 @@ def document_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("consignment_id", "line_no", "rule_ord", "field", "severity")
 
 
-@query()
+def _notes_sql() -> str:
+    """The differences with their label, note and values, put together as text."""
+    labels, documents = reconcile.LABELS, list(DOC_TYPES)
+    joined = lambda parts, mark: f"array_to_string(list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL), '{mark}')"
+    columns, rows = [], []
+    for d in documents:
+        columns.append(f"CASE WHEN {d}.line_id IS NULL THEN 'no' ELSE 'yes' END AS has_{d}")
+    listed = "'{' || " + joined([f"""'"{d}":"' || has_{d} || '"'""" for d in documents], ",") + " || '}'"
+    rows += [f"SELECT consignment_id, line_no, 'presence' AS field, '{labels[d]}' AS missing, 'not on the {labels[d]}' AS note, {listed} AS vals FROM m WHERE has_{d} = 'no'" for d in documents]
+
+    def says(shown: str, stated: str) -> tuple[str, str]:
+        text = [f"CASE WHEN {stated.format(d=d)} THEN '{labels[d]} says ' || {shown.format(d=d)} END" for d in documents]
+        pairs = [f"""CASE WHEN {stated.format(d=d)} THEN '"{d}":' || to_json({shown.format(d=d)}) END""" for d in documents]
+        return joined(text, "; ") + " || '.'", "'{' || " + joined(pairs, ",") + " || '}'"
+
+    for f in ("unit", "currency", "origin"):
+        note, values = says("{d}." + f, "trim(coalesce({d}." + f + ", '')) <> ''")
+        columns += [f"{note} AS note_{f}", f"{values} AS vals_{f}"]
+        rows.append(f"SELECT consignment_id, line_no, '{f}', NULL, note_{f}, vals_{f} FROM m")
+    for n in NUMBERS:
+        note, values = says("{d}." + n + "_raw", "coalesce({d}." + n + ", 0) <> 0")
+        stated = f"list_filter({_list('{d}.' + n)}, lambda x: x IS NOT NULL AND x <> 0)"
+        if n.endswith("_kg"):
+            spread = f"CAST((list_max({stated}) - list_min({stated})) AS DOUBLE) * 100 / CAST(nullif(list_max({stated}), 0) AS DOUBLE)"
+            note = f"{note} || ' Spread ' || CAST(CAST(round_even({spread}, 2) AS DECIMAL(18,2)) AS VARCHAR) || '%.'"
+        columns += [f"{note} AS note_{n}", f"{values} AS vals_{n}"]
+        rows.append(f"SELECT consignment_id, line_no, '{n}', NULL, note_{n}, vals_{n} FROM m")
+    flat = "trim(regexp_replace(coalesce(" + ", ".join(f"{d}.description" for d in documents) + r"), '\s+', ' ', 'g'))"
+    short = rf"CASE WHEN length({flat}) <= 60 THEN {flat} ELSE trim(regexp_extract({flat} || ' ', '^(.{{0,59}})(?:\s|$)', 1)) || '…' END"
+    typed = _TYPED.replace(NUMBER.format(c=NUMBERS[0]) + f" AS {NUMBERS[0]}", ", ".join(f"trim(coalesce({n}, '')) AS {n}_raw" for n in NUMBERS) + ", " + NUMBER.format(c=NUMBERS[0]) + f" AS {NUMBERS[0]}", 1)
+    differences = _differences_sql()
+    return (
+        f"WITH d AS ({differences}), n AS (WITH {typed}, m AS (SELECT k.consignment_id, k.line_no, {', '.join(columns)} FROM k {_SIDES}) {' UNION ALL '.join(rows)}), "
+        f"s AS (WITH {typed} SELECT k.consignment_id, k.line_no, 'Line ' || k.line_no || ' (' || {short} || ')' AS label FROM k {_SIDES}) "
+        "SELECT d.consignment_id, d.line_no, d.rule_ord, d.field, d.severity, s.label, n.note, n.vals AS \"values\" FROM d JOIN s USING (consignment_id, line_no) JOIN n ON n.consignment_id = d.consignment_id AND n.line_no = d.line_no AND n.field = d.field "
+        f"AND (d.field <> 'presence' OR n.missing = CASE d.rule_ord {' '.join(f'WHEN {k} THEN ' + repr(labels[d]) for k, d in enumerate(documents))} END)"
+    )
+
+
+@query(_notes_sql())
 def document_difference_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = reconcile.compare_documents(_matched(spark, sf_dir), ["consignment_id", "line_no"])
     return found.withColumn("values", F.to_json("values"))
@@ -280,6 +337,20 @@ def merged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("consignment_id", "line_no", *reconcile.MERGED, "source_doc", "description")
 
 
+@query(f"""WITH d AS ({_differences_sql()}), r AS (SELECT DISTINCT consignment_id, line_no, field FROM d WHERE field IN ('quantity', 'unit')),
+g AS (WITH {_TYPED} SELECT k.consignment_id, k.line_no, {_merged_sql('quantity')}, {_merged_sql('unit')}, {_merged_sql('value')} FROM k {_SIDES})
+SELECT g.consignment_id, g.line_no, CASE WHEN q.field IS NULL THEN g.quantity ELSE 1250.5 END AS quantity, CASE WHEN u.field IS NULL THEN g.unit ELSE 'CTN' END AS unit, g.value
+FROM g LEFT JOIN r q ON q.consignment_id = g.consignment_id AND q.line_no = g.line_no AND q.field = 'quantity' LEFT JOIN r u ON u.consignment_id = g.consignment_id AND u.line_no = g.line_no AND u.field = 'unit'""")
+def resolved_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merged lines in which every difference of quantity and unit was settled by one printed answer, the last given."""
+    keys = ["consignment_id", "line_no"]
+    matched = _matched(spark, sf_dir)
+    asked = reconcile.compare_documents(matched, keys).where("field IN ('quantity', 'unit')").select(*keys, "field")
+    answers = F.explode(F.array(F.struct(F.lit(1).alias("rule_ord"), F.lit("first answer").alias("resolved_value")), F.struct(F.lit(2).alias("rule_ord"), F.when(F.col("field") == "unit", "CTN").otherwise("1,250.50").alias("resolved_value"))))
+    resolutions = asked.select(*keys, "field", answers.alias("r")).select(*keys, "field", "r.*")
+    return reconcile.merge_documents(matched, keys, resolutions).select(*keys, "quantity", "unit", "value")
+
+
 @query("""WITH d AS (SELECT DISTINCT consignment_id, line_no, trim(quantity) AS quantity, source_doc,
    CASE source_doc WHEN 'invoice' THEN 1 WHEN 'packing_list' THEN 2 WHEN 'bill_of_lading' THEN 3 ELSE 0 END AS r FROM line_items WHERE trim(quantity) <> '')
 SELECT consignment_id, line_no, quantity, string_agg(source_doc, ',' ORDER BY r) AS docs FROM d GROUP BY ALL""")
@@ -364,6 +435,34 @@ def tariff_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.drop("ord")
 
 
+#: A printed page with every kind of row: deleted and single headings, wrapped text, rejected lines, the concessions at the end.
+HARD_CELLS = (
+    (1, 1, "PCT CODE", "DESCRIPTION", "CD %"), (1, 2, "01.05", "Live poultry", ""), (1, 3, "", "- Of a weight not exceeding 185 g", ""), (1, 4, "", "- - Fowls", ""), (1, 5, "0105.1100", "- - - Day old chicks", "3"),
+    (1, 6, "", "(1) of breeding stock", ""), (1, 7, "", "- Other", ""), (1, 8, "0105.9400", "- - Fowls of the species", "5"), (1, 9, "0105.9900", "- - Other birds", ""), (1, 10, "", "as listed", ""),
+    (1, 11, "0105.9910", "- - Rare birds", "Rs. 105 50/ MT"), (1, 12, "0105.9920", "- - Odd birds", "free"), (2, 1, "[05.03]", "Deleted", ""), (2, 2, "0205.0000", "Meat of horses", "20"), (2, 3, "11.02", "Flour", ""),
+    (2, 4, "1103.1100", "- Groats", "5"), (2, 5, "`", "", "7"), (2, 6, "", "II.- INORGANIC ACIDS", ""), (2, 7, "1102.2000", "- Maize flour", "10"), (2, 8, "9901", "Concession", "0"), (2, 9, "", "dropped after the concession", ""), (2, 10, "1102.9000", "- Other flour", "1 1"),
+)
+
+
+@query("""SELECT * FROM (VALUES ('0105.1100', 'Live poultry > Of a weight not exceeding 185 g > Fowls > Day old chicks (1) of breeding stock', '3', ''), ('0105.9400', 'Live poultry > Other > Fowls of the species', '5', ''),
+('0105.9910', 'Live poultry > Other as listed > Rare birds', '', 'Rs. 10550/MT'), ('0205.0000', 'Meat of horses', '20', ''), ('1102.2000', 'Flour > Maize flour', '10', ''), ('1102.9000', 'Flour > Other flour', '11', ''),
+('0105.9900', 'line without rate', NULL, NULL), ('0105.9920', 'unreadable rate', NULL, NULL), ('1103.1100', 'line outside its heading', NULL, NULL), ('`', 'rate without code', NULL, NULL), ('9901', 'concession entry', NULL, NULL)) AS t(code, text, cd_rate, specific_duty_text)""")
+def tariff_hard_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accepted rows with their path and rates, rejected ones with the reason."""
+    rows, rejected = tariff.parse_cells(spark.createDataFrame(list(HARD_CELLS), "page int, row_no int, code string, descr string, rate string"))
+    nothing = F.lit(None).cast("string")
+    return rows.select(F.col("pct_code").alias("code"), F.col("description").alias("text"), "cd_rate", "specific_duty_text").unionByName(rejected.select("code", F.col("reject").alias("text"), nothing.alias("cd_rate"), nothing.alias("specific_duty_text")))
+
+
+@query(r"""WITH f AS (SELECT line_id, line_no, trim(regexp_replace(coalesce(description, ''), '\s+', ' ', 'g')) AS flat FROM line_items)
+SELECT line_id, line_no, 'quantity' AS field, CASE WHEN length(flat) <= 60 THEN flat ELSE trim(regexp_extract(flat || ' ', '^(.{0,59})(?:\s|$)', 1)) || '…' END AS short FROM f""")
+def field_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of fields taken apart again, and descriptions shortened for them."""
+    lines = read_table(spark, sf_dir, "line_items")
+    name = S.split_field(F.concat(F.lit("line_"), F.coalesce(F.col("line_no").cast("string"), F.lit("")), F.lit(".quantity")))
+    return lines.select("line_id", name.alias("n"), S.shorten(F.col("description")).alias("short")).select("line_id", "n.line_no", "n.field", "short")
+
+
 # ---- totals and shares
 
 def _share(charge: str, weight: str, whole: str) -> str:
