@@ -74,7 +74,8 @@ def domain_posteriors(documents: DataFrame, classes: list[str]) -> DataFrame:
     sums = join_counted(each, "word", gains, "doc_id").groupBy("doc_id").agg(F.count("*").alias("length"), *[F.sum(F.coalesce(f"g{c}", F.lit(0.0))).alias(f"g{c}") for c in range(k)])
     prior = [float(np.log((docs.get(c, 0) + 1) / (sum(docs.values()) + k))) for c in range(k)]
     evidence = F.array(*[F.coalesce(F.col(f"g{c}"), F.lit(0.0)) + F.coalesce("length", F.lit(0)) * float(np.log(unseen[c])) for c in range(k)])
-    scored = cut_lineage(parts.where("scored").select("doc_id", index.alias("class")).join(sums, "doc_id", "left").select("doc_id", "class", evidence.alias("evidence")))
+    # few bytes but much work: a stated number of partitions is not coalesced
+    scored = cut_lineage(parts.where("scored").select("doc_id", index.alias("class")).join(sums, "doc_id", "left").select("doc_id", "class", evidence.alias("evidence")).repartition(documents.sparkSession.sparkContext.defaultParallelism))
 
     def posterior(temperature: float) -> Column:
         score = F.zip_with("evidence", F.array(*[F.lit(p) for p in prior]), lambda e, p: e / temperature + p)
