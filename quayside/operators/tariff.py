@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quayside.functions.scalars import candidate_words, dash_depth, own_text, rate_kind, specific_text, tariff_code, undashed
+from quayside.session import cut_lineage
 
 
 def classify_cells(cells: DataFrame) -> DataFrame:
@@ -110,6 +111,17 @@ def summarise(tariff: DataFrame, rejected: DataFrame | None = None) -> DataFrame
     return out if rejected is None else out.crossJoin(rejected.agg(F.count("*").alias("n_rejected")))
 
 
+def build(cells: DataFrame, folder: str) -> DataFrame:
+    """Write the tariff of printed cells to ``folder``: the table, and the report of what was left out; the summary is returned.
+
+    ``table`` holds the accepted rows in their order, ``report`` the rejected ones with page, code and reason.
+    """
+    rows, rejected = (cut_lineage(df) for df in parse_cells(cells))
+    rows.orderBy("ord").coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/table")  # one bounded table
+    rejected.orderBy("page", "row_no").coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/report")
+    return summarise(rows, rejected)
+
+
 def lookup(rows: DataFrame, code: str, tariff: DataFrame) -> DataFrame:
     """``rows`` with the tariff row of their code in any spelling; nulls where there is none. The last of twins wins."""
     columns = [c for c in tariff.columns if c not in ("pct_code", "ord")]

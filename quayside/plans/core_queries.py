@@ -11,7 +11,7 @@ from quayside.functions.numbers import decimal_lenient, parse_status, printed_nu
 from quayside.functions.text import fold_pairs
 from quayside.operators import assignment, citations, coerce, reconcile, similarity, tariff, windows
 from quayside.plans import pipeline
-from quayside.schemas import DOC_TYPES, INCOTERMS, NUMBERS
+from quayside.schemas import DOC_TYPES, INCOTERMS, NUMBERS, RAW_LINE
 from quayside.sources.files import consignments_json, keyed, read_table
 
 QUERIES: dict = {}
@@ -161,6 +161,25 @@ def citations_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return citations.verify_citations(lines, pages, ["consignment_id", "source_doc"]).select("line_id", "verified", "page", "verify_note")
 
 
+def _printed_rows(kind: str, page: int, text: str) -> list[dict]:
+    """A stand-in for a model: every printed row of a page is a line."""
+    return [{"description": row.strip(), "quote": row.strip()} for row in text.split("\n") if len(row.strip()) >= 8]
+
+
+@query(f"""WITH r AS (SELECT consignment_id AS doc_id, source_doc, page, unnest(string_split(text, chr(10))) AS row FROM (SELECT consignment_id, source_doc, page, max(text) AS text FROM doc_pages WHERE trim(text) <> '' GROUP BY ALL)),
+q AS (SELECT doc_id, source_doc, {_folded('substring(trim(row), 1, 800)')} AS q FROM r WHERE length(trim(row)) >= 8)
+SELECT doc_id, source_doc, count(DISTINCT q) AS n_lines, count(DISTINCT q) AS n_verified FROM q GROUP BY ALL""")
+def composed_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cache, extractor, coercion, citation check and first quotes in one plan; a third of the documents come from the cache."""
+    pages = read_table(spark, sf_dir, "doc_pages").where("trim(text) <> ''").groupBy("consignment_id", "source_doc", "page").agg(F.max("text").alias("text"))
+    pages = pages.select(F.col("consignment_id").alias("doc_id"), F.col("source_doc").alias("doc_type"), F.sha2(F.concat_ws("/", "consignment_id", "source_doc"), 256).alias("sha256"), "page", "text")
+    rows = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: F.length(x) >= 8)
+    line = lambda x: F.struct(*[(x if f.name in ("description", "quote") else F.col("page").cast("string") if f.name == "page" else F.lit(None).cast("string")).alias(f.name) for f in RAW_LINE])
+    held = pages.where(F.pmod(F.xxhash64("sha256"), F.lit(3)) == 0).groupBy("sha256", "doc_type").agg(F.flatten(F.collect_list(F.transform(rows, line))).alias("lines"))
+    found = pipeline.extracted(pages, held.withColumn("created", F.lit("now")), _printed_rows)
+    return found.groupBy("doc_id", "source_doc").agg(F.count("*").alias("n_lines"), F.count_if("verified").alias("n_verified"))
+
+
 @query("""WITH k AS (SELECT line_id, consignment_id, source_doc, page, line_no, lower(trim(regexp_replace(coalesce(quote, ''), '\\s+', ' ', 'g'))) AS q FROM line_items),
 f AS (SELECT *, row_number() OVER (PARTITION BY consignment_id, source_doc, q ORDER BY line_id) AS k FROM k)
 SELECT line_id, CAST(row_number() OVER (PARTITION BY consignment_id, source_doc ORDER BY line_id) AS INTEGER) AS n FROM f WHERE k = 1 OR q = ''""")
@@ -210,6 +229,16 @@ def weighted_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.weighted_jaccard(_line_pairs(lines), lines, lines, weights, ["consignment_id"])
 
 
+@query()
+def line_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similarity of the descriptions of invoice and packing list lines of one number: weighted tokens and sequence ratio."""
+    lines = read_table(spark, sf_dir, "line_items")
+    pairs = similarity.weighted_jaccard(_line_pairs(lines), lines, lines, similarity.token_weights(lines, ["consignment_id"]), ["consignment_id"])
+    tokens = lambda side: lines.select(F.col("line_id").alias(side), S.description_tokens(F.col("description")).alias(f"tokens_{side}"))
+    both = pairs.join(tokens("a"), "a").join(tokens("b"), "b")
+    return both.select("consignment_id", "a", "b", similarity.description_similarity(F.col("tokens_a"), F.col("tokens_b"), F.col("similarity")).alias("similarity"))
+
+
 @query("""SELECT line_id, percent_rank() OVER (PARTITION BY consignment_id, source_doc ORDER BY line_no, line_id) AS position,
        CAST(row_number() OVER (PARTITION BY consignment_id, source_doc ORDER BY line_no, line_id) AS INTEGER) AS n FROM line_items""")
 def line_positions(spark: SparkSession, sf_dir: str) -> DataFrame:

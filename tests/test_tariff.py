@@ -67,3 +67,11 @@ def test_search(spark):
     codes = lambda text: [r["pct_code"] for r in tariff.search(table, text).collect()]
     assert codes("areca nuts") == ["0802.8000", "0801.1000"] and codes("0804.50") == ["0804.5010"] and codes("08") == ["0804.5010", "0801.1000", "0802.8000"]
     assert codes("") == codes("...") == codes("nothing here") == []
+
+
+def test_build_writes_table_and_report(spark, tmp_path):
+    cells = spark.createDataFrame(CELLS, "page int, row_no int, code string, descr string, rate string")
+    (summary,) = tariff.build(cells, str(tmp_path)).collect()
+    table, report = (spark.read.option("header", True).csv(f"{tmp_path}/{name}") for name in ("table", "report"))
+    assert summary["n_rows"] == table.count() == 6 and summary["n_rejected"] == report.count() == 5
+    assert "concession entry" in {r["reject"] for r in report.collect()}
