@@ -30,8 +30,9 @@ from pyspark.sql import Window as W
 from quayside.functions.numbers import printed_number
 from quayside.functions.text import fold_lookalikes
 from quayside.llm.listings import MARK
-from quayside.llm.phrases import find_phrases, mine_brands, mine_phrases, words_in
+from quayside.llm.phrases import find_brands, mine_brands, mine_phrases, words_in
 from quayside.llm.products import described, originals, read_listings
+from quayside.operators.units import staged
 from quayside.schemas import DOC_TYPES
 from quayside.session import cut_lineage
 
@@ -78,8 +79,9 @@ def read_lines(lines: DataFrame, lexicon: dict[str, dict[str, str]] | None = Non
     )
     read = read_listings(stated, lexicon)
     invoices = read.where("source_doc = 'invoice'")
-    found = find_phrases(read, mine_phrases(invoices, mine_brands(invoices)))
-    telling = F.array_distinct(F.filter(words_in("words"), lambda w: (F.length(w) > 1) & ~w.rlike("^[0-9]")))
+    brands = cut_lineage(mine_brands(invoices))
+    found = find_brands(read, mine_phrases(invoices, brands), brands)
+    telling = F.array_distinct(F.filter(words_in("words"), lambda w: (F.length(w) > 1) & ~F.left(w, F.lit(1)).between("0", "9")))
     marks = F.filter(F.split("marks", MARK), lambda m: m != "")
     return found.select("line_id", "consignment_id", "source_doc", "line_no", "brand", "model", marks.alias("marks"), telling.alias("words"), "gross", "net", "quantity")
 
@@ -96,36 +98,51 @@ def partitioned_by_part(spark: SparkSession):
         spark.conf.set(name, before)
 
 
+def _first(name: str, *cases: tuple[Column, str], other: str) -> Column:
+    """The number of the first level of a comparison whose condition holds."""
+    number = list(LEVELS[name]).index
+    level = F.lit(number(other))
+    for condition, text in reversed(cases):
+        level = F.when(condition, number(text)).otherwise(level)
+    return level
+
+
 def _agreement(name: str) -> Column:
     """The level of a comparison of two figures."""
     a, b = F.col(f"{name}_a"), F.col(f"{name}_b")
-    apart = F.abs(a - b) / F.greatest(a, b)
-    return F.when(a.isNull() | b.isNull(), "unknown").when(a == b, "same").when(apart <= 0.03, "near").otherwise("differs")
+    return _first(name, (a.isNull() | b.isNull(), "unknown"), (a == b, "same"), (F.abs(a - b) <= F.greatest(a, b) * 0.03, "near"), other="differs")
 
 
-def _worded(name: str) -> Column:
-    a, b = F.col(f"{name}_a"), F.col(f"{name}_b")
-    return F.when((a == "") | (b == ""), "unknown").when(a == b, "same").otherwise("differs")
-
-
-def pair_levels() -> dict[str, Column]:
-    """The level of each comparison of a pair, as an index into its levels."""
-    fewer = F.least(F.size("words_a"), F.size("words_b"))
-    share = F.size(F.array_intersect("words_a", "words_b")) / F.greatest(fewer, F.lit(1))
-    both, same = F.size(F.array_intersect("dims_a", "dims_b")), F.size(F.array_intersect("marks_a", "marks_b"))
-    far = F.abs(F.col("line_no_a") - F.col("line_no_b"))
-    texts = {
-        "words": F.when(fewer == 0, "unknown").when(share == 0, "none").when(share < 0.5, "some").when(share < 1, "most").otherwise("all"),
-        "brand": _worded("brand"),
-        "model": _worded("model"),
-        "marks": F.when(both == 0, "none").when(same == 0, "differs").when(both > same, "mixed").when(same == 1, "one").when(same == 2, "two").otherwise("more"),
+def _equality(name: str, blank: Column) -> Column:
+    return _first(name, (blank, "unknown"), (F.col(f"{name}_a") == F.col(f"{name}_b"), "same"), other="differs")
+
+
+def pair_counts() -> dict[str, Column]:
+    """What the levels of a pair are read from."""
+    return {
+        "fewer": F.least(F.size("words_a"), F.size("words_b")), "shared": F.size(F.array_intersect("words_a", "words_b")), "both": F.size(F.array_intersect("dims_a", "dims_b")),
+        "same": F.size(F.array_intersect("marks_a", "marks_b")), "far": F.abs(F.col("line_no_a") - F.col("line_no_b")),
+    }
+
+
+def pair_pattern() -> Column:
+    """The levels of all comparisons of a pair as one number."""
+    fewer, shared, both, same, far = (F.col(c) for c in pair_counts())
+    blank = lambda name: (F.col(f"{name}_a") == "") | (F.col(f"{name}_b") == "")
+    levels = {
+        "words": _first("words", (fewer == 0, "unknown"), (shared == 0, "none"), (shared * 2 < fewer, "some"), (shared < fewer, "most"), other="all"),
+        "brand": _equality("brand", blank("brand")),
+        "model": _equality("model", blank("model")),
+        "marks": _first("marks", (both == 0, "none"), (same == 0, "differs"), (both > same, "mixed"), (same == 1, "one"), (same == 2, "two"), other="more"),
         "gross": _agreement("gross"),
         "net": _agreement("net"),
-        "quantity": F.when(F.col("quantity_a").isNull() | F.col("quantity_b").isNull(), "unknown").when(F.col("quantity_a") == F.col("quantity_b"), "same").otherwise("differs"),
-        "place": F.when(far.isNull(), "unknown").when(far == 0, "same").when(far <= 2, "near").otherwise("far"),
+        "quantity": _equality("quantity", F.col("quantity_a").isNull() | F.col("quantity_b").isNull()),
+        "place": _first("place", (far.isNull(), "unknown"), (far == 0, "same"), (far <= 2, "near"), other="far"),
     }
-    index = lambda name: F.create_map(*[F.lit(x) for k, level in enumerate(LEVELS[name]) for x in (level, k)])
-    return {name: F.element_at(index(name), text) for name, text in texts.items()}
+    pattern = F.lit(0)
+    for name in LEVELS:
+        pattern = pattern * len(LEVELS[name]) + levels[name]
+    return pattern
 
 
 def compared_pairs(read: DataFrame) -> DataFrame:
@@ -136,18 +153,19 @@ def compared_pairs(read: DataFrame) -> DataFrame:
     """
     prefixed = lambda p, c: F.when(F.col(c).cast("string") != "", F.concat(F.lit(p), F.col(c).cast("string")))
     keys = F.array_compact(F.concat(F.transform("words", lambda w: F.concat(F.lit("w"), w)), F.array(prefixed("b", "brand"), prefixed("m", "model"), prefixed("g", "gross"), prefixed("n", "net"))))
+    keys = F.array_distinct(F.transform(keys, lambda k: F.xxhash64(k)))  # two keys with one digest make a candidate, no match
     dims = F.transform("marks", lambda m: F.substring_index(m, "=", 1))
     placed = read.withColumns({"keys": keys, "dims": dims}).repartition("consignment_id")
     side = lambda s: placed.select("consignment_id", F.explode("keys").alias("key"), *[F.col(c).alias(f"{c}_{s}") for c in placed.columns if c != "consignment_id"])
     with partitioned_by_part(read.sparkSession):
         joined = side("a").join(side("b").hint("shuffle_hash"), ["consignment_id", "key"]).where((F.col("source_doc_a") < F.col("source_doc_b")) & (F.col("key") == F.get(F.array_intersect("keys_a", "keys_b"), F.lit(0))))
-        pattern = F.lit(0)
-        for name, level in pair_levels().items():
-            pattern = pattern * len(LEVELS[name]) + level
         known = F.array(*[F.lit(d) for d in sorted(DOC_TYPES)])
         number = lambda c: F.array_position(known, F.col(c)).cast("int")
         doc = lambda s: F.when(number(f"source_doc_{s}") > 0, number(f"source_doc_{s}")).otherwise(F.hash(f"source_doc_{s}"))
-        return cut_lineage(joined.select(F.xxhash64("consignment_id").alias("consignment_id"), F.col("line_id_a").alias("a"), F.col("line_id_b").alias("b"), doc("a").alias("da"), doc("b").alias("db"), pattern.alias("pattern")))
+        stated = ["quantity", "gross", "net", "brand", "model"]
+        sides = [F.col(f"{c}_{x}") for c in stated for x in "ab"]
+        pairs = staged(joined, F.xxhash64("consignment_id").alias("consignment_id"), F.col("line_id_a").alias("a"), F.col("line_id_b").alias("b"), doc("a").alias("da"), doc("b").alias("db"), *sides, *[c.alias(n) for n, c in pair_counts().items()])
+        return cut_lineage(pairs.select("consignment_id", "a", "b", "da", "db", pair_pattern().alias("pattern")))
 
 
 def _digits(patterns: np.ndarray) -> dict[str, np.ndarray]:

@@ -89,6 +89,22 @@ def find_phrases(read: DataFrame, phrases: DataFrame) -> DataFrame:
     return out.withColumns({"brand": F.array_join("hits", " "), "model": F.coalesce(F.array_min(words_in("models")), F.lit("")), "words": F.array_join(left, " "), "name": named(left)}).drop("hits", "rest", "models")
 
 
+#: Up to so many brands are looked up among the words of a row by their hash; more are found by the automaton.
+FEW_BRANDS = 500
+
+
+def find_brands(read: DataFrame, phrases: DataFrame, brands: DataFrame) -> DataFrame:
+    """``read`` as ``find_phrases`` gives it, without Python where the brands are few: a brand is one word of the rest."""
+    few = [r["brand"] for r in brands.select("brand").limit(FEW_BRANDS + 1).collect()]
+    if len(few) > FEW_BRANDS:
+        return find_phrases(read, phrases)
+    known = F.array(*[F.lit(b) for b in sorted(few)]) if few else F.array().cast("array<string>")
+    split = read.withColumn("split", words_in("rest"))
+    split = split.withColumn("hits", F.array_sort(F.array_intersect("split", known)))
+    left = F.array_except("split", "hits")
+    return split.withColumns({"brand": F.array_join("hits", " "), "model": F.coalesce(F.array_min(words_in("models")), F.lit("")), "words": F.array_join(left, " "), "name": named(left)}).drop("hits", "split", "rest", "models")
+
+
 def _finder(spark, few: pd.DataFrame):
     shared = spark.sparkContext.broadcast(list(few.itertuples(index=False, name=None)))
 
