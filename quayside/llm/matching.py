@@ -82,8 +82,9 @@ def read_lines(lines: DataFrame, lexicon: dict[str, dict[str, str]] | None = Non
     brands = cut_lineage(mine_brands(invoices))
     found = find_brands(read, mine_phrases(invoices, brands), brands)
     telling = F.array_distinct(F.filter(words_in("words"), lambda w: (F.length(w) > 1) & ~F.left(w, F.lit(1)).between("0", "9")))
-    marks = F.filter(F.split("marks", MARK), lambda m: m != "")
-    return found.select("line_id", "consignment_id", "source_doc", "line_no", "brand", "model", marks.alias("marks"), telling.alias("words"), "gross", "net", "quantity")
+    marks = F.when(F.col("marks") != "", F.split("marks", MARK)).otherwise(F.array().cast("array<string>"))
+    kept = [F.col(c) for c in ("line_id", "consignment_id", "source_doc", "line_no", "brand", "model", "gross", "net", "quantity")]
+    return staged(found, *kept, marks.alias("marks"), telling.alias("words"))
 
 
 @contextmanager

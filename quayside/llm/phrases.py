@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from quayside.llm.listings import FREQUENT, MARK, MORE_FREQUENT, automaton_of, longest_matches
 from quayside.operators.edit_join import edit_distance_join
+from quayside.operators.units import staged
 from quayside.session import cut_lineage
 
 #: A name is trusted if so many words complete it; a brand needs so many trusted listings, shippers and names, and this share.
@@ -35,7 +36,7 @@ SHARD = 200_000
 
 def words_in(name: str) -> Column:
     """The words of a text column, none of a blank one."""
-    return F.filter(F.split(name, " "), lambda w: w != "")
+    return F.when(F.col(name) != "", F.split(name, " ")).otherwise(F.array().cast("array<string>"))
 
 
 def named(words: Column) -> Column:
@@ -82,7 +83,7 @@ def find_phrases(read: DataFrame, phrases: DataFrame) -> DataFrame:
     out = read.withColumn("hits", F.lit(""))
     for part in range(parts):
         few = phrases.where(F.pmod(F.xxhash64("phrase"), F.lit(parts)) == part).toPandas()
-        out = out.withColumn("hits", F.concat_ws(" ", "hits", _finder(read.sparkSession, few)(row)))
+        out = out.withColumn("hits", F.trim(F.concat_ws(" ", "hits", _finder(read.sparkSession, few)(row))))
     brands = F.array_sort(F.array_distinct(words_in("hits")))
     out = out.select(*read.columns, brands.alias("hits"))
     left = F.array_except(words_in("rest"), F.col("hits"))
@@ -94,15 +95,17 @@ FEW_BRANDS = 500
 
 
 def find_brands(read: DataFrame, phrases: DataFrame, brands: DataFrame) -> DataFrame:
-    """``read`` as ``find_phrases`` gives it, without Python where the brands are few: a brand is one word of the rest."""
+    """``read`` with brand, model and words as ``find_phrases`` gives them, without Python where the brands are few: a brand is one word of the rest."""
     few = [r["brand"] for r in brands.select("brand").limit(FEW_BRANDS + 1).collect()]
     if len(few) > FEW_BRANDS:
         return find_phrases(read, phrases)
     known = F.array(*[F.lit(b) for b in sorted(few)]) if few else F.array().cast("array<string>")
-    split = read.withColumn("split", words_in("rest"))
-    split = split.withColumn("hits", F.array_sort(F.array_intersect("split", known)))
-    left = F.array_except("split", "hits")
-    return split.withColumns({"brand": F.array_join("hits", " "), "model": F.coalesce(F.array_min(words_in("models")), F.lit("")), "words": F.array_join(left, " "), "name": named(left)}).drop("hits", "split", "rest", "models")
+    kept = [F.col(c) for c in read.columns if c not in ("rest", "models")]
+    split = staged(read, *kept, F.col("models"), words_in("rest").alias("split"))
+    hit = staged(split, *kept, F.col("models"), F.col("split"), F.array_intersect("split", known).alias("hits"))
+    left = F.when(F.size("hits") > 0, F.array_except("split", "hits")).otherwise(F.array_distinct("split"))
+    model = F.when(F.col("models") == "", "").otherwise(F.array_min(F.split("models", " ")))
+    return hit.select(*kept, F.array_join(F.array_sort("hits"), " ").alias("brand"), model.alias("model"), F.array_join(left, " ").alias("words"))
 
 
 def _finder(spark, few: pd.DataFrame):
